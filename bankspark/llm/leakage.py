@@ -26,13 +26,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-SEED, SHARE, BLOCK_WORDS = 3, 0.4, 200_000
-#: Alignment: a word kept, changed, left out or put in.
-KEPT, CHANGED, GAP = 1.0, -1.0, -1.0
-#: The least share of kept words in a stretch.
-DENSITY = 0.6
-#: Words of a seed chain, as a share of the item's words, below which no stretch of SHARE can be there.
-SEED_SHARE = 0.14
+#: Two fifths of the words, less the word or two that an alignment may lose at either end.
+SEED, SHARE, BLOCK_WORDS = 3, 0.38, 200_000
+#: Alignment: what a kept word adds; what a word changed, left out or put in takes off.
+KEPT, CHANGED = 1.0, 1.5
+#: The least share of kept words in a stretch; texts made from the same phrases with other words stay below.
+DENSITY = 0.85
+#: Words of a chain of seeds, as a share of the item's words, that a window needs to be aligned.
+SEED_SHARE = 0.15
+ARTICLES = {"a", "an", "the"}
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -155,35 +157,51 @@ class Automaton:
         return out
 
 
+def near(a: str, b: str) -> bool:
+    """Whether two words are one but for a typing error: a letter more, less or other, or two swapped; articles are one."""
+    if a in ARTICLES and b in ARTICLES:
+        return True
+    if len(a) > len(b):
+        a, b = b, a
+    n, m = len(a), len(b)
+    if n < 3 or m - n > 1 or (a[0] != b[0] and a[-1] != b[-1]) or b.isdigit():
+        return False
+    i = 0
+    while i < n and a[i] == b[i]:
+        i += 1
+    if n == m:
+        return a[i + 1 :] == b[i + 1 :] or (i + 1 < n and a[i] == b[i + 1] and a[i + 1] == b[i] and a[i + 2 :] == b[i + 2 :])
+    return a[i:] == b[i + 1 :]
+
+
 def stretch(item: list[str], window: list[str]) -> float:
     """Share of the item's words that the best local alignment with the window spans, if dense enough."""
-    # Smith-Waterman over words; each cell carries where its alignment began in the item and how many words are kept
+    alike: dict[str, set[str]] = {}
+    seen = set(window)
+    for w in set(item):
+        alike[w] = {x for x in seen if x == w or near(w, x)}
     width = len(window) + 1
-    score, begin, kept = [0.0] * width, [0] * width, [0] * width
-    found = 0.0
+    # score, place in the item where the alignment begins, words kept
+    above = [(0.0, 0, 0)] * width
+    best = (0.0, 0, 0)
     for i, w in enumerate(item):
-        diagonal, corner = 0.0, (i, 0)
-        left, left_at = 0.0, (i, 0)
-        for j in range(1, width):
-            up, up_at = score[j], (begin[j], kept[j])
-            if w == window[j - 1]:
-                s, at = diagonal + KEPT, (corner[0] if diagonal > 0 else i, corner[1] + 1 if diagonal > 0 else 1)
+        same = alike[w]
+        row = [(0.0, i + 1, 0)]
+        corner, left = above[0], row[0]
+        for j, x in enumerate(window, 1):
+            up = above[j]
+            if x in same:
+                cell = (corner[0] + KEPT, corner[1] if corner[0] > 0 else i, corner[2] + 1)
             else:
-                s, at = diagonal + CHANGED, corner
-                if up + GAP > s:
-                    s, at = up + GAP, up_at
-                if left + GAP > s:
-                    s, at = left + GAP, left_at
-                if s <= 0:
-                    s, at = 0.0, (i + 1, 0)
-            diagonal, corner = up, up_at
-            score[j], begin[j], kept[j] = s, at[0], at[1]
-            left, left_at = s, at
-            if w == window[j - 1]:
-                span = i + 1 - at[0]
-                if at[1] >= DENSITY * span:
-                    found = max(found, span / len(item))
-    return found
+                cell = max(corner, up, left)
+                cell = (cell[0] - CHANGED, cell[1], cell[2]) if cell[0] > CHANGED else (0.0, i + 1, 0)
+            if cell[0] > best[0]:
+                best = (cell[0], cell[2], i + 1 - cell[1])
+            row.append(cell)
+            corner, left = up, cell
+        above = row
+    _, kept, span = best
+    return span / len(item) if span and kept >= DENSITY * span else 0.0
 
 
 def blocks(items: list[tuple[int, str | None]], size: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[str]]]]:
