@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bankspark.llm import bpe, leakage, pieces, splits
+from bankspark.llm import bpe, leakage, pieces, replies, splits
 from bankspark.runtime import table
 
 
@@ -25,6 +25,14 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign(_groups(spark, sf_dir), "row_id", shares).withColumnRenamed("group", "group_row")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of a body that its sender newly wrote."""
+    mail = table(spark, sf_dir, "enron_preparation").select("row_id", "body", "from", "message_id", "loaded_at")
+    sender = F.coalesce(splits.address_key(F.col("from")), F.lower(F.trim("from")))
+    message = F.coalesce(splits.message_key(F.col("message_id")), F.lit(""))
+    return replies.new_lines(mail, "row_id", "body", sender, message, F.col("loaded_at"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token ids of every document by byte_bpe_50k."""
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -49,6 +57,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p5_found": p5_found,
     "p5_splits": p5_splits,
+    "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p10_found": p10_found,
