@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bankspark.llm import bpe, leakage, pieces, replies, splits
+from bankspark.llm import bpe, leakage, mojibake, pieces, replies, splits
 from bankspark.runtime import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subject or body with characters that a wrong decoding left."""
+    return p3_repaired(spark, sf_dir).select("row_id", "field")
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fields with their restored text."""
+    mail = table(spark, sf_dir, "enron_preparation").select("row_id", "mailbox", "subject", "body")
+    return mojibake.find_and_repair(mail, "row_id", "mailbox", ["subject", "body"])
+
+
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     mail = table(spark, sf_dir, "enron_preparation").select("row_id", "from", "subject", "message_id")
     links = {"sender": splits.address_key(F.col("from")), "thread": splits.thread_key(F.col("subject")), "message": splits.message_key(F.col("message_id"))}
@@ -55,6 +66,8 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_repaired": p3_repaired,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
     "p7_found": p7_found,
