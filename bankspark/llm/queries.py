@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bankspark.llm import bpe, leakage, mojibake, pieces, replies, splits
+from bankspark.llm import bpe, leakage, mojibake, names, pieces, replies, splits
 from bankspark.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of spellings of one correspondent in `from` and `to`."""
+    return names.pairs(table(spark, sf_dir, "enron_preparation").select("from", "to"), "from", "to")
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the smallest spelling of its correspondent."""
+    return names.link(table(spark, sf_dir, "enron_preparation").select("from", "to"), "from", "to")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every subject or body with characters that a wrong decoding left."""
     return p3_repaired(spark, sf_dir).select("row_id", "field")
@@ -66,6 +76,8 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_entities": p1_entities,
     "p3_found": p3_found,
     "p3_repaired": p3_repaired,
     "p5_found": p5_found,
