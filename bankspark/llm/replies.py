@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bankspark.runtime import cut
+from bankspark.runtime import broadcast_if_small, cut
 
 QUOTED = re.compile(r"\s*(?:>|\|(?:\s|$)|[A-Z]{1,3}>)")
 SEPARATOR = re.compile(r"\s*(?:-{2,}|={3,}|_{3,}|\*(?:\s?\*)+|~{3,}|#{3,}|\+{3,})\s*$")
@@ -165,8 +165,8 @@ def winnow(words: list[str]) -> set[int]:
 
 def _layout(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
-        keys, kept, prints, whole = [], [], [], []
-        for k, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        kept, prints, whole = [], [], []
+        for body in b.column(4).to_pylist():
             lines = body.split("\n")
             own = own_lines(lines)
             marks: set[int] = set()
@@ -176,12 +176,11 @@ def _layout(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(words) >= 4:
                     marks |= winnow(words)
                     closings.append({"n": i + 1, "h": xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)})
-            keys.append(k)
             kept.append([i + 1 for i in own])
             prints.append(list(marks))
             whole.append(closings)
-        arrays = [pa.array(keys, b.schema[0].type), pa.array(kept, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.struct([("n", pa.int64()), ("h", pa.int64())])))]
-        yield pa.RecordBatch.from_arrays(arrays, ["k", "own", "prints", "whole"])
+        arrays = [*b.columns[:4], pa.array(kept, pa.list_(pa.int32())), pa.array(prints, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.struct([("n", pa.int32()), ("h", pa.int64())])))]
+        yield pa.RecordBatch.from_arrays(arrays, ["k", "s", "m", "t", "own", "prints", "whole"])
 
 
 def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,21 +201,20 @@ def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def new_lines(df: DataFrame, key: str, body: str, sender: Column, message: Column, when: Column) -> DataFrame:
     """key, line_no: the lines that the sender newly wrote. `when` orders messages; nulls come last."""
     kind = df.schema[key].dataType.simpleString()
-    mail = df.where(F.col(body).isNotNull()).select(F.col(key).alias("k"), F.col(body).cast("string").alias("b"), sender.alias("s"), message.alias("m"), when.alias("t"))
-    layout = mail.select("k", "b").mapInArrow(_layout, f"k {kind}, own array<long>, prints array<long>, whole array<struct<n:long,h:long>>")
-    layout = cut(layout)
-    meta = mail.select("k", F.xxhash64("s").alias("s"), F.xxhash64("m").alias("m"), "t").where("s is not null")
-    seen = layout.join(meta, "k").select("k", "s", "m", F.coalesce("t", F.lit("9999-12-31").cast("timestamp")).alias("t"), "prints", "whole")
-    seen = cut(seen)
+    last = F.lit("9999-12-31").cast("timestamp")
+    mail = df.where(F.col(body).isNotNull()).select(F.col(key).alias("k"), F.when(sender.isNotNull(), F.xxhash64(sender)).alias("s"), F.xxhash64(message).alias("m"), F.unix_micros(F.coalesce(when.cast("timestamp"), last)).alias("t"), F.col(body).cast("string").alias("b"))
+    layout = cut(mail.mapInArrow(_layout, f"k {kind}, s long, m long, t long, own array<int>, prints array<long>, whole array<struct<n:int,h:long>>"))
+    seen = layout.where("s is not null")
 
     # ancestors: of each fingerprint the first message, if another sender has it too
     prints = seen.select("k", "s", "m", "t", F.explode("prints").alias("f"))
     first = prints.groupBy("f").agg(F.min(F.struct("t", "k", "s", "m")).alias("a"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi")
     shared = prints.select("k", "s", "m", "f").join(first.select("f", "a"), "f").where("s <> a.s and m <> a.m and k <> a.k")
     pairs = shared.groupBy("k", F.col("a.k").alias("ancestor")).count().where(F.col("count") >= SHARED).select("k", "ancestor")
-    pairs = cut(pairs)
+    pairs = broadcast_if_small(cut(pairs))
     texts = mail.select("k", "b")
-    both = pairs.join(texts, "k").join(texts.select(F.col("k").alias("ancestor"), F.col("b").alias("ab")), "ancestor")
+    ancestors = texts.select(F.col("k").alias("ancestor"), F.col("b").alias("ab")).join(pairs, "ancestor")
+    both = texts.join(broadcast_if_small(cut(ancestors), 10_000), "k").select("k", "b", "ab")
     history = both.select("k", "b", "ab").mapInArrow(_verify, f"k {kind}, line_no long")
 
     # closings: whole lines of four words or more that many senders share
@@ -224,8 +222,8 @@ def new_lines(df: DataFrame, key: str, body: str, sender: Column, message: Colum
     lines = seen.select("k", "s", F.explode("whole").alias("w")).select("k", "s", "w.n", "w.h")
     often = lines.groupBy("h").agg(F.approx_count_distinct("s", 0.02).alias("about"), F.count_if(F.lit(True)).alias("rows")).where(F.col("rows") >= RECURRING_LEAST)
     often = often.join(F.broadcast(senders)).where("about >= least").select("h")
-    closings = lines.join(often, "h", "left_semi").select("k", F.col("n").alias("line_no"))
+    closings = lines.join(often, "h", "left_semi").select("k", F.col("n").cast("long").alias("line_no"))
 
     dropped = history.union(closings).distinct()
-    rows = layout.select("k", F.explode("own").alias("line_no"))
+    rows = layout.select("k", F.explode("own").alias("line_no")).withColumn("line_no", F.col("line_no").cast("long"))
     return rows.join(dropped, ["k", "line_no"], "left_anti").withColumnRenamed("k", key)
