@@ -40,7 +40,7 @@ NICKNAMES = {
         "abby": "abigail", "al": "albert alan alfred", "alex": "alexander alexandra alexis", "andy": "andrew", "barb": "barbara", "becky": "rebecca", "bella": "isabella", "ben": "benjamin", "bert": "albert herbert",
         "bess": "elizabeth", "beth": "elizabeth bethany", "bill": "william", "bob": "robert", "cathy": "catherine", "charlie": "charles charlotte", "chris": "christopher christine christina", "dan": "daniel", "dave": "david", "deb": "deborah", "debbie": "deborah",
         "dick": "richard", "dima": "dmitri", "dot": "dorothea dorothy", "dottie": "dorothea dorothy", "ed": "edward edgar edmund", "eddie": "edward", "ellie": "eleanor", "essie": "esther", "fran": "francesca frances", "frankie": "francesca frances", "fred": "frederick", "freddie": "frederick",
-        "gabi": "gabriela gabriele", "gabby": "gabriela", "greg": "gregory", "hal": "harold henry", "harry": "harold henry", "hetty": "henrietta", "izzy": "isabella", "jan": "janet janice", "jeff": "jeffrey", "jen": "jennifer", "jenny": "jennifer", "jim": "james", "joe": "joseph", "joey": "joseph",
+        "gabi": "gabriela gabriele", "gabby": "gabriela", "greg": "gregory", "hal": "harold henry", "harry": "harold henry", "hetty": "henrietta", "izzy": "isabella", "jeff": "jeffrey", "jen": "jennifer", "jenny": "jennifer", "jim": "james", "joe": "joseph", "joey": "joseph",
         "jo": "josephine joanna", "josie": "josephine", "johnny": "jonathan john", "jon": "jonathan", "kate": "katherine", "kathy": "katherine", "katie": "katherine", "larry": "lawrence", "len": "leonard", "lenny": "leonard", "leo": "leonard", "liz": "elizabeth", "lottie": "charlotte", "lou": "louis louise", "lucy": "lucia",
         "maggie": "margaret", "matt": "matthew", "max": "maximilian maxwell", "meg": "margaret", "mick": "michael", "mike": "michael", "nat": "natalia nathaniel", "natasha": "natalia", "ned": "edward", "nell": "eleanor", "nick": "nicholas", "nora": "eleanor", "ollie": "oliver", "pam": "pamela",
         "pat": "patricia patrick", "patty": "patricia", "peggy": "margaret", "pete": "peter", "phil": "philip philippa", "pip": "philippa philip", "quin": "quentin", "ray": "raymond", "rich": "richard", "rick": "richard", "rob": "robert", "ron": "ronald", "sam": "samuel samantha", "seb": "sebastian", "steve": "stephen",

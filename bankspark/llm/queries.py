@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from bankspark.llm import bpe, leakage, mojibake, names, pieces, replies, splits
+from bankspark.llm import bpe, leakage, mojibake, names, pieces, pii, replies, splits
 from bankspark.runtime import table
 
 
@@ -46,6 +46,16 @@ def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign(_groups(spark, sf_dir), "row_id", shares).withColumnRenamed("group", "group_row")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each personal value of a subject or body, once per field and kind."""
+    return pii.find(table(spark, sf_dir, "enron_preparation"), "row_id", ["subject", "body"])
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every subject and body with typed placeholders."""
+    return pii.redact(table(spark, sf_dir, "enron_preparation"), "row_id", ["subject", "body"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of a body that its sender newly wrote."""
     mail = table(spark, sf_dir, "enron_preparation").select("row_id", "body", "from", "message_id", "loaded_at")
@@ -82,6 +92,8 @@ QUERIES = {
     "p3_repaired": p3_repaired,
     "p5_found": p5_found,
     "p5_splits": p5_splits,
+    "p6_found": p6_found,
+    "p6_redacted": p6_redacted,
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
