@@ -100,4 +100,13 @@ QUERIES = {
     "p10_found": p10_found,
     "p10_pieces": p10_pieces,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    # components by plain reachability over rows and keys
+    "p5_found": r"""WITH RECURSIVE keys AS (
+        SELECT row_id, 'a' || k AS k FROM (SELECT row_id, regexp_extract(lower("from"), '([\p{L}\p{N}._%+''&=/~-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*)', 1) AS k FROM enron_preparation) WHERE k <> ''
+        UNION ALL SELECT row_id, 's' || k FROM (SELECT row_id, lower(regexp_replace(regexp_replace(subject, '^(\s*(re|fwd|fw)\s*(\[\s*\d+\s*\])?\s*:)+', '', 'i'), '[\s\x{00a0}]+', '', 'g')) AS k FROM enron_preparation) WHERE k <> ''
+        UNION ALL SELECT row_id, 'm' || k FROM (SELECT row_id, lower(regexp_replace(message_id, '[\s<>()\[\]]+', '', 'g')) AS k FROM enron_preparation) WHERE k <> ''),
+      edges AS (SELECT DISTINCT a.row_id AS x, b.row_id AS y FROM keys a JOIN keys b USING (k)),
+      reach AS (SELECT row_id AS x, row_id AS y FROM enron_preparation UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+      SELECT x AS row_id, min(y) AS group_row FROM reach GROUP BY 1""",
+}

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from bankspark.operators.components import components  # noqa: F401
 from bankspark.runtime import cut
 
 #: Bits of the reachable-sum sets: totals are counted in units of rows / UNITS, in single rows below that.
@@ -44,45 +45,6 @@ def message_key(message_id: Column) -> Column:
     return F.nullif(F.lower(F.regexp_replace(message_id, r"[\s<>()\[\] ]+", "")), F.lit(""))
 
 
-def components(df: DataFrame, key: str, links: dict[str, Column]) -> DataFrame:
-    """key, group: the smallest key of the rows that are linked, directly or through others."""
-    digests = F.array(*[F.when(c.isNotNull(), F.unhex(F.md5(F.concat(F.lit(f"{n}\u0001"), c)))) for n, c in links.items()])
-    rows = df.select(F.col(key).alias("row"), F.filter(digests, lambda x: x.isNotNull()).alias("keys"))
-    pairs = rows.select("row", F.explode("keys").alias("k")).where("row is not null")
-    least = pairs.groupBy("k").agg(F.min("row").alias("low"))
-    # row -> the smallest rows of its keys; the first is its parent, the others are linked with it
-    own = pairs.join(least, "k").groupBy("row").agg(F.array_sort(F.collect_set("low")).alias("lows"))
-    own = cut(own)
-    edges = own.where(F.size("lows") > 1).select(F.element_at("lows", 1).alias("b"), F.explode(F.slice("lows", 2, 64)).alias("a")).distinct()
-    roots = own.select("row", F.element_at("lows", 1).alias("group"))
-    for _ in range(64):
-        edges = cut(edges)
-        if edges.isEmpty():
-            break
-        parent = hook(edges)
-        edges = edges.join(parent.withColumnsRenamed({"node": "a", "parent": "pa"}), "a").join(parent.withColumnsRenamed({"node": "b", "parent": "pb"}), "b", "left")
-        edges = edges.select(F.greatest("pa", F.coalesce("pb", "b")).alias("a"), F.least("pa", F.coalesce("pb", "b")).alias("b")).where("a <> b").distinct()
-        moved = parent.withColumnsRenamed({"node": "group"})
-        roots = cut(roots.join(moved, "group", "left").select("row", F.coalesce("parent", "group").alias("group")), eager=False)
-    else:
-        raise RuntimeError("the components did not settle in 64 rounds")
-    return df.select(F.col(key).alias("row")).distinct().join(roots, "row", "left").select(F.col("row").alias(key), F.coalesce("group", "row").alias("group"))
-
-
-def hook(edges: DataFrame) -> DataFrame:
-    """node, parent: every node that is not a root with the root of the tree it hooks into."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")).where("parent < node")
-    for _ in range(64):
-        parent = cut(parent)
-        up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        jumped = parent.join(up, "parent", "left")
-        if jumped.where("grand is not null").isEmpty():
-            return parent
-        parent = jumped.select("node", F.coalesce("grand", "parent").alias("parent"))
-    raise RuntimeError("the parents did not settle in 64 rounds")
-
-
 def choose(multiplicity: dict[int, int], share: float) -> dict[int, int]:
     """size -> how many components of it, so that their rows are closest to the share of all rows."""
     total = sum(s * m for s, m in multiplicity.items())
