@@ -254,9 +254,9 @@ def hash_split(table: DataFrame, train: float = 0.8, validation: float = 0.1, se
 
 def allocation(roles: DataFrame, table: DataFrame, train: float = 0.8, validation: float = 0.1) -> DataFrame:
     """role, groups, records, target: what each role has and should have."""
-    whole = table.agg(F.sum("records").alias("total"))
+    total = table.agg(F.sum("records")).first()[0] or 0
     share = F.when(F.col("role") == "train", train).when(F.col("role") == "validation", validation).otherwise(1 - train - validation)
-    return roles.join(table, "group").groupBy("role").agg(F.count(F.lit(1)).alias("groups"), F.sum("records").alias("records")).join(F.broadcast(whole)).select("role", "groups", "records", F.round(F.col("total") * share, 6).alias("target"))
+    return roles.join(table, "group").groupBy("role").agg(F.count(F.lit(1)).alias("groups"), F.sum("records").alias("records")).select("role", "groups", "records", F.round(F.lit(total) * share, 6).alias("target"))
 
 
 def leaks(assigned: DataFrame) -> DataFrame:
@@ -300,11 +300,11 @@ def quotas(populations: DataFrame, size: int, base: int = 0) -> DataFrame:
     Strata are few; the window orders them, not the records.
     """
     start = populations.select("stratum", "population", F.least(F.lit(base), F.col("population")).alias("b"))
-    whole = start.agg(F.sum("population").alias("p"), F.sum("b").alias("bs")).select((F.least(F.lit(size), F.col("p")) - F.col("bs")).alias("rest"), (F.col("p") - F.col("bs")).alias("room"))
-    rows = start.join(F.broadcast(whole)).withColumn("capacity", F.col("population") - F.col("b"))
-    num = F.greatest(F.col("rest"), F.lit(0)) * F.col("capacity")
-    rows = rows.withColumn("floor", F.when(F.col("room") > 0, F.floor(num / F.col("room"))).otherwise(0)).withColumn("remainder", F.when(F.col("room") > 0, num % F.col("room")).otherwise(0))
-    rows = rows.withColumn("residual", F.greatest(F.col("rest"), F.lit(0)) - F.sum("floor").over(W.partitionBy(F.lit(1))))
+    all_ = start.agg(F.coalesce(F.sum("population"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    rest, room = max(0, min(size, all_[0]) - all_[1]), max(1, all_[0] - all_[1])
+    num = F.lit(rest) * (F.col("population") - F.col("b"))
+    rows = start.withColumn("floor", F.floor(num / room)).withColumn("remainder", num % room)
+    rows = rows.withColumn("residual", F.lit(rest) - F.sum("floor").over(W.partitionBy(F.lit(1))))
     rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.desc("remainder"), "stratum"))
     return rows.select("stratum", "population", (F.col("b") + F.col("floor") + F.when(rank <= F.col("residual"), 1).otherwise(0)).cast("long").alias("quota"))
 
