@@ -103,7 +103,7 @@ def addresses(*columns: Column) -> Column:
 
 def mailbox_folder(file_name: Column) -> Column:
     """Role of the folder in a mailbox path: inbox, sent, deleted, archive or other; null without a folder."""
-    folder = F.lower(F.element_at(F.split(F.regexp_replace(file_name, r"\\", "/"), "/"), -2))
+    folder = F.lower(F.try_element_at(F.split(F.regexp_replace(file_name, r"\\", "/"), "/"), F.lit(-2)))
     return F.when(folder.rlike("^inbox|_inbox$"), "inbox").when(folder.rlike("sent"), "sent").when(folder.rlike("deleted|trash"), "deleted").when(folder.rlike("all_documents|archive|old_mail|^[0-9]{4}$"), "archive").when(folder.isNotNull(), "other")
 
 

@@ -70,7 +70,7 @@ def multiset_hash(df: DataFrame, leaf: Column, count: Column) -> DataFrame:
     """
     digest = F.sha2(leaf, 512)
     limbs = [F.conv(F.substring(digest, 1 + 4 * i, 4), 16, 10).cast("long") for i in range(32)]
-    sums = df.select(*[l.alias(f"l{i}") for i, l in enumerate(limbs)], count.cast("long").alias("c")).agg(*[F.sum((F.col(f"l{i}") * F.col("c")).cast("decimal(38,0)")).alias(f"l{i}") for i in range(32)], F.sum("c").alias("total"))
+    sums = df.select(*[l.alias(f"l{i}") for i, l in enumerate(limbs)], count.cast("long").alias("c")).agg(*[F.coalesce(F.sum((F.col(f"l{i}") * F.col("c")).cast("decimal(38,0)")), F.lit(0)).alias(f"l{i}") for i in range(32)], F.coalesce(F.sum("c"), F.lit(0)).alias("total"))
 
     def finish(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib

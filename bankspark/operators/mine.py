@@ -67,4 +67,4 @@ def compatible(name: Column, address: Column) -> Column:
     local = F.regexp_replace(F.lower(F.substring_index(address, "@", 1)), r"[^\p{L}]", "")
     words = F.filter(F.split(F.lower(name), r"[^\p{L}]+"), lambda w: w != "")
     part = F.exists(words, lambda w: (F.length(w) > 2) & F.contains(local, w))
-    return part | (local == F.array_join(words, "")) | (local == F.concat(F.substring(F.element_at(words, 1), 1, 1), F.element_at(words, -1)))
+    return part | (local == F.array_join(words, "")) | (local == F.concat(F.substring(F.try_element_at(words, F.lit(1)), 1, 1), F.try_element_at(words, F.lit(-1))))

@@ -51,7 +51,7 @@ def _fold(segment: Column) -> Column:
     empty = F.array().cast("array<string>")
 
     def add(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         goes_on = (F.size(acc) > 0) & ((last.rlike(FAMILY) & x.rlike(GIVEN)) | x.rlike(LEGAL))
         joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws(", ", last, x)))
         return F.when(x == "", acc).when(goes_on, joined).otherwise(F.concat(acc, F.array(x)))

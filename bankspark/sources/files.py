@@ -216,7 +216,8 @@ def write_roles(df: DataFrame, path: str, role: str = "role") -> None:
 
 def write_records(df: DataFrame, path: str, form: str = "json") -> None:
     """Records as JSON lines or CSV in record order."""
-    ordered = df.orderBy(*[c for c in ("document_id", "doc_id", "start", "end", "entity_id", "name_id", "pattern_id") if c in df.columns])
+    keys = [c for c in ("document_id", "doc_id", "start", "end", "entity_id", "name_id", "pattern_id") if c in df.columns]
+    ordered = df.orderBy(*(keys or df.columns))
     (ordered.write.mode("errorifexists").json if form == "json" else ordered.write.mode("errorifexists").option("header", True).csv)(path)
 
 
