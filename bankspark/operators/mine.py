@@ -68,3 +68,20 @@ def compatible(name: Column, address: Column) -> Column:
     words = F.filter(F.split(F.lower(name), r"[^\p{L}]+"), lambda w: w != "")
     part = F.exists(words, lambda w: (F.length(w) > 2) & F.contains(local, w))
     return part | (local == F.array_join(words, "")) | (local == F.concat(F.substring(F.try_element_at(words, F.lit(1)), 1, 1), F.try_element_at(words, F.lit(-1))))
+
+
+def sender_aliases(mail: DataFrame) -> DataFrame:
+    """row_id, address, alias: names read from the sender's address that stand in the last twelve lines of the own text.
+
+    Only senders without a display name count, with two to four parts of two or more letters before the @.
+    """
+    address = F.lower(F.nullif(F.regexp_extract("from", ADDRESS, 0), F.lit("")))
+    bare = F.trim("from") == F.regexp_extract("from", ADDRESS, 0)
+    parts = F.filter(F.split(F.substring_index("address", "@", 1), r"[._-]+"), lambda p: p != "")
+    rows = mail.where(bare).select("row_id", address.alias("address"), "body").where("address is not null and body is not null").withColumn("parts", parts)
+    rows = rows.where((F.size("parts") >= 2) & (F.size("parts") <= 4) & F.forall("parts", lambda p: p.rlike("^[a-z]{2,}$")))
+    own = F.split(F.substring_index("body", "\n>", 1), "\n")
+    tail = F.array_join(F.slice(own, F.greatest(F.size(own) - 11, F.lit(1)), F.lit(12)), "\n")
+    pattern = F.concat(F.lit(r"(?i)(?<!\w)("), F.array_join("parts", r"\s+"), F.lit(r")(?!\w)"))
+    found = rows.select("row_id", "address", F.call_function("regexp_extract", tail, pattern, F.lit(1)).alias("alias"))
+    return found.where("alias <> ''")

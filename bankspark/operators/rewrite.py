@@ -17,7 +17,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from bankspark.functions.text import redaction_token
+from bankspark.functions.text import assignment_digest, redaction_token
 from bankspark.model import LIMITS, BankError
 
 SCOPES = {"name": "name_id", "canonical": "canonical_name", "surface": "string"}
@@ -188,3 +188,103 @@ def save_store(store: Mapping[str, Any], path: str, expected: str | None) -> dic
     os.chmod(name, 0o600)
     os.replace(name, target)
     return out
+
+
+# --- one text with a store -------------------------------------------------------------------------------------------
+
+
+def allocate(store: Mapping[str, Any], record: Mapping[str, Any]) -> tuple[dict[str, Any], dict[str, Any] | None]:
+    """(store, assignment) of a record: the known one, or a new one by the entity's policy; None where candidates are exhausted."""
+    policy = policy_of(store, record["entity_id"])
+    scope, mode = policy.get("scope", "name"), policy.get("replacement_mode", "redact")
+    value = record.get(SCOPES[scope])
+    if not value:
+        raise BankError(f"the scope {scope} needs {SCOPES[scope]}")
+    key = assignment_digest(scope, record["entity_id"], value)
+    known = store["assignments"].get(key)
+    if known is not None and mode in known["modes"]:
+        return dict(store), known
+    out = {**store, "assignments": dict(store["assignments"])}
+    made = copy.deepcopy(known) if known else {"entity_id": record["entity_id"], "original": record["string"], "modes": []}
+    if mode == "redact":
+        ordinal = 1 + max((a["redaction"]["ordinal"] for a in store["assignments"].values() if a["entity_id"] == record["entity_id"] and "redaction" in a), default=0)
+        made["redaction"] = {"ordinal": ordinal, "token": f"[{record['entity_id'].upper()}_{ordinal:04d}]"}
+    else:
+        pool = store["replacement_sets"].get(policy.get("replacement_set_id"))
+        if pool is None:
+            raise BankError("pseudonyms need a replacement set")
+        used = {a["replacement"]["value"]: k for k, a in store["assignments"].items() if "replacement" in a}
+        if pool["reuse"]:
+            chosen = allocate_with_reuse([key], pool["candidates"], used)[key]
+            candidate = next((c for c in pool["candidates"] if c["id"] == chosen), None)
+        else:
+            candidate = next((c for c in pool["candidates"] if c["value"] not in used), None)
+        if candidate is None:
+            return dict(store), None
+        made["replacement"] = {"set_id": policy["replacement_set_id"], "candidate_id": candidate["id"], "value": candidate["value"]}
+    made["modes"] = sorted({*made["modes"], mode})
+    out["assignments"][key] = made
+    return out, made
+
+
+def anonymise_text(text: str, records: list[Mapping[str, Any]], store: Mapping[str, Any], missing: str = "fail") -> tuple[str, dict[str, Any], list[dict[str, Any]]]:
+    """(text, store, edits): resolved records (bytes, no overlap) replaced in order; `missing` is fail or skip."""
+    raw, out, edits, end = text.encode(), [], [], 0
+    for r in sorted(records, key=lambda r: (r["start"], r["end"])):
+        if r["start"] < end or raw[r["start"] : r["end"]] != r["string"].encode():
+            raise BankError("records overlap or do not fit the text")
+        store, made = allocate(store, r)
+        if made is None:
+            if missing == "fail":
+                raise BankError("no candidate is left")
+            continue
+        mode = policy_of(store, r["entity_id"]).get("replacement_mode", "redact")
+        value = made["redaction"]["token"] if mode == "redact" else made["replacement"]["value"]
+        out.append(raw[end : r["start"]] + value.encode())
+        edits.append({"start": r["start"], "end": r["end"], "replacement": value})
+        end = r["end"]
+    return (b"".join(out) + raw[end:]).decode(), dict(store), edits
+
+
+def reverse_entries(store: Mapping[str, Any], pseudonyms_too: bool = False) -> list[dict[str, str]]:
+    """What can be put back: value, original, mode and key; BankError if a value stands for two originals or there are too many."""
+    out: dict[str, dict[str, str]] = {}
+    for key, a in sorted(store["assignments"].items()):
+        if a.get("original") is None:
+            continue
+        values = [("redact", a["redaction"]["token"])] if "redaction" in a else []
+        values += [("pseudonym", a["replacement"]["value"])] if pseudonyms_too and "replacement" in a else []
+        for mode, value in values:
+            entry = out.setdefault(value, {"value": value, "original": a["original"], "mode": mode, "key": key})
+            if entry["original"] != a["original"]:
+                raise BankError(f"{value!r} stands for more than one original")
+    if len(out) > LIMITS["reverse_entities"]:
+        raise BankError("too many values for one reverse bank")
+    return list(out.values())
+
+
+def restore_one(text: str, store: Mapping[str, Any], pseudonyms_too: bool = False) -> str:
+    """A text with its tokens put back: longest first, tokens before pseudonyms, pseudonyms only where no word goes on."""
+    found = []
+    for entry in reverse_entries(store, pseudonyms_too):
+        value, at = entry["value"], text.find(entry["value"])
+        while at >= 0:
+            end = at + len(value)
+            word = lambda c: c.isalnum() or c == "_"
+            glued = (at and word(value[0]) and word(text[at - 1])) or (end < len(text) and word(value[-1]) and word(text[end]))
+            if entry["mode"] == "redact" or not glued:
+                found.append((at - end, entry["mode"] != "redact", entry["key"], at, end, entry["original"]))
+            at = text.find(value, at + 1)
+    kept: list[tuple[int, int, str]] = []
+    for _, _, _, a, b, original in sorted(found):
+        if all(b <= s or e <= a for s, e, _ in kept):
+            kept.append((a, b, original))
+    for a, b, original in sorted(kept, reverse=True):
+        text = text[:a] + original + text[b:]
+    return text
+
+
+def public_view(store: Mapping[str, Any]) -> dict[str, Any]:
+    """The store without originals and keys."""
+    hidden = [{k: v for k, v in a.items() if k != "original"} for a in store["assignments"].values()]
+    return {**{k: v for k, v in store.items() if k != "assignments"}, "assignments": hidden}

@@ -205,6 +205,10 @@ def candidate_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.priorities(M.curate(_evidence(spark, sf_dir)))
 
 
+def sender_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.sender_aliases(table(spark, sf_dir, "enron_preparation"))
+
+
 # --- statistics ------------------------------------------------------------------------------------------------------
 
 
@@ -221,7 +225,7 @@ def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (redaction_ordinals, redact_text, shifted_spans, pseudonym_assign, restore_text, ambiguous_tokens, eval_positive, eval_negative, eval_grouping_sets, provenance_counts, eval_record_checks, gold_pred_exact_join, overlap_range_join, interval_union_chars, event_islands, quality_slice_metrics, conformance_status, annotation_difference, catalog_qualification, audit_sample, agreement_audit, candidate_evidence, candidate_names, curation_decisions, candidate_funnel_sets, candidate_priorities, nearest_rank_percentiles, permutation_test)
+    for f in (redaction_ordinals, redact_text, shifted_spans, pseudonym_assign, restore_text, ambiguous_tokens, eval_positive, eval_negative, eval_grouping_sets, provenance_counts, eval_record_checks, gold_pred_exact_join, overlap_range_join, interval_union_chars, event_islands, quality_slice_metrics, conformance_status, annotation_difference, catalog_qualification, audit_sample, agreement_audit, candidate_evidence, candidate_names, curation_decisions, candidate_funnel_sets, candidate_priorities, sender_aliases, nearest_rank_percentiles, permutation_test)
 }
 
 # the greedy choice keeps all spans where, as here, overlapping ones of two entities are settled by length, start, entity and pattern
