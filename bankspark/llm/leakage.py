@@ -148,9 +148,8 @@ class Automaton:
                     chain.append(b)
                     continue
                 if sum(s[2] for s in chain) >= SEED_SHARE * len(own):
-                    low = max(0, min(s[0] - s[1] for s in chain) - slack)
-                    high = max(s[0] - s[1] for s in chain) + len(own) + slack
-                    best = max(best, stretch(own, words[low:high]))
+                    first, last = (f(s[0] - s[1] for s in chain) for f in (min, max))
+                    best = max(best, stretch(own, words, first - slack, last + slack))
                 chain = [b]
             if best >= SHARE:
                 out.append((self.items[item][0], best))
@@ -174,31 +173,55 @@ def near(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
-def stretch(item: list[str], window: list[str]) -> float:
-    """Share of the item's words that the best local alignment with the window spans, if dense enough."""
-    alike: dict[str, set[str]] = {}
-    seen = set(window)
+def alike(item: list[str], window: set[str]) -> dict[str, set[str]]:
+    """Of each word of the item: the words of the window that are it, but for a typing error."""
+    ends: dict[str, list[str]] = defaultdict(list)
+    for x in window:
+        ends[x[0]].append(x)
+        if x[-1] != x[0]:
+            ends["$" + x[-1]].append(x)
+    out = {}
     for w in set(item):
-        alike[w] = {x for x in seen if x == w or near(w, x)}
-    width = len(window) + 1
-    # score, place in the item where the alignment begins, words kept
-    above = [(0.0, 0, 0)] * width
-    best = (0.0, 0, 0)
+        if w in ARTICLES:
+            out[w] = window & ARTICLES
+            continue
+        n = len(w)
+        out[w] = {x for x in (*ends.get(w[0], ()), *ends.get("$" + w[-1], ()), *ends.get(w[-1], ())) if -2 < len(x) - n < 2 and (x == w or near(w, x))}
+    return out
+
+
+def stretch(item: list[str], text: list[str], first: int, last: int) -> float:
+    """Share of the item's words that the best local alignment spans, if dense enough.
+
+    Cells lie on the diagonals first..last (place in the text less place in the item).
+    """
+    n, width = len(text), last - first + 1
+    same_as = alike(item, set(text[max(0, first) : last + len(item)]))
+    nothing = (0.0, 0, 0)  # score, place in the item where the alignment begins, words kept
+    above = [nothing] * (width + 1)
+    best = nothing
     for i, w in enumerate(item):
-        same = alike[w]
-        row = [(0.0, i + 1, 0)]
-        corner, left = above[0], row[0]
-        for j, x in enumerate(window, 1):
-            up = above[j]
-            if x in same:
-                cell = (corner[0] + KEPT, corner[1] if corner[0] > 0 else i, corner[2] + 1)
+        same, row, left = same_as[w], [], nothing
+        for d in range(width):
+            j = i + first + d
+            if not 0 <= j < n:
+                left = nothing
+                row.append(nothing)
+                continue
+            corner = above[d]
+            if text[j] in same:
+                left = (corner[0] + KEPT, corner[1] if corner[0] > 0 else i, corner[2] + 1)
+                if left[0] > best[0]:
+                    best = (left[0], left[2], i + 1 - left[1])
             else:
-                cell = max(corner, up, left)
-                cell = (cell[0] - CHANGED, cell[1], cell[2]) if cell[0] > CHANGED else (0.0, i + 1, 0)
-            if cell[0] > best[0]:
-                best = (cell[0], cell[2], i + 1 - cell[1])
-            row.append(cell)
-            corner, left = up, cell
+                up = above[d + 1]
+                if up[0] > left[0]:
+                    left = up
+                if corner[0] > left[0]:
+                    left = corner
+                left = (left[0] - CHANGED, left[1], left[2]) if left[0] > CHANGED else nothing
+            row.append(left)
+        row.append(nothing)
         above = row
     _, kept, span = best
     return span / len(item) if span and kept >= DENSITY * span else 0.0
