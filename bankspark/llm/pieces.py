@@ -84,9 +84,10 @@ def bisect(tokens: list[int], marks: list[int], limit: int) -> list[int]:
 
 def pieces_of(text: str, own: Transducer, limit: int, overlap: int) -> list[tuple[int, int, int, int, str]]:
     """(start with overlap, own start, end, tokens, text) of each piece, in characters."""
+    whole = len(own.encode(text))
+    if whole <= limit:
+        return [(0, 0, len(text), whole, text)]
     chars, tokens, marks = boundaries(text, own)
-    if tokens[-1] <= limit:
-        return [(0, 0, len(text), tokens[-1], text)]
     out = []
     cuts = bisect(tokens, marks, limit - overlap)
     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
