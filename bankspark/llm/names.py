@@ -193,6 +193,11 @@ def link(df: DataFrame, one: str, many: str) -> DataFrame:
     short = names.where("kind in ('initial', 'nick')").join(first, "spelling").select("spelling", "kind", F.col("parts")[0].alias("family"), "alternatives")
     fits = F.when(F.col("kind") == "nick", F.array_contains("alternatives", F.col("given"))).otherwise(F.col("given").startswith(F.col("alternatives")[0]))
     bearers = short.join(full, "family").where(fits).groupBy("spelling").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("entity")).where("n = 1")
+    # a nickname before a family name with a typing error
+    unknown = short.where("kind = 'nick'").join(bearers.select("spelling"), "spelling", "left_anti").select("spelling", F.col("family").alias("typed"), F.explode("alternatives").alias("given"))
+    bent = unknown.join(full, "given").where(one_error(F.col("typed"), F.col("family")) & (F.length("typed") >= LEAST_PART))
+    bent = bent.groupBy("spelling").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("entity")).where("n = 1")
+    bearers = cut(bearers.union(bent.select(*bearers.columns)))
     # through the lead spelling of the entity the short form joins it
     lead = bearers.select("spelling", F.concat(F.lit("short|"), "entity").alias("k"))
     lead = lead.union(first.join(bearers.select("entity").distinct(), "entity").where("spelling = entity").select("spelling", F.concat(F.lit("short|"), "entity").alias("k")))
