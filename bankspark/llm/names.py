@@ -29,9 +29,9 @@ from bankspark.llm.splits import components
 from bankspark.operators.split_values import values_of
 from bankspark.runtime import cut
 
-PIVOTS, RADIUS, LEAST_PART = 12, 2, 4
-#: Families that a part stands with before it is taken for a given name of its own.
-PARTNERS = 4
+PIVOTS, RADIUS, LEAST_PART = 12, 2, 3
+#: Parts that a part stands with before it is taken for a name of its own, and how many times fewer than its neighbour's make it an error.
+PARTNERS, FEWER = 4, 8
 ADDRESS = r"[\p{L}\p{N}._%+'&=/~-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*"
 #: Nicknames and the given names they may stand for.
 NICKNAMES = {
@@ -45,7 +45,7 @@ NICKNAMES = {
         "maggie": "margaret", "matt": "matthew", "max": "maximilian maxwell", "meg": "margaret", "mick": "michael", "mike": "michael", "nat": "natalia nathaniel", "natasha": "natalia", "ned": "edward", "nell": "eleanor", "nick": "nicholas", "nora": "eleanor", "ollie": "oliver", "pam": "pamela",
         "pat": "patricia patrick", "patty": "patricia", "peggy": "margaret", "pete": "peter", "phil": "philip philippa", "pip": "philippa philip", "quin": "quentin", "ray": "raymond", "rich": "richard", "rick": "richard", "rob": "robert", "ron": "ronald", "sam": "samuel samantha", "seb": "sebastian", "steve": "stephen",
         "sue": "susannah susan", "susie": "susannah susan", "ted": "theodore edward", "terry": "terence theresa", "theo": "theodore", "thea": "dorothea theodora", "tim": "timothy", "tina": "christina", "tom": "thomas", "tony": "anthony", "tricia": "patricia", "trish": "patricia", "vic": "victor victoria", "vicky": "victoria",
-        "wally": "walter", "walt": "walter", "will": "william", "zach": "zachary", "zack": "zachary", "bastian": "sebastian", "kim": "kimberly", "gus": "august augustus", "wes": "wesley", "hank": "henry", "jack": "john", "cindy": "cynthia", "sandy": "alexandra sandra", "xen": "xenia",
+        "wally": "walter", "walt": "walter", "will": "william", "zach": "zachary", "zack": "zachary", "bastian": "sebastian", "kim": "kimberly", "gus": "august augustus", "wes": "wesley", "hank": "henry", "jack": "john", "cindy": "cynthia", "sandy": "alexandra sandra alexander", "xen": "xenia",
     }.items()
 }
 TITLES = set("dr mr mrs ms miss prof sir dipl ing jr sr ii iii iv phd md esq".split())
@@ -55,6 +55,10 @@ LEGAL = set("inc llc llp ltd limited co company corporation plc gmbh ag sa the a
 FIRM = set(FIRM_WORDS.values()) | set("services service partners freight grid marine power gas grain rail timber steel pipeline brokers board group lines legal credit port supply storage yard desk trading energy".split())
 
 
+#: Words of firms without their vowels.
+SKELETONS = {w[0] + "".join(c for c in w[1:] if c not in "aeiou"): w for w in sorted(FIRM)}
+
+
 def parts_of(spelling: str) -> tuple[str, list[str], list[str]]:
     """(kind, parts, alternatives): kind is person, initial, nick, firm or other; alternatives are given names a nickname may mean."""
     text = re.sub(r"\s*/\s*\w+$", "", spelling)
@@ -63,7 +67,7 @@ def parts_of(spelling: str) -> tuple[str, list[str], list[str]]:
     folded = "".join(FOLD.get(c, c) for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
     words = [w for w in re.findall(r"[^\W\d_]+", folded) if w not in TITLES]
     full = [w for w in words if len(w) > 1]
-    expanded = [FIRM_WORDS.get(w, w) for w in full]
+    expanded = [FIRM_WORDS.get(w) or SKELETONS.get(w, w) for w in full]
     if len(full) > 2 or any(w in FIRM or w in LEGAL for w in expanded):
         kept = [w for w in expanded if w not in LEGAL] or expanded
         return "firm", kept, []
@@ -152,14 +156,16 @@ def link(df: DataFrame, one: str, many: str) -> DataFrame:
     confirmed = shown.where("address is not null").select(F.explode("parts").alias("part"), local.alias("local")).where(F.expr("contains(local, part)")).select("part")
     persons = names.where("kind = 'person' and size(parts) = 2").select(F.col("parts")[0].alias("a"), F.col("parts")[1].alias("b")).distinct()
     both = persons.union(persons.select("b", "a"))
-    given = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PARTNERS).select(F.col("a").alias("part"))
-    sure = cut(confirmed.union(given).distinct())
+    partners = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(F.col("a").alias("part"), "n")
+    known = cut(partners.join(confirmed.distinct().withColumn("c", F.lit(True)), "part", "left").select("part", "n", F.coalesce("c", F.lit(False)).alias("c")))
 
     # typing errors in one part of a person
     parts = both.select(F.col("a").alias("anchor"), F.col("b").alias("part")).where(F.length("part") >= LEAST_PART).distinct()
     near = radius_join(cut(parts)).where(one_error(F.col("x"), F.col("y")))
-    near = near.join(sure.select(F.col("part").alias("x"), F.lit(True).alias("sx")), "x", "left").join(sure.select(F.col("part").alias("y"), F.lit(True).alias("sy")), "y", "left")
-    near = cut(near.where("sx is null or sy is null"))
+    near = near.join(known.toDF("x", "nx", "cx"), "x").join(known.toDF("y", "ny", "cy"), "y")
+    own = lambda c, n, other: F.col(c) | ((F.col(n) >= PARTNERS) & (F.col(n) * FEWER > F.col(other)))
+    near = near.select("anchor", "x", "y", own("cx", "nx", "ny").alias("sx"), own("cy", "ny", "nx").alias("sy"))
+    near = cut(near.where("not (sx and sy)"))
     # an unconfirmed part with two confirmed neighbours says nothing
     sided = near.select("anchor", F.col("x").alias("part"), F.col("y").alias("other"), F.col("sy").alias("s")).union(near.select("anchor", "y", "x", "sx"))
     torn = sided.groupBy("anchor", "part").agg(F.count_if(F.col("s")).alias("n")).where("n > 1").select("anchor", "part")
