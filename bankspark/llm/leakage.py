@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 SEED, SHARE, BLOCK_WORDS = 3, 0.38, 200_000
 #: Alignment: what a kept word adds; what a word changed, left out or put in takes off.
 KEPT, CHANGED = 1.0, 1.5
-#: The least share of kept words in a stretch; texts made from the same phrases with other words stay below.
-DENSITY = 0.85
+#: The least share of kept words in a short stretch and in one of LONG or more of the item; texts made from the same
+#: phrases with other words stay below the one and do not get as long as the other.
+DENSITY, LONG, LONG_DENSITY = 0.92, 0.6, 0.8
 #: Words of a chain of seeds, as a share of the item's words, that a window needs to be aligned.
 SEED_SHARE = 0.15
 ARTICLES = {"a", "an", "the"}
@@ -224,7 +225,8 @@ def stretch(item: list[str], text: list[str], first: int, last: int) -> float:
         row.append(nothing)
         above = row
     _, kept, span = best
-    return span / len(item) if span and kept >= DENSITY * span else 0.0
+    share = span / len(item)
+    return share if span and kept >= (DENSITY if share < LONG else LONG_DENSITY) * span else 0.0
 
 
 def blocks(items: list[tuple[int, str | None]], size: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[str]]]]:
