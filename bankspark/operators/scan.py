@@ -15,7 +15,7 @@ from collections.abc import Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bankspark import model
 from bankspark.model import BankError
@@ -45,7 +45,8 @@ def detectors(bank: Mapping[str, Any], statuses: tuple[str, ...] = ("active",),
         if identities.setdefault((e, canonical, surface), (n, p)) != (n, p):
             raise BankError(f"{e}/{canonical}/{surface} names more than one detector")
         out.append({"entity": e, "canonical_name": canonical, "surface_name": surface, "regex": pattern, "flags": flags, "priority": x["priority"], "entity_id": e, "name_id": n, "pattern_id": p, "pattern_kind": x["kind"], "value": x["value"]})
-        compile_pattern(pattern, flags)
+        if not literal:  # escaped literals always compile
+            compile_pattern(pattern, flags)
     out.sort(key=lambda d: (d["entity"], d["priority"], d["canonical_name"], d["surface_name"], d["regex"], d["flags"]))
     if len(out) > model.LIMITS["bank_patterns"]:
         raise BankError("the bank has too many patterns")
@@ -75,12 +76,25 @@ def ordered_alternatives(spark: SparkSession, rows: list[dict[str, Any]]) -> lis
     return out
 
 
+class _Compiled(dict):
+    """Detector to compiled pattern, made when first needed: most texts need few of a large bank's patterns."""
+
+    def __init__(self, found: list[dict[str, Any]]):
+        super().__init__()
+        self.found = found
+
+    def __missing__(self, i: int) -> Any:
+        d = self.found[i]
+        self[i] = compile_pattern(d["regex"], d["flags"])
+        return self[i]
+
+
 class Scanner:
     """A worker's compiled bank."""
 
     def __init__(self, found: list[dict[str, Any]]):
         self.found = found
-        self.compiled = [compile_pattern(d["regex"], d["flags"]) for d in found]
+        self.compiled = _Compiled(found)
         self.always = [i for i, d in enumerate(found) if fragment(d) is None]
         by_text: dict[str, list[int]] = defaultdict(list)
         for i, d in enumerate(found):
@@ -219,8 +233,15 @@ def dictionary_join(df: DataFrame, key: str, text: str, patterns: DataFrame, lon
     `patterns` has entity, name_id, pattern_id, value; words are letters, digits and dots that end an initial.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    rows = df.select(F.col(key), words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))), lambda i: F.struct(i.alias("position"), F.array_join(F.slice(F.col("w"), i, n), " ").alias("gram"), (i + n - 1 <= F.size("w")).alias("whole")))))
-    rows = rows.select(key, F.explode(grams).alias("g")).where("g.whole").select(key, "g.position", "g.gram")
+
+    def grams(x: Column, i: Column) -> Column:
+        out, last = [x], x
+        for n in range(1, longest):  # null beyond the end
+            last = F.concat(last, F.lit(" "), F.get("w", i + n))
+            out.append(last)
+        return F.array(*out)
+
+    rows = df.select(F.col(key), words(F.col(text)).alias("w")).select(key, F.posexplode(F.transform("w", grams)).alias("i", "g"))
+    rows = rows.select(key, (F.col("i") + 1).cast("long").alias("position"), F.explode("g").alias("gram")).where("gram is not null")
     bank = patterns.select("entity_id", "name_id", "pattern_id", F.array_join(words(F.col("value")), " ").alias("gram")).where("gram <> ''")
     return rows.join(bank, "gram").select(key, "entity_id", "name_id", "pattern_id", "position")
