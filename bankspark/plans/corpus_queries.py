@@ -267,3 +267,31 @@ ORACLE = {
     "size_buckets": f"SELECT {SIZE} AS bucket, count(*) AS documents FROM (SELECT coalesce(strlen(text), 0) AS b FROM documents) GROUP BY 1",
     "mailbox_folders": r"""WITH f AS (SELECT lower(string_split(replace(file_name, '\', '/'), '/')[-2]) AS f FROM enron_preparation) SELECT CASE WHEN regexp_matches(f, '^inbox|_inbox$') THEN 'inbox' WHEN f LIKE '%sent%' THEN 'sent' WHEN regexp_matches(f, 'deleted|trash') THEN 'deleted' WHEN regexp_matches(f, 'all_documents|archive|old_mail|^[0-9]{4}$') THEN 'archive' WHEN f IS NOT NULL THEN 'other' END AS folder, count(*) AS rows FROM f GROUP BY 1""",
 }
+
+# the layout, the leakage groups by reachability, and the temporal split, for the queries built on them
+NATURAL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '\r\n|[\r\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'),
+  '[\x{{ad}}\x{{34f}}\x{{61c}}\x{{115f}}\x{{1160}}\x{{17b4}}\x{{17b5}}\x{{180b}}-\x{{180f}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{206f}}\x{{3164}}\x{{fe00}}-\x{{fe0f}}\x{{feff}}\x{{ffa0}}\x{{fff0}}-\x{{fff8}}]', '', 'g'),
+  '[\t\x{{b}}\x{{c}} \x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')"""
+LEAKAGE = f"""{PEOPLE}, feats AS (
+    SELECT row_id, 'exact_plaintext' AS family, t AS f FROM (SELECT row_id, {NATURAL.format(c='body')} AS t FROM enron_preparation) WHERE t <> ''
+    UNION SELECT row_id, unnest(['same_message_id', 'message_id_reference']), m FROM (SELECT row_id, {MESSAGE} AS m FROM enron_preparation) WHERE m <> ''
+    UNION SELECT row_id, 'thread_shared_participant', t || chr(1) || p FROM (SELECT row_id, {THREAD} AS t FROM enron_preparation) JOIN people USING (row_id) WHERE t <> ''),
+  linked AS (SELECT DISTINCT a.row_id AS x, b.row_id AS y FROM feats a JOIN feats b USING (family, f)),
+  reach AS (SELECT row_id AS x, row_id AS y FROM enron_preparation UNION SELECT r.x, e.y FROM reach r JOIN linked e ON r.y = e.x),
+  lg AS (SELECT x AS row_id, min(y) AS g FROM reach GROUP BY 1)"""
+DATED = "dated AS (SELECT row_id, loaded_at AS at_, coalesce(loaded_at BETWEEN TIMESTAMP '1990-01-01' AND TIMESTAMP '2010-12-31 23:59:59', false) AS ok FROM enron_preparation), whole AS (SELECT g, count(*) AS records, max(CASE WHEN ok THEN at_ END) AS anchor FROM lg JOIN dated USING (row_id) GROUP BY 1)"
+ROLED = f"{LEAKAGE}, {DATED}, {SPLIT}, roles AS (SELECT g, CASE WHEN cum.c <= a.c THEN 'train' WHEN cum.c <= b.c THEN 'validation' ELSE 'test' END AS role FROM cum, a, b)"
+RECURRING = f"""{ROLED}, known AS (SELECT p, count(DISTINCT g) AS n FROM people JOIN lg USING (row_id) JOIN roles USING (g) WHERE role = 'train' GROUP BY 1),
+  per AS (SELECT row_id, count(*) AS identities, count(*) FILTER (coalesce(n, 0) > 0) AS k, array_to_string(list_sort(list(DISTINCT CASE WHEN coalesce(n, 0) = 0 THEN 'novel' WHEN n = 1 THEN 'tail' WHEN n < 10 THEN 'mid' ELSE 'head' END)), ',') AS frequencies FROM people LEFT JOIN known USING (p) GROUP BY 1),
+  rec AS (SELECT row_id, CASE WHEN identities IS NULL THEN 'unavailable' WHEN k = identities THEN 'all_known' WHEN k = 0 THEN 'all_novel' ELSE 'mixed' END AS recurrence, coalesce(identities, 0) AS identities, coalesce(frequencies, '') AS frequencies FROM enron_preparation LEFT JOIN per USING (row_id))"""
+FOLDER = r"""CASE WHEN regexp_matches(f, '^inbox|_inbox$') THEN 'inbox' WHEN f LIKE '%sent%' THEN 'sent' WHEN regexp_matches(f, 'deleted|trash') THEN 'deleted' WHEN regexp_matches(f, 'all_documents|archive|old_mail|^[0-9]{4}$') THEN 'archive' WHEN f IS NOT NULL THEN 'other' ELSE 'unavailable' END"""
+ORACLE |= {
+    "leakage_components": f"WITH RECURSIVE {LEAKAGE} SELECT row_id, g AS group_row FROM lg",
+    "leakage_edge_families": f"WITH RECURSIVE {LEAKAGE}, low AS (SELECT family, f, min(row_id) AS b, count(*) AS n FROM feats GROUP BY 1, 2 HAVING count(*) > 1), ends AS (SELECT row_id, family FROM feats JOIN low USING (family, f)) SELECT g AS group_row, array_to_string(list_sort(list(DISTINCT family)), ',') AS families FROM ends JOIN lg USING (row_id) GROUP BY 1",
+    "temporal_split": f"WITH RECURSIVE {ROLED} SELECT g AS group_row, role FROM roles",
+    "allocation_audit": f"WITH RECURSIVE {ROLED} SELECT role, count(*) AS groups, CAST(sum(records) AS BIGINT) AS records, round((SELECT sum(records) FROM whole) * CASE role WHEN 'train' THEN 0.8 WHEN 'validation' THEN 0.1 ELSE 1 - 0.8 - 0.1 END, 6)::DOUBLE AS target FROM roles JOIN whole USING (g) GROUP BY 1",
+    "identity_recurrence": f"WITH RECURSIVE {RECURRING} SELECT row_id, recurrence, identities, frequencies FROM rec",
+    "cohort_counters": f"""WITH RECURSIVE {RECURRING}, tags AS (SELECT role, unnest(list_concat(['identity:' || recurrence, 'folder:' || {FOLDER}, 'size:' || {SIZE}, 'group_size:' || {GROUP_SIZE}], list_transform(list_filter(string_split(frequencies, ','), lambda x: x <> ''), lambda x: 'frequency:' || x))) AS cohort
+        FROM (SELECT e.row_id, lower(string_split(replace(file_name, '\\', '/'), '/')[-2]) AS f, strlen(coalesce(body, '')) AS b FROM enron_preparation e) JOIN rec USING (row_id) JOIN lg USING (row_id) JOIN roles USING (g) JOIN (SELECT g, records AS n FROM whole) USING (g)) SELECT role, cohort, count(*) AS rows FROM tags GROUP BY 1, 2""",
+    "natural_layout": f"""SELECT row_id, length(body) AS before, length({NATURAL.format(c='body')}) AS after, trim(regexp_replace({NATURAL.format(c="coalesce(subject, '')")}, '\\s+', ' ', 'g'), ' ') AS subject FROM enron_preparation WHERE body IS NOT NULL""",
+}

@@ -287,3 +287,24 @@ ORACLE = {
         s AS (SELECT id, sum(CASE WHEN (id >> (rk - 1)) & 1 = 1 THEN -diff ELSE diff END) AS s FROM (SELECT *, row_number() OVER (ORDER BY block) AS rk FROM b) b, (SELECT unnest(range(CAST(2 ** (SELECT count(*) FROM b) AS BIGINT))) AS id) GROUP BY 1), o AS (SELECT sum(diff) AS o, count(*) AS n FROM b)
         SELECT round(max(o) / max(n), 9) AS mean_difference, round(avg(CASE WHEN abs(s) >= abs(o) - 1e-9 THEN 1.0 ELSE 0.0 END), 9) AS p_value FROM s, o""",
 }
+
+# display names beside addresses join contacts and domains
+NAMED = MINED.replace("ev AS (", r"""shown AS (SELECT *, trim(regexp_replace(regexp_replace(value, '<[^>]*>|\[mailto:[^\]]*\]|ADDR', '', 'g'), '^[\s"''(]+|[\s"'')]+$', '', 'g'), ' ') AS name FROM a WHERE address IS NOT NULL),
+  o2 AS (SELECT * FROM o UNION ALL SELECT row_id, mailbox, tm, source, address, 'display_name', name FROM shown WHERE regexp_full_match(lower(name), '\p{L}[\p{L}.''-]*(?: \p{L}[\p{L}.''-]*){1,3}')),
+  ev AS (""".replace("ADDR", ADDRESS)).replace("FROM o GROUP BY", "FROM o2 GROUP BY")
+CURATED = f"""{NAMED}, why AS (SELECT *, CASE WHEN kind = 'display_name' AND owners > 1 THEN 'ambiguous_owner' WHEN documents < 3 THEN 'few_documents' WHEN groups < 2 THEN 'few_groups' END AS why FROM ev),
+  cur AS (SELECT kind, candidate, groups, documents, CASE WHEN why IS NOT NULL OR n > 600 THEN 'rejected' WHEN n <= 200 THEN 'active' ELSE 'draft' END AS decision, coalesce(why, CASE WHEN n > 600 THEN 'over_capacity' ELSE 'supported' END) AS reason
+    FROM (SELECT *, row_number() OVER (PARTITION BY kind, why IS NULL ORDER BY groups DESC, documents DESC, candidate) AS n FROM why))"""
+ORACLE |= {
+    "candidate_names": f"WITH {NAMED} SELECT * FROM ev WHERE kind = 'display_name'",
+    "curation_decisions": f"WITH {CURATED} SELECT kind, candidate, groups, documents, decision, reason FROM cur",
+    "candidate_funnel_sets": f"WITH {CURATED} SELECT CAST(grouping(decision, kind, reason) AS BIGINT) AS level, kind, decision, reason, count(*) AS candidates FROM cur GROUP BY GROUPING SETS ((decision), (kind), (reason), ())",
+    "candidate_priorities": f"WITH {CURATED} SELECT kind, candidate, 19999 + row_number() OVER (PARTITION BY kind ORDER BY length(candidate) DESC, groups DESC, candidate) AS priority FROM cur WHERE decision = 'active'",
+    "pseudonym_assign": f"WITH {KEPT}, f AS (SELECT name_id, row_number() OVER (ORDER BY first_at) AS n FROM (SELECT entity_id, name_id, min((doc_id, s, e)) AS first_at FROM kept GROUP BY 1, 2)), c AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier) SELECT name_id, CAST(s_suppkey AS VARCHAR) AS candidate_id, s_name AS value FROM f LEFT JOIN c USING (n)",
+    "conformance_status": f"""WITH {EVAL}, {GOLD}, {PRED}, e AS (SELECT *, row_number() OVER (PARTITION BY document, s, e, entity_id, name_id, pattern_id) AS r FROM gold), p AS (SELECT *, row_number() OVER (PARTITION BY document, s, e, entity_id, name_id, pattern_id) AS r FROM pred),
+        ok AS (SELECT e.document, e.s, e.e, e.entity_id, e.name_id, e.pattern_id, e.r, p.r IS NOT NULL AS hit FROM e LEFT JOIN p ON (e.document, e.s, e.e, e.entity_id, e.name_id, e.pattern_id, e.r) = (p.document, p.s, p.e, p.entity_id, p.name_id, p.pattern_id, p.r)),
+        er AS (SELECT *, row_number() OVER (PARTITION BY document, s, e ORDER BY entity_id, name_id, pattern_id) AS k FROM ok WHERE NOT hit),
+        pr AS (SELECT p.*, row_number() OVER (PARTITION BY p.document, p.s, p.e ORDER BY p.entity_id, p.name_id, p.pattern_id) AS k FROM p WHERE NOT EXISTS (SELECT 1 FROM e WHERE (e.document, e.s, e.e, e.entity_id, e.name_id, e.pattern_id, e.r) = (p.document, p.s, p.e, p.entity_id, p.name_id, p.pattern_id, p.r))),
+        st AS (SELECT name_id, 'correct' AS status FROM ok WHERE hit UNION ALL SELECT er.name_id, CASE WHEN pr.k IS NULL THEN 'missed' ELSE 'wrong_canonical' END FROM er LEFT JOIN pr ON er.document = pr.document AND er.s = pr.s AND er.e = pr.e AND er.k = pr.k)
+        SELECT status, count(*) AS matches, count(DISTINCT name_id) AS names FROM st GROUP BY 1""",
+}
