@@ -16,6 +16,7 @@ it belongs to the ending; line numbers count all lines from 1; repeated rows giv
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -218,10 +219,9 @@ def new_lines(df: DataFrame, key: str, body: str, sender: Column, message: Colum
     history = both.select("k", "b", "ab").mapInArrow(_verify, f"k {kind}, line_no long")
 
     # closings: whole lines of four words or more that many senders share
-    senders = seen.agg(F.countDistinct("s").alias("n")).select(F.greatest(F.lit(RECURRING_LEAST), F.ceil(F.col("n") * RECURRING_SHARE)).alias("least"))
+    least = max(RECURRING_LEAST, math.ceil(seen.agg(F.countDistinct("s")).first()[0] * RECURRING_SHARE))
     lines = seen.select("k", "s", F.explode("whole").alias("w")).select("k", "s", "w.n", "w.h")
-    often = lines.groupBy("h").agg(F.approx_count_distinct("s", 0.02).alias("about"), F.count_if(F.lit(True)).alias("rows")).where(F.col("rows") >= RECURRING_LEAST)
-    often = often.join(F.broadcast(senders)).where("about >= least").select("h")
+    often = lines.groupBy("h").agg(F.approx_count_distinct("s", 0.02).alias("about"), F.count(F.lit(1)).alias("rows")).where((F.col("rows") >= least) & (F.col("about") >= least)).select("h")
     closings = lines.join(often, "h", "left_semi").select("k", F.col("n").cast("long").alias("line_no"))
 
     dropped = history.union(closings).distinct()
