@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Fixed value: how the vocabulary's text is cut into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ARCS, WORDS = 2_000_000, 400_000
+ARCS, WORDS, NEVER = 2_000_000, 400_000, 1 << 60
 
 
 def default_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -48,6 +48,7 @@ class Transducer:
         self.open = {b[:n] for b in ranks for n in range(1, len(b))}  # what a longer token begins with
         self.split = regex.compile(PATTERN).findall
         self.fits: dict[tuple[int, int], bool] = {}
+        self.edges: dict[tuple[int, bool], tuple[int, ...]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.reset()
 
@@ -56,31 +57,51 @@ class Transducer:
         self.states: list[tuple[int, bytes, tuple[int, ...]]] = [(-1, b"", ())]
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
 
-    def merged(self, text: bytes) -> list[int]:
-        """BPE by definition, for the few bytes of two neighbours."""
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that the last merge joins to this one; None for a single byte."""
+        text = self.bytes_of[token]
         parts = [text[i : i + 1] for i in range(len(text))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            pair, out, i = (parts[best], parts[best + 1]), [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(pair[0] + pair[1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.ranks[p] for p in parts]
+        if len(parts) == 1:
+            return None
+        while len(parts) > 2:
+            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            parts[at : at + 2] = [self.bytes_of[rank]]
+        return self.ranks[parts[0]], self.ranks[parts[1]]
+
+    def edge(self, token: int, right: bool) -> tuple[int, ...]:
+        """The tokens that stand at one end of this one while it is merged, from the byte to itself."""
+        known = self.edges.get((token, right))
+        if known is None:
+            inner = self.halves(token)
+            known = self.edges[token, right] = (token,) if inner is None else (*self.edge(inner[right], right), token)
+        return known
 
     def fit(self, a: int, b: int) -> bool:
-        """Whether tokens a, b stay apart when their bytes stand together."""
+        """Whether tokens a, b stay apart when their bytes stand together: no merge over their border comes first.
+
+        At any time one token of each one's edge stands at the border. The pair merges if its rank is below that of
+        the next merge of either side (at equal ranks the one further left goes first).
+        """
         known = self.fits.get((a, b))
         if known is None:
             if len(self.fits) > ARCS:
                 self.fits.clear()
-            known = self.fits[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            x, y, i, j = self.edge(a, True), self.edge(b, False), 0, 0
+            while True:
+                over = self.ranks.get(self.bytes_of[x[i]] + self.bytes_of[y[j]], NEVER)
+                left = x[i + 1] if i + 1 < len(x) else NEVER
+                right = y[j + 1] if j + 1 < len(y) else NEVER
+                if over < left and over <= right and over < NEVER:
+                    known = False
+                    break
+                if left == right == NEVER:
+                    known = True
+                    break
+                if left <= right:
+                    i += 1
+                else:
+                    j += 1
+            self.fits[a, b] = known
         return known
 
     def _last(self, prev: int, pending: bytes, starts: tuple[int, ...], at: int) -> int:

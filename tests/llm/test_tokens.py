@@ -69,3 +69,23 @@ def test_cuts_are_at_paragraphs_where_there_are_any(spark):
     assert len(long) > 1 and all(text[: r.own_char].endswith("\n\n") for r in long[1:])
     assert all(r.start_char < r.own_char for r in long[1:])
     assert {(r.doc_id, r.n_pieces, r.piece) for r in rows if r.doc_id != 1} == {(2, 1, ""), (3, 1, "short")}
+
+
+def test_pairs_fit_exactly_if_merging_keeps_them_apart():
+    def merged(text):
+        parts = [text[i : i + 1] for i in range(len(text))]
+        while len(parts) > 1:
+            rank, at = min((own.ranks.get(parts[i] + parts[i + 1], bpe.NEVER), i) for i in range(len(parts) - 1))
+            if rank == bpe.NEVER:
+                break
+            parts[at : at + 2] = [own.bytes_of[rank]]
+        return [own.ranks[p] for p in parts]
+
+    rng = random.Random(1)
+    ids = list(own.bytes_of)
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(4000)]
+    for t in rng.sample(ids, 1500):  # the parts of a token never fit
+        text = own.bytes_of[t]
+        pairs += [(own.ranks[text[:k]], own.ranks[text[k:]]) for k in range(1, len(text)) if text[:k] in own.ranks and text[k:] in own.ranks]
+    for a, b in pairs:
+        assert own.fit(a, b) == (merged(own.bytes_of[a] + own.bytes_of[b]) == [a, b])
