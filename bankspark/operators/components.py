@@ -26,7 +26,7 @@ def components(df: DataFrame, key: str, links: dict[str, Column]) -> DataFrame:
     # row -> the smallest rows of its keys; the first is its parent, the others are linked with it
     own = pairs.join(least, "k").groupBy("row").agg(F.array_sort(F.collect_set("low")).alias("lows"))
     own = cut(own)
-    edges = own.where(F.size("lows") > 1).select(F.element_at("lows", 1).alias("b"), F.explode(F.slice("lows", 2, 64)).alias("a")).distinct()
+    edges = own.where(F.size("lows") > 1).select(F.element_at("lows", 1).alias("b"), F.explode(F.slice("lows", F.lit(2), F.size("lows"))).alias("a")).distinct()
     roots = own.select("row", F.element_at("lows", 1).alias("group"))
     for _ in range(64):
         edges = cut(edges)

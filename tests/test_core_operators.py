@@ -122,3 +122,10 @@ def test_components_equal_union_find(spark):
     linked = df.where("row_id between 1000 and 1999").select("row_id", F.explode(F.array("a", "b")).alias("k"))
     assert {r.group for r in components(linked, "row_id", {"k": chain(F.col("k"))}).collect()} == {1000}
     assert components(df.limit(0), "row_id", {"a": F.col("a")}).count() == 0
+
+
+def test_a_row_with_many_keys_links_them_all(spark):
+    rows = [(i, f"k{i}") for i in range(200)] + [(999, f"k{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "row_id long, k string")
+    got = components(df, "row_id", {"k": F.col("k")}).collect()
+    assert len(got) == 201 and {r.group for r in got} == {0}
