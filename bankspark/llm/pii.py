@@ -93,6 +93,10 @@ def around(line: str, start: int, end: int) -> tuple[list[str], str, str, str]:
     return before, after, line[start - 1 : start], line[end : end + 1]
 
 
+#: Features of numbers of more than six groups; fitted after the others.
+MANY = "many groups:"
+
+
 def number_features(kind: str, line: str, start: int, end: int) -> list[str]:
     value = line[start:end]
     digits = re.sub(r"\D", "", value)
@@ -100,6 +104,9 @@ def number_features(kind: str, line: str, start: int, end: int) -> list[str]:
     before, after, left, right = around(line, start, end)
     near = set(before[-2:])
     f = [f"{kind}", f"{kind}:groups={groups}", f"{kind}:n={min(len(digits), 14)}"]
+    if groups.count("-") > 5:
+        lead = "plus" if value[0] == "+" else "exit" if digits[:2] == "00" else "plain"
+        f += [f"{MANY}{kind}:{lead}"] + [f"{MANY}{kind}:singles"] * (2 * groups.split("-").count("1") >= groups.count("-"))
     if value[0] == "+":
         f.append(f"{kind}:plus")
     if value[0] == "(":
@@ -197,10 +204,10 @@ def candidates(line: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
         for m in DIGITS.finditer(line):
             if len(m.group()) < 7:
                 continue
-            groups = list(GROUP.finditer(line, m.start(), m.end()))[:12]
+            groups = list(GROUP.finditer(line, m.start(), m.end()))
             for i, a in enumerate(groups):
                 n = 0
-                for b in groups[i : i + 6]:
+                for b in groups[i : i + 15]:  # 15 digits are in at most 15 groups
                     n += sum(map(str.isdigit, b.group()))
                     if n > 15:
                         break
@@ -353,15 +360,36 @@ def training_lines(n: int = TRAIN_LINES, seed: int = 20260101) -> Iterator[tuple
         yield line, gold
 
 
+def number_rows(n: int, seed: int = 20260102) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """Labelled lines of counted or listed numbers, some with a phone number of many groups or one behind the row."""
+    rng = random.Random(seed)
+    digits = lambda m: "".join(rng.choice("123456789") if c == "9" else rng.choice("23456789") if c == "2" else c for c in m)
+    for _ in range(n):
+        many, first, top = rng.randint(4, 24), rng.randint(0, 9), rng.choice((9, 9, 40, 400))
+        row = " ".join(str(first + i if top == 40 else rng.randint(1, top)) for i in range(many))
+        abroad, local = digits(rng.choice(("+33 (0)9 99 99 99 99", "00 33 9 99 99 99 99"))), digits(rng.choice(("299-299-9999", "(299) 299-9999", "299.299.9999")))
+        line, value = rng.choice(((row, ""), (row, ""), (f"{row} {local}", local), (f"Call {abroad}", abroad), (abroad, abroad), (f"{local} {abroad}", abroad)))
+        gold = [(len(line) - len(value), len(line), "phone")] if value else []
+        yield line, [(0, len(local), "phone"), *gold] if line == f"{local} {abroad}" else gold
+
+
 @functools.lru_cache(2)
 def fitted(n: int = TRAIN_LINES, epochs: int = EPOCHS) -> Field:
     """The field fitted to the training lines."""
+    field = Field(defaultdict(float))
+    _fit(field, training_lines(n), epochs, False)
+    _fit(field, number_rows(n // 10), epochs, True)
+    return Field(dict(field.w))
+
+
+def _fit(field: Field, lines: Iterator[tuple[str, list[tuple[int, int, str]]]], epochs: int, many: bool) -> None:
+    """Fit the weights of numbers of more than six groups with the others held, or of the others without such numbers."""
     data = []
-    for line, gold in training_lines(n):
-        found = candidates(line)
+    for line, gold in lines:
+        found = [c for c in candidates(line) if many or not any(f.startswith(MANY) for f in c[3])]
         wanted = {(s, e, k) for s, e, k in gold}
         data.append((found, [1.0 if c[:3] in wanted else 0.0 for c in found]))
-    field, rng = Field(defaultdict(float)), random.Random(1)
+    rng = random.Random(1)
     for epoch in range(epochs):
         rng.shuffle(data)
         rate = RATE / (1 + epoch)
@@ -372,8 +400,9 @@ def fitted(n: int = TRAIN_LINES, epochs: int = EPOCHS) -> Field:
                 step = rate * (want - have)
                 if abs(step) > 1e-4:
                     for f in features:
+                        if many and not f.startswith(MANY):
+                            continue
                         field.w[f] += step - rate * DECAY * field.w[f]
-    return Field(dict(field.w))
 
 
 def values_of(field: Field, text: str, memo: dict[str, list[tuple[int, int, str]]]) -> dict[tuple[str, str], None]:

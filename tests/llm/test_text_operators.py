@@ -152,6 +152,22 @@ def test_held_out_lines():
     assert hit / (hit + extra) > 0.98 and hit / (hit + missed) > 0.98
 
 
+@pytest.mark.parametrize(
+    "line,values",
+    [
+        (" ".join(f"713-555-010{i}" for i in range(1, 6)), [("phone", f"713-555-010{i}") for i in range(1, 6)]),
+        ("1 2 3 4 5 6 7 8 9 10 11 12 713-555-0155", [("phone", "713-555-0155")]),
+        ("1 2 3 4 5 6 7 8 9 10 11 12 SSN 123-45-6789", [("id_number", "123-45-6789")]),
+        (" ".join(f"713-555-010{i}" for i in range(1, 5)) + " 123-45-6789", [("phone", f"713-555-010{i}") for i in range(1, 5)] + [("id_number", "123-45-6789")]),
+        ("+33 (0)1 23 45 67 89", [("phone", "+33 (0)1 23 45 67 89")]),
+        ("00 33 1 23 45 67 89", [("phone", "00 33 1 23 45 67 89")]),
+        ("1 2 3 4 5 6 7 8 9 10", []),
+    ],
+)
+def test_numbers_of_many_groups_and_far_into_a_row(line, values):
+    assert [(k, line[s:e]) for s, e, k in pii.fitted().best(line)] == values
+
+
 def test_expectations_are_probabilities_and_equal_enumeration():
     field = pii.Field({"a": 0.7, "b": -0.3, "c": 0.2})
     found = [(0, 4, "x", ("a",)), (2, 6, "x", ("b",)), (5, 9, "x", ("c",)), (0, 9, "x", ("a", "c"))]
