@@ -1,8 +1,9 @@
 """Evaluation texts that leak into training text.
 
 Method: a generalised suffix automaton of the normalised test items. Every training text is read word by
-word; the automaton gives the longest match that ends at each word, and each match that cannot go on
-and has at least `SEED` words is a seed with all its places in the items. Seeds of one item and about one
+word; the automaton gives the longest match that ends at each word, and its suffix links the shorter ones of
+other items. Each place in an item whose match has at least `SEED` words and does not go on there is a seed,
+whether or not another item's match goes on, so items that hold each other or differ in a few words are all seen. Seeds of one item and about one
 diagonal stretch of the text are candidates. An exact check aligns the candidate's window with the item
 word by word and reports the item if a running stretch of at least `SHARE` of its words is there, with few
 of the words changed.
@@ -18,6 +19,7 @@ one row a key and item.
 from __future__ import annotations
 
 import functools
+import math
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -54,6 +56,7 @@ class Automaton:
 
     def __init__(self, items: list[tuple[int, list[str]]]):
         self.items = items
+        self.bits = max(16, max((len(words) for _, words in items), default=0).bit_length())  # of a place in its item
         self.next: list[dict[str, int]] = [{}]
         self.link, self.length = [-1], [0]
         own: list[tuple[int, int]] = []  # (state, place)
@@ -61,7 +64,7 @@ class Automaton:
             last = 0
             for i, w in enumerate(words):
                 last = self._add(last, w)
-                own.append((last, n << 16 | i))
+                own.append((last, n << self.bits | i))
         self.own: dict[int, list[int]] = defaultdict(list)
         for state, place in own:
             self.own[state].append(place)
@@ -70,6 +73,14 @@ class Automaton:
             if parent >= 0:
                 self.children[parent].append(s)
         self.places = functools.lru_cache(200_000)(self._places)
+        #: Places of each state, and its shortest suffix state that still has SEED words (-1: none).
+        self.count, self.top = [len(self.own.get(s, ())) for s in range(len(self.next))], [-1] * len(self.next)
+        by_length = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        for s in reversed(by_length):
+            self.count[self.link[s]] += self.count[s]
+        for s in by_length:
+            above = self.top[self.link[s]]
+            self.top[s] = above if above >= 0 else s if self.length[s] >= SEED else -1
 
     def _add(self, last: int, w: str) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -130,16 +141,62 @@ class Automaton:
         if n >= least:
             yield len(words) - 1, n, state
 
+    def matches(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(end in the text, length, place) of each match of SEED words or more that does not go on at its place."""
+        nxt, link, length, count = self.next, self.link, self.length, self.count
+        state = n = 0
+        for i, w in enumerate(words):
+            to = nxt[state].get(w)
+            while to is None and state:
+                state = link[state]
+                n = length[state]
+                to = nxt[state].get(w)
+            if to is None:
+                continue
+            state, n = to, n + 1
+            if n < SEED:
+                continue
+            after = words[i + 1] if i + 1 < len(words) else None
+            top, seen, going = self.top[state], -1, 0
+            on = nxt[top].get(after)
+            if on is not None and count[on] == count[top]:
+                continue  # all go on
+            s, size = state, n
+            while True:
+                on = nxt[s].get(after)
+                on = 0 if on is None else count[on]
+                if on - going < count[s] - (count[seen] if seen >= 0 else 0):
+                    for place in self.own.get(s, ()):
+                        if self._after(place) != after:
+                            yield i, size, place
+                    for c in self.children.get(s, ()):
+                        if c != seen:
+                            for place in self.places(c):
+                                if self._after(place) != after:
+                                    yield i, size, place
+                if s == top:
+                    break
+                seen, going, s = s, on, link[s]
+                size = length[s]
+
+    def _after(self, place: int) -> str | None:
+        """The item's word behind a place; an empty string, which is no word, at the end."""
+        words, i = self.items[place >> self.bits][1], (place & (1 << self.bits) - 1) + 1
+        return words[i] if i < len(words) else ""
+
     def leaks(self, words: list[str]) -> list[tuple[int, float]]:
         """(item id, share of the item's words in its best stretch)."""
         by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for end, n, state in self.seeds(words, SEED):
-            for place in self.places(state):
-                by_item[place >> 16].append((end, place & 0xFFFF, n))
-        out = []
+        for end, n, place in self.matches(words):
+            by_item[place >> self.bits].append((end, place & (1 << self.bits) - 1, n))
+        out, same_as = [], Alike(words) if by_item else None
         for item, seeds in by_item.items():
             own = self.items[item][1]
-            if sum(s[2] for s in seeds) < SEED_SHARE * len(own):
+            least = SEED_SHARE * len(own)
+            if sum(s[2] for s in seeds) < least or covered(seeds) < least:
+                continue
+            if any(s[2] == len(own) for s in seeds):  # word by word
+                out.append((self.items[item][0], 1.0))
                 continue
             slack = max(4, len(own) // 6)
             seeds.sort(key=lambda s: s[0] - s[1])
@@ -148,15 +205,42 @@ class Automaton:
                 if b is not None and (b[0] - b[1]) - (a[0] - a[1]) <= slack:
                     chain.append(b)
                     continue
-                if sum(s[2] for s in chain) >= SEED_SHARE * len(own):
+                if sum(s[2] for s in chain) >= least and covered(chain) >= least:
                     first, last = (f(s[0] - s[1] for s in chain) for f in (min, max))
-                    best = max(best, stretch(own, words, first - slack, last + slack))
+                    best = max(best, stretch(own, words, first - slack, last + slack, same_as))
                 chain = [b]
             if best >= SHARE:
                 out.append((self.items[item][0], best))
         return out
 
 
+def covered(seeds: list[tuple[int, int, int]]) -> int:
+    """Words of the item, or of the text if less, that seeds hold; an alignment's own seeds share none."""
+    sides = []
+    for side in (0, 1):
+        n, reach = 0, -1
+        for start, end in sorted((s[side] - s[2] + 1, s[side]) for s in seeds):
+            n += max(0, end - max(reach, start - 1))
+            reach = max(reach, end)
+        sides.append(n)
+    return min(sides)
+
+
+def possible(held: list[bool]) -> bool:
+    """Whether a stretch may be dense enough, by which of the item's words stand anywhere in the window."""
+    n = len(held)
+    for share, density in ((SHARE, DENSITY), (LONG, LONG_DENSITY)):
+        least, low, sums = max(1, math.floor(share * n)), math.inf, [0.0]
+        for i, h in enumerate(held):
+            sums.append(sums[-1] + h - density)
+            if i + 1 >= least:
+                low = min(low, sums[i + 1 - least])
+                if sums[-1] - low > -1e-6:
+                    return True
+    return False
+
+
+@functools.lru_cache(500_000)
 def near(a: str, b: str) -> bool:
     """Whether two words are one but for a typing error: a letter more, less or other, or two swapped; articles are one."""
     if a in ARTICLES and b in ARTICLES:
@@ -174,30 +258,36 @@ def near(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :]
 
 
-def alike(item: list[str], window: set[str]) -> dict[str, set[str]]:
-    """Of each word of the item: the words of the window that are it, but for a typing error."""
-    ends: dict[str, list[str]] = defaultdict(list)
-    for x in window:
-        ends[x[0]].append(x)
-        if x[-1] != x[0]:
-            ends["$" + x[-1]].append(x)
-    out = {}
-    for w in set(item):
+class Alike(dict):
+    """Of a word of an item: the words of the text that are it, but for a typing error."""
+
+    def __init__(self, text: list[str]):
+        self.articles = ARTICLES.intersection(text)
+        self.ends: dict[str, list[str]] = defaultdict(list)
+        for x in set(text):
+            self.ends[x[0]].append(x)
+            if x[-1] != x[0]:
+                self.ends["$" + x[-1]].append(x)
+
+    def __missing__(self, w: str) -> set[str]:
         if w in ARTICLES:
-            out[w] = window & ARTICLES
-            continue
-        n = len(w)
-        out[w] = {x for x in (*ends.get(w[0], ()), *ends.get("$" + w[-1], ()), *ends.get(w[-1], ())) if -2 < len(x) - n < 2 and (x == w or near(w, x))}
-    return out
+            out = self.articles
+        else:
+            n, ends = len(w), self.ends
+            out = {x for x in (*ends.get(w[0], ()), *ends.get("$" + w[-1], ()), *ends.get(w[-1], ())) if -2 < len(x) - n < 2 and (x == w or near(w, x))}
+        self[w] = out
+        return out
 
 
-def stretch(item: list[str], text: list[str], first: int, last: int) -> float:
+def stretch(item: list[str], text: list[str], first: int, last: int, same_as: Alike) -> float:
     """Share of the item's words that the best local alignment spans, if dense enough.
 
     Cells lie on the diagonals first..last (place in the text less place in the item).
     """
     n, width = len(text), last - first + 1
-    same_as = alike(item, set(text[max(0, first) : last + len(item)]))
+    window = set(text[max(0, first) : last + len(item)])
+    if not possible([not window.isdisjoint(same_as[w]) for w in item]):
+        return 0.0
     nothing = (0.0, 0, 0)  # score, place in the item where the alignment begins, words kept
     above = [nothing] * (width + 1)
     best = nothing

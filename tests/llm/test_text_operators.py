@@ -38,6 +38,33 @@ def test_automaton_finds_all_longest_matches_like_brute_force():
             assert end + 1 == len(text) or not inside(text[end - n + 1 : end + 2])
 
 
+def test_each_item_has_its_own_matches_like_brute_force():
+    rng = random.Random(8)
+    for _ in range(60):
+        items = [(i, [rng.choice("abc") for _ in range(rng.randint(3, 14))]) for i in range(4)]
+        text = [rng.choice("abcd") for _ in range(40)]
+        own, want = leakage.Automaton(items), set()
+        for k, (_, item) in enumerate(items):
+            for i, j in itertools.product(range(len(item)), range(len(text))):
+                n = 0
+                while n <= min(i, j) and item[i - n] == text[j - n]:
+                    n += 1
+                if n >= leakage.SEED and (i + 1 == len(item) or j + 1 == len(text) or item[i + 1] != text[j + 1]):
+                    want.add((j, n, k, i))
+        got = [(end, n, p >> own.bits, p & (1 << own.bits) - 1) for end, n, p in own.matches(text)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_variants_items_inside_items_and_very_long_items_are_found():
+    rng = random.Random(9)
+    a = [f"w{rng.randint(0, 999)}x" for _ in range(60)]
+    b = [{20: "other", 40: "words"}.get(i, w) for i, w in enumerate(a)]
+    long = [f"v{i}" for i in range(70_000)]
+    automaton = leakage.Automaton([(1, a), (2, b), (3, a[10:40]), (4, long), (5, long[66_000:66_050])])
+    assert {e for e, _ in automaton.leaks(["before", *a, "after"])} == {1, 2, 3}
+    assert dict(automaton.leaks(["before", *long, "after"])) == {4: 1.0, 5: 1.0}
+
+
 def test_leaks_in_blocks_with_nulls_and_repeats(spark, monkeypatch):
     monkeypatch.setattr(leakage, "BLOCK_WORDS", 10)
     docs = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, None), (3, "")], "doc_id long, text string")
