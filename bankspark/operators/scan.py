@@ -226,22 +226,22 @@ def scan_text(text: str, found: list[dict[str, Any]], mode: str = MODES[0], offs
     return sorted(out, key=lambda r: (r["start"], r["end"], r["entity_id"], r["name_id"], r["pattern_id"], r["string"]))
 
 
-def dictionary_join(df: DataFrame, key: str, text: str, patterns: DataFrame, longest: int = 4) -> DataFrame:
+def dictionary_join(df: DataFrame, key: str, text: str, patterns: DataFrame) -> DataFrame:
     """Candidates of large banks of word-bounded literals: word n-grams joined with the folded literals.
 
     key, entity, pattern key columns and the word position; an equi join, so the bank may outgrow a broadcast.
     `patterns` has entity, name_id, pattern_id, value; words are letters, digits and dots that end an initial.
+    N-grams are made of the lengths that the literals have, whatever they are.
     """
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    bank = patterns.select("entity_id", "name_id", "pattern_id", words(F.col("value")).alias("l")).where(F.size("l") > 0)
+    lengths = sorted(r[0] for r in bank.select(F.size("l")).distinct().collect())
+    bank = bank.select("entity_id", "name_id", "pattern_id", F.array_join("l", " ").alias("gram"))
 
-    def grams(x: Column, i: Column) -> Column:
-        out, last = [x], x
-        for n in range(1, longest):  # null beyond the end
-            last = F.concat(last, F.lit(" "), F.get("w", i + n))
-            out.append(last)
-        return F.array(*out)
+    def grams(n: int) -> Column:
+        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.struct(i.cast("long").alias("position"), F.array_join(F.slice("w", i, n), " ").alias("gram")))
 
-    rows = df.select(F.col(key), words(F.col(text)).alias("w")).select(key, F.posexplode(F.transform("w", grams)).alias("i", "g"))
-    rows = rows.select(key, (F.col("i") + 1).cast("long").alias("position"), F.explode("g").alias("gram")).where("gram is not null")
-    bank = patterns.select("entity_id", "name_id", "pattern_id", F.array_join(words(F.col("value")), " ").alias("gram")).where("gram <> ''")
+    rows = df.select(F.col(key), words(F.col(text)).alias("w"))
+    rows = rows.select(key, F.explode(F.flatten(F.array(*map(grams, lengths or [1])))).alias("g")).select(key, "g.position", "g.gram")
     return rows.join(bank, "gram").select(key, "entity_id", "name_id", "pattern_id", "position")

@@ -241,3 +241,14 @@ def test_regression_gates():
 def test_synthetic_banks_are_sound(name):
     b = evals.profile(name)
     assert B.validate(b) == [] and len(S.detectors(b)) == B.stats(b)["totals"]["patterns"]
+
+
+def test_literals_of_any_number_of_words_are_candidates(spark):
+    from bankspark.operators.scan import dictionary_join
+
+    long = "The Very Long Name Of A Harbour And Rail Company"
+    bank = spark.createDataFrame([("a", "n", "p1", long), ("a", "n", "p2", "one two"), ("a", "n", "p3", "Solo"), ("a", "n", "p4", "--")], "entity_id string, name_id string, pattern_id string, value string")
+    docs = spark.createDataFrame([(1, f"by {long.upper()}, one  two"), (2, None), (3, ""), (4, "solo")], "doc_id long, text string")
+    got = {(r.doc_id, r.pattern_id, r.position) for r in dictionary_join(docs, "doc_id", "text", bank).collect()}
+    assert got == {(1, "p1", 2), (1, "p2", 12), (4, "p3", 1)}
+    assert dictionary_join(docs, "doc_id", "text", bank.limit(0)).count() == 0
