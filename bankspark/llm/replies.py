@@ -11,7 +11,8 @@ sender first; a fingerprint that many senders share is judged by its count alone
 group grows with the corpus; bodies are read twice and not shuffled.
 
 Defined results: a null, empty or blank body has no lines; lines end at a line feed, a carriage return before
-it belongs to the ending; line numbers count all lines from 1; repeated rows give repeated results.
+it belongs to the ending; a row without a sender or message id counts as of a sender or message of its own, but
+not among the senders that share a closing; line numbers count all lines from 1; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -203,14 +204,21 @@ def new_lines(df: DataFrame, key: str, body: str, sender: Column, message: Colum
     """key, line_no: the lines that the sender newly wrote. `when` orders messages; nulls come last."""
     kind = df.schema[key].dataType.simpleString()
     last = F.lit("9999-12-31").cast("timestamp")
-    mail = df.where(F.col(body).isNotNull()).select(F.col(key).alias("k"), F.when(sender.isNotNull(), F.xxhash64(sender)).alias("s"), F.xxhash64(message).alias("m"), F.unix_micros(F.coalesce(when.cast("timestamp"), last)).alias("t"), F.col(body).cast("string").alias("b"))
+    alone = F.xxhash64(F.lit("row"), F.col(key))  # a row without a sender or message id is one of its own
+    mail = df.where(F.col(body).isNotNull()).select(F.col(key).alias("k"), F.coalesce(F.when(sender.isNotNull(), F.xxhash64(sender)), alone).alias("s"), F.coalesce(F.when(F.trim(message) != "", F.xxhash64(message)), alone).alias("m"), F.unix_micros(F.coalesce(when.cast("timestamp"), last)).alias("t"), F.col(body).cast("string").alias("b"))
     layout = cut(mail.mapInArrow(_layout, f"k {kind}, s long, m long, t long, own array<int>, prints array<long>, whole array<struct<n:int,h:long>>"))
-    seen = layout.where("s is not null")
 
-    # ancestors: of each fingerprint the first message, if another sender has it too
-    prints = seen.select("k", "s", "m", "t", F.explode("prints").alias("f"))
-    first = prints.groupBy("f").agg(F.min(F.struct("t", "k", "s", "m")).alias("a"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi")
-    shared = prints.select("k", "s", "m", "f").join(first.select("f", "a"), "f").where("s <> a.s and m <> a.m and k <> a.k")
+    # ancestors: of each fingerprint that several senders have the first earlier message of another sender and message id.
+    # c1 is the first of all, c2 and d2 the first of another sender or id than c1, c3 and d3 where these have the row's own
+    prints = layout.select("k", "s", "m", "t", F.explode("prints").alias("f"))
+    row = F.struct("t", "k", "s", "m")
+    first = prints.groupBy("f").agg(F.min(row).alias("c1"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi")
+    shared = prints.join(first.select("f", "c1"), "f")
+    second = shared.groupBy("f").agg(F.min(F.when(F.expr("s <> c1.s"), row)).alias("c2"), F.min(F.when(F.expr("m <> c1.m"), row)).alias("d2"))
+    shared = shared.join(second, "f")
+    third = shared.groupBy("f").agg(F.min(F.when(F.expr("s <> c1.s and m <> c2.m"), row)).alias("c3"), F.min(F.when(F.expr("m <> c1.m and s <> d2.s"), row)).alias("d3"))
+    other = [F.when((F.col("s") != F.col(f"{c}.s")) & (F.col("m") != F.col(f"{c}.m")), F.col(c)) for c in ("c1", "c2", "c3", "d2", "d3")]
+    shared = shared.join(third, "f").select("k", "t", F.least(*other).alias("a")).where("a.t < t or (a.t = t and a.k < k)")
     pairs = shared.groupBy("k", F.col("a.k").alias("ancestor")).count().where(F.col("count") >= SHARED).select("k", "ancestor")
     pairs = broadcast_if_small(cut(pairs))
     texts = mail.select("k", "b")
@@ -219,9 +227,10 @@ def new_lines(df: DataFrame, key: str, body: str, sender: Column, message: Colum
     history = both.select("k", "b", "ab").mapInArrow(_verify, f"k {kind}, line_no long")
 
     # closings: whole lines of four words or more that many senders share
-    least = max(RECURRING_LEAST, math.ceil(seen.agg(F.countDistinct("s")).first()[0] * RECURRING_SHARE))
-    lines = seen.select("k", "s", F.explode("whole").alias("w")).select("k", "s", "w.n", "w.h")
-    often = lines.groupBy("h").agg(F.approx_count_distinct("s", 0.02).alias("about"), F.count(F.lit(1)).alias("rows")).where((F.col("rows") >= least) & (F.col("about") >= least)).select("h")
+    named = F.col("s") != F.xxhash64(F.lit("row"), F.col("k"))  # rows without a sender may all be of one
+    least = max(RECURRING_LEAST, math.ceil(layout.where(named).agg(F.countDistinct("s")).first()[0] * RECURRING_SHARE))
+    lines = layout.select("k", "s", F.explode("whole").alias("w")).select("k", "s", "w.n", "w.h")
+    often = lines.where(named).groupBy("h").agg(F.approx_count_distinct("s", 0.02).alias("about"), F.count(F.lit(1)).alias("rows")).where((F.col("rows") >= least) & (F.col("about") >= least)).select("h")
     closings = lines.join(often, "h", "left_semi").select("k", F.col("n").cast("long").alias("line_no"))
 
     dropped = history.union(closings).distinct()

@@ -260,6 +260,16 @@ def test_unmarked_history_is_found_through_the_corpus(spark):
     assert out == {(1, 1), (1, 2), (2, 1), (3, 1), (3, 2), (6, 3)}
 
 
+def test_history_without_sender_or_id_and_behind_an_own_first_carrier(spark):
+    old = ["The quarterly ledger was moved to the upper depot because the spare hangar had no roof left", "Please count every crate of the second barge before the auditors come back on Friday morning"]
+    new = ["Nobody told the painters about the ladder", "Both cranes are shut until the wind drops", "We shall ask the mayor for a longer lease"]
+    rows = [(1, "\n".join(old), "a@x.example", "", "2001-01-01 00:00:00")]
+    rows += [(2, "\n".join([new[0], *old]), None, None, "2001-01-02 00:00:00"), (3, "\n".join([new[1], *old]), "b@x.example", "", "2001-01-03 00:00:00"), (4, "\n".join([new[2], *old]), "a@x.example", "m4", "2001-01-04 00:00:00")]
+    df = spark.createDataFrame(rows, "row_id long, body string, who string, mid string, at string")
+    out = {(r.row_id, r.line_no) for r in replies.new_lines(df, "row_id", "body", F.col("who"), F.col("mid"), F.to_timestamp("at")).collect()}
+    assert out == {(1, 1), (1, 2), (2, 1), (3, 1), (4, 1)}
+
+
 def test_closings_that_many_senders_share_go(spark):
     closing = "Our harbour club wishes you a pleasant week"
     rows = [(i, f"Line number {i} was written by hand today by me\n{closing}", f"s{i}@x.example", f"m{i}") for i in range(12)]
