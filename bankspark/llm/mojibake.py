@@ -126,6 +126,10 @@ def runs_of(text: str) -> Counter:
     return Counter((kind(text[m.start() - 1 : m.start()]), m.group(), kind(text[m.end() : m.end() + 1])) for m in RUN.finditer(text))
 
 
+#: Longer runs are scored each time, not kept.
+MEMO_RUN = 4000
+
+
 class Model:
     """Log-likelihood of characters in context, and of runs under the chains."""
 
@@ -154,12 +158,13 @@ class Model:
                 self.known.clear()
             before, run, after = key
             plain, chains = self.likelihood(before, run, after), {}
-            if len(run) <= 4000:
-                for chain in range(SOUND):
-                    undone = undo(run, chain)
-                    if undone is not None and undone != run and (score := self.likelihood(before, undone, after)) > plain - 4.0:
-                        chains[chain] = (score, undone)
-            known = self.known[key] = (plain, chains)
+            for chain in range(SOUND):
+                undone = undo(run, chain)
+                if undone is not None and undone != run and (score := self.likelihood(before, undone, after)) > plain - 4.0:
+                    chains[chain] = (score, undone)
+            known = (plain, chains)
+            if len(run) <= MEMO_RUN:
+                self.known[key] = known
         return known
 
     def posterior(self, runs: Counter, prior: list[float]) -> tuple[list[float], dict[tuple[str, str, str], list[float]]]:

@@ -109,6 +109,15 @@ def test_affected_fields_are_found_and_restored(spark):
     assert (1002, "subject") in found and not found[1002, "subject"].complete and (1003, "subject") not in found
 
 
+def test_a_very_long_damaged_run_is_found_and_restored(spark):
+    rng = random.Random(3)
+    sound = "".join(rng.choice("港务局今日通知各位船员请于明早八点前到码头集合检查货物，。、") for _ in range(20_000))
+    rows = [(i, "box", None, rng.choice(CLEAN)) for i in range(60)] + [(100 + i, "box", None, damage(sound[: 20_000 - i], "utf-8", read)) for i, read in enumerate(("mac_roman", "mac_roman", "latin-1"))]
+    df = spark.createDataFrame(rows, "row_id long, mailbox string, subject string, body string")
+    out = {r.row_id: r.original for r in mojibake.find_and_repair(df, "row_id", "mailbox", ["subject", "body"]).collect()}
+    assert set(out) == {100, 101, 102} and all(out[100 + i] == sound[: 20_000 - i] for i in range(3))
+
+
 def test_empty_table_has_no_affected_fields(spark):
     df = spark.createDataFrame([], "row_id long, mailbox string, subject string, body string")
     assert mojibake.find_and_repair(df, "row_id", "mailbox", ["subject", "body"]).count() == 0
