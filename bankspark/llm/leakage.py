@@ -1,19 +1,19 @@
 """Evaluation texts that leak into training text.
 
-Method: a generalised suffix automaton of the normalised test items. Every training text is read word by
-word; the automaton gives the longest match that ends at each word, and its suffix links the shorter ones of
-other items. Each place in an item whose match has at least `SEED` words and does not go on there is a seed,
-whether or not another item's match goes on, so items that hold each other or differ in a few words are all seen. Seeds of one item and about one
-diagonal stretch of the text are candidates. An exact check aligns the candidate's window with the item
-word by word and reports the item if a running stretch of at least `SHARE` of its words is there, with few
-of the words changed.
+Method: a generalised suffix automaton of the normalised test items. Every training text is streamed through it
+word by word, which tracks the longest match that ends at each word; the suffix state that holds the last `SEED`
+words names every place of every item where a match goes on. Matches that run on along one diagonal (place in
+the text less place in the item) are merged to runs, and the runs of one item near one diagonal to a stretch.
+Coverage decides: a stretch whose runs hold fewer than `COVER` of the item's words is none, one whose runs hold
+`SHARE` of them densely is a leak. Only what lies between is confirmed by aligning the stretch with the item
+word by word, where a typing error counts as the same word. Each leak is a span of the text, which `clean` removes.
 
-The items are a stated set: they are compiled on the driver in blocks of at most `BLOCK_WORDS` words, and
-each block's automaton (bounded by two states a word) is broadcast and meets all rows.
+The items are a stated set. They are cut into blocks of about `BLOCK_WORDS` words by a hash of their key; the
+driver holds one block at a time, and a block's automaton (at most two states a word) meets all rows.
 
 Defined results: null, empty or wordless texts and items match nothing; items with the same words are all
-reported; a row is reported once for each item however often the item occurs in it; repeated keys give
-one row a key and item.
+reported; a row is reported once for each item however often the item occurs in it, with all its spans in
+`spans`; repeated keys give one row a key and item in `find_leaks`; `clean` keeps every row and nulls stay.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -35,8 +36,10 @@ KEPT, CHANGED = 1.0, 1.5
 #: The least share of kept words in a short stretch and in one of LONG or more of the item; texts made from the same
 #: phrases with other words stay below the one and do not get as long as the other.
 DENSITY, LONG, LONG_DENSITY = 0.92, 0.6, 0.8
-#: Words of a chain of seeds, as a share of the item's words, that a window needs to be aligned.
-SEED_SHARE = 0.15
+#: The least share of the item's words in runs of SEED or more: two fifths of the words with every fourth one changed.
+COVER = 0.28
+#: Places of matches that are laid out at one time.
+LAID_OUT = 1 << 20
 ARTICLES = {"a", "an", "the"}
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -65,22 +68,33 @@ class Automaton:
             for i, w in enumerate(words):
                 last = self._add(last, w)
                 own.append((last, n << self.bits | i))
-        self.own: dict[int, list[int]] = defaultdict(list)
+        # places in the order of a walk over the suffix links: those of a state are one stretch, from first to last
+        by_state: dict[int, list[int]] = defaultdict(list)
         for state, place in own:
-            self.own[state].append(place)
-        self.children: dict[int, list[int]] = defaultdict(list)
-        for s, parent in enumerate(self.link):
+            by_state[state].append(place)
+        children: dict[int, list[int]] = defaultdict(list)
+        for state, parent in enumerate(self.link):
             if parent >= 0:
-                self.children[parent].append(s)
-        self.places = functools.lru_cache(200_000)(self._places)
-        #: Places of each state, and its shortest suffix state that still has SEED words (-1: none).
-        self.count, self.top = [len(self.own.get(s, ())) for s in range(len(self.next))], [-1] * len(self.next)
-        by_length = sorted(range(1, len(self.next)), key=self.length.__getitem__)
-        for s in reversed(by_length):
-            self.count[self.link[s]] += self.count[s]
-        for s in by_length:
-            above = self.top[self.link[s]]
-            self.top[s] = above if above >= 0 else s if self.length[s] >= SEED else -1
+                children[parent].append(state)
+        order: list[int] = []
+        self.first, self.last = np.zeros(len(self.next), np.int64), np.zeros(len(self.next), np.int64)
+        todo = [(0, False)]
+        while todo:
+            state, done = todo.pop()
+            if done:
+                self.last[state] = len(order)
+                continue
+            self.first[state] = len(order)
+            order += by_state.get(state, ())
+            todo.append((state, True))
+            todo += [(c, False) for c in children.get(state, ())]
+        self.order = np.array(order, np.int64)
+        self.sizes = np.array([len(words) for _, words in items], np.int64)
+        #: Of each state the shortest suffix state that still has SEED words (-1: none).
+        self.top = [-1] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            above = self.top[self.link[state]]
+            self.top[state] = above if above >= 0 else state if self.length[state] >= SEED else -1
 
     def _add(self, last: int, w: str) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -112,13 +126,8 @@ class Automaton:
             p = link[p]
         return clone
 
-    def _places(self, state: int) -> tuple[int, ...]:
-        out, todo = [], [state]
-        while todo:
-            s = todo.pop()
-            out += self.own.get(s, ())
-            todo += self.children.get(s, ())
-        return tuple(out)
+    def places(self, state: int) -> np.ndarray:
+        return self.order[self.first[state] : self.last[state]]
 
     def seeds(self, words: list[str], least: int) -> Iterator[tuple[int, int, int]]:
         """(end in the text, length, state) of each match that does not go on."""
@@ -141,10 +150,11 @@ class Automaton:
         if n >= least:
             yield len(words) - 1, n, state
 
-    def matches(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
-        """(end in the text, length, place) of each match of SEED words or more that does not go on at its place."""
-        nxt, link, length, count = self.next, self.link, self.length, self.count
+    def walk(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """(place in the text, state of the SEED words that end there) where the longest match has SEED words or more."""
+        nxt, link, length, top = self.next, self.link, self.length, self.top
         state = n = 0
+        at, states = [], []
         for i, w in enumerate(words):
             to = nxt[state].get(w)
             while to is None and state:
@@ -154,66 +164,99 @@ class Automaton:
             if to is None:
                 continue
             state, n = to, n + 1
-            if n < SEED:
-                continue
-            after = words[i + 1] if i + 1 < len(words) else None
-            top, seen, going = self.top[state], -1, 0
-            on = nxt[top].get(after)
-            if on is not None and count[on] == count[top]:
-                continue  # all go on
-            s, size = state, n
-            while True:
-                on = nxt[s].get(after)
-                on = 0 if on is None else count[on]
-                if on - going < count[s] - (count[seen] if seen >= 0 else 0):
-                    for place in self.own.get(s, ()):
-                        if self._after(place) != after:
-                            yield i, size, place
-                    for c in self.children.get(s, ()):
-                        if c != seen:
-                            for place in self.places(c):
-                                if self._after(place) != after:
-                                    yield i, size, place
-                if s == top:
-                    break
-                seen, going, s = s, on, link[s]
-                size = length[s]
-
-    def _after(self, place: int) -> str | None:
-        """The item's word behind a place; an empty string, which is no word, at the end."""
-        words, i = self.items[place >> self.bits][1], (place & (1 << self.bits) - 1) + 1
-        return words[i] if i < len(words) else ""
-
-    def leaks(self, words: list[str]) -> list[tuple[int, float]]:
-        """(item id, share of the item's words in its best stretch)."""
-        by_item: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for end, n, place in self.matches(words):
-            by_item[place >> self.bits].append((end, place & (1 << self.bits) - 1, n))
-        out, same_as = [], Alike(words) if by_item else None
-        for item, seeds in by_item.items():
-            own = self.items[item][1]
-            least = SEED_SHARE * len(own)
-            if sum(s[2] for s in seeds) < least or covered(seeds) < least:
-                continue
-            if any(s[2] == len(own) for s in seeds):  # word by word
-                out.append((self.items[item][0], 1.0))
-                continue
-            slack = max(4, len(own) // 6)
-            seeds.sort(key=lambda s: s[0] - s[1])
-            best, chain = 0.0, [seeds[0]]
-            for a, b in zip(seeds, [*seeds[1:], None]):
+            if n >= SEED:
+                at.append(i)
+                states.append(top[state])
+        return at, states
+
+    def _laid_out(self, at: np.ndarray, states: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place in the text, place in the items) of all matches, in parts of bounded size."""
+        many = self.last[states] - self.first[states]
+        ends, a = np.cumsum(many), 0
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + LAID_OUT, "right")))
+            n = many[a:b]
+            which = np.repeat(np.arange(a, b), n)
+            inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            yield at[which], self.order[self.first[states[which]] + inside]
+            a = b
+
+    def matches(self, words: list[str], cover: float = 0.0) -> dict[int, list[tuple[int, int, int]]]:
+        """item -> (end in the text, end in the item, length) of its matches of SEED words or more that do not go on.
+
+        Items of whose words less than `cover` can be in matches are left out."""
+        at, states = self.walk(words)
+        if not at:
+            return {}
+        at, states = np.array(at, np.int64), np.array(states, np.int64)
+        count, mask = np.zeros(len(self.items), np.int64), (1 << self.bits) - 1
+        for _, places in self._laid_out(at, states):
+            count += np.bincount(places >> self.bits, minlength=len(count))
+        likely = (count > 0) & (SEED * count >= cover * self.sizes)  # a run of n words has n - SEED + 1 ends, and SEED words or more
+        if not likely.any():
+            return {}
+        where, items, inside = [], [], []
+        for j, places in self._laid_out(at, states):
+            item = places >> self.bits
+            kept = likely[item]
+            where.append(j[kept])
+            items.append(item[kept])
+            inside.append((places & mask)[kept])
+        j, item, i = map(np.concatenate, (where, items, inside))
+        sort = np.lexsort((j, j - i, item))
+        j, item, i = j[sort], item[sort], i[sort]
+        starts = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (j[1:] - i[1:] != j[:-1] - i[:-1]) | (j[1:] != j[:-1] + 1))))
+        ends = np.concatenate((starts[1:], [len(j)])) - 1
+        run_item, length = item[starts], ends - starts + SEED
+        whole = np.bincount(run_item, length, len(count))
+        kept = whole[run_item] >= cover * self.sizes[run_item]
+        out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for k, a, b, n in zip(run_item[kept].tolist(), j[ends][kept].tolist(), i[ends][kept].tolist(), length[kept].tolist()):
+            out[k].append((a, b, n))
+        return out
+
+    def leaks(self, words: list[str]) -> list[tuple[int, float, int, int]]:
+        """(item id, share of the item's words, first and last word of the text) of each stretch that holds an item."""
+        out, same_as = [], None
+        for item, runs in self.matches(words, COVER).items():
+            key, own = self.items[item]
+            n = len(own)
+            least, slack = COVER * n, max(4, n // 6)
+            runs.sort(key=lambda r: r[0] - r[1])
+            chain = [runs[0]]
+            for a, b in zip(runs, [*runs[1:], None]):
                 if b is not None and (b[0] - b[1]) - (a[0] - a[1]) <= slack:
                     chain.append(b)
                     continue
-                if sum(s[2] for s in chain) >= least and covered(chain) >= least:
-                    first, last = (f(s[0] - s[1] for s in chain) for f in (min, max))
-                    best = max(best, stretch(own, words, first - slack, last + slack, same_as))
+                if sum(r[2] for r in chain) >= least and covered(chain) >= least:
+                    found = held(chain, n)
+                    if found is None:
+                        same_as = same_as or Alike(words)
+                        first, last = (f(r[0] - r[1] for r in chain) for f in (min, max))
+                        found = stretch(own, words, first - slack, last + slack, same_as)
+                    if found[0] >= SHARE:
+                        out.append((key, *found))
                 chain = [b]
-            if best >= SHARE:
-                out.append((self.items[item][0], best))
         return out
 
 
+def held(runs: list[tuple[int, int, int]], n: int) -> tuple[float, int, int] | None:
+    """(share of the item's n words, first and last word of the text) of the longest stretch that runs alone cover densely enough."""
+    spans = sorted((i - m + 1, i, j - m + 1, j) for j, i, m in runs)
+    best = None
+    for a in range(len(spans)):
+        low, reach, kept, first, last = spans[a][0], spans[a][0] - 1, 0, spans[a][2], spans[a][3]
+        for x, y, p, q in spans[a:]:
+            if p < first:
+                continue  # not in the item's order
+            kept += max(0, y - max(reach, x - 1))
+            reach, last = max(reach, y), max(last, q)
+            share = (reach - low + 1) / n
+            if share >= SHARE and kept >= (DENSITY if share < LONG else LONG_DENSITY) * (reach - low + 1) and (best is None or share > best[0]):
+                best = (share, first, last)
+    return best
+
+
 def covered(seeds: list[tuple[int, int, int]]) -> int:
     """Words of the item, or of the text if less, that seeds hold; an alignment's own seeds share none."""
     sides = []
@@ -279,18 +322,18 @@ class Alike(dict):
         return out
 
 
-def stretch(item: list[str], text: list[str], first: int, last: int, same_as: Alike) -> float:
-    """Share of the item's words that the best local alignment spans, if dense enough.
+def stretch(item: list[str], text: list[str], first: int, last: int, same_as: Alike) -> tuple[float, int, int]:
+    """(share of the item's words, first and last word of the text) of the best local alignment; a share of 0 if not dense enough.
 
     Cells lie on the diagonals first..last (place in the text less place in the item).
     """
     n, width = len(text), last - first + 1
     window = set(text[max(0, first) : last + len(item)])
     if not possible([not window.isdisjoint(same_as[w]) for w in item]):
-        return 0.0
-    nothing = (0.0, 0, 0)  # score, place in the item where the alignment begins, words kept
+        return 0.0, 0, 0
+    nothing = (0.0, 0, 0, 0)  # score, where the alignment begins in the item and in the text, words kept
     above = [nothing] * (width + 1)
-    best = nothing
+    best, span, begin, end = nothing, 0, 0, 0
     for i, w in enumerate(item):
         same, row, left = same_as[w], [], nothing
         for d in range(width):
@@ -301,62 +344,92 @@ def stretch(item: list[str], text: list[str], first: int, last: int, same_as: Al
                 continue
             corner = above[d]
             if text[j] in same:
-                left = (corner[0] + KEPT, corner[1] if corner[0] > 0 else i, corner[2] + 1)
+                left = (corner[0] + KEPT, corner[1], corner[2], corner[3] + 1) if corner[0] > 0 else (KEPT, i, j, 1)
                 if left[0] > best[0]:
-                    best = (left[0], left[2], i + 1 - left[1])
+                    best, span, begin, end = left, i + 1 - left[1], left[2], j
             else:
                 up = above[d + 1]
                 if up[0] > left[0]:
                     left = up
                 if corner[0] > left[0]:
                     left = corner
-                left = (left[0] - CHANGED, left[1], left[2]) if left[0] > CHANGED else nothing
+                left = (left[0] - CHANGED, *left[1:]) if left[0] > CHANGED else nothing
             row.append(left)
         row.append(nothing)
         above = row
-    _, kept, span = best
     share = span / len(item)
-    return share if span and kept >= (DENSITY if share < LONG else LONG_DENSITY) * span else 0.0
-
-
-def blocks(items: list[tuple[int, str | None]], size: int = BLOCK_WORDS) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items' words, in blocks of bounded size."""
-    block, n = [], 0
-    for key, text in items:
-        words = words_of(text)
-        if not words:
-            continue
-        if block and n + len(words) > size:
-            yield block
-            block, n = [], 0
-        block.append((key, words))
-        n += len(words)
-    if block:
-        yield block
-
-
-def find_leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
-    """key, item_key, share: every row that holds an item, whole or a running stretch of it."""
+    return (share, begin, end) if span and best[3] >= (DENSITY if share < LONG else LONG_DENSITY) * span else (0.0, 0, 0)
+
+
+def places_of(text: str) -> list[tuple[int, int]]:
+    """(start, end) in characters of each of the words that words_of gives."""
+    chars, origin = [], []
+    for i, c in enumerate(text):
+        for x in c if text.isascii() else unicodedata.normalize("NFKD", c):
+            if text.isascii() or not unicodedata.combining(x):
+                for y in ("'" if x in "’‘" else x).casefold():
+                    chars.append(y)
+                    origin.append(i)
+    kept = [k for k, c in enumerate(chars) if c != "'"]
+    chars, origin = [chars[k] for k in kept], [origin[k] for k in kept]
+    kept = [k for k, c in enumerate(chars) if not (c == "-" and chars[k + 1 : k + 2] == ["\n"]) and not (c == "\n" and k and chars[k - 1] == "-")]
+    chars, origin = [chars[k] for k in kept], [origin[k] for k in kept]
+    return [(origin[m.start()], origin[m.end() - 1] + 1) for m in WORD.finditer("".join(chars))]
+
+
+def spans(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """key, item_key, share, start_char, end_char: every stretch of a row that holds an item, whole or in part."""
     spark = df.sparkSession
     kind, item_kind = df.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    held_out = [(r[0], r[1]) for r in items.where(F.col(item_text).isNotNull()).select(item_key, item_text).toLocalIterator()]
+    asked = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("e"), F.col(item_text).cast("string").alias("x"))
+    # about six characters a word
+    size = asked.agg(F.coalesce(F.sum(F.length("x")), F.lit(0))).first()[0]
+    n = max(1, -(-size // (6 * BLOCK_WORDS)))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("e"), F.lit(n)))
     parts = []
-    for block in blocks(held_out):
-        shared = spark.sparkContext.broadcast(block)
+    for block in range(n):
+        words = [(r[0], words_of(r[1])) for r in asked.where(F.col("block") == block).select("e", "x").toLocalIterator()]
+        shared = spark.sparkContext.broadcast([w for w in words if w[1]])
 
         def batches(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = compiled(shared)
             for b in it:
-                out = [(k, e, s) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for e, s in own.leaks(words_of(t))]
-                keys, ids, shares = zip(*out) if out else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema[0].type), pa.array(ids, pa.int64() if item_kind == "bigint" else None), pa.array(shares, pa.float64())], ["k", "e", "share"])
-
-        parts.append(rows.mapInArrow(batches, f"k {kind}, e {item_kind}, share double"))
-    if not parts:
-        return rows.limit(0).selectExpr(f"k AS {key}", f"CAST(NULL AS {item_kind}) AS {item_key}", "CAST(NULL AS DOUBLE) AS share")
+                out = []
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if found := own.leaks(words_of(t)):
+                        places = places_of(t)
+                        out += [(k, e, share, places[i][0], places[j][1]) for e, share, i, j in found]
+                columns = list(zip(*out)) if out else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema[0].type), pa.array(columns[1], ARROW.get(item_kind)), pa.array(columns[2], pa.float64()), *(pa.array(c, pa.int64()) for c in columns[3:])], ["k", "e", "share", "start_char", "end_char"])
+
+        parts.append(rows.mapInArrow(batches, f"k {kind}, e {item_kind}, share double, start_char long, end_char long"))
     found = functools.reduce(DataFrame.unionByName, parts)
-    return found.groupBy(F.col("k").alias(key), F.col("e").alias(item_key)).agg(F.max("share").alias("share"))
+    return found.withColumnsRenamed({"k": key, "e": item_key})
+
+
+#: Arrow types of keys; others are told by their values.
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def find_leaks(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """key, item_key, share: every row that holds an item, whole or a running stretch of it."""
+    return spans(df, key, text, items, item_key, item_text).groupBy(key, item_key).agg(F.max("share").alias("share"))
+
+
+def clean(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
+    """key, text, removed: the text of every row without the spans that hold items, and the number of characters removed.
+
+    Keys are unique, as spans come back by key."""
+    found = spans(df, key, text, items, item_key, item_text)
+    per = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("start_char").cast("int").alias("a"), F.col("end_char").cast("int").alias("b")))).alias("cuts"))
+    rows = df.select(F.col(key), F.col(text).cast("string").alias("t")).join(per, key, "left")
+    # spans in order of their starts: what stands before each and was not cut yet is kept
+    state = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
+    fold = F.aggregate("cuts", state, lambda s, c: F.struct(F.concat(s["kept"], F.when(c["a"] > s["at"], F.substring(F.col("t"), s["at"] + 1, c["a"] - s["at"])).otherwise("")).alias("kept"), F.greatest(s["at"], c["b"]).alias("at")))
+    rows = rows.withColumn("fold", fold)
+    kept = F.when(F.col("cuts").isNull(), F.col("t")).otherwise(F.concat("fold.kept", F.expr("substring(t, fold.at + 1)")))
+    return rows.select(key, kept.alias(text), F.coalesce(F.length("t") - F.length(kept), F.lit(0)).alias("removed"))
 
 
 _COMPILED: dict[int, Automaton] = {}

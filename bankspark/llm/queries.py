@@ -75,6 +75,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.find_leaks(docs, "doc_id", "text", records, "eval_id", "text").select("doc_id", "eval_id")
 
 
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the stretches that hold evaluation records."""
+    docs, records = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_records")
+    return leakage.clean(docs, "doc_id", "text", records, "eval_id", "text")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that has to be cut."""
     return p10_pieces(spark, sf_dir).where("piece_no = 1 and n_pieces > 1").select("doc_id")
@@ -97,6 +103,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
+    "p9_clean": p9_clean,
     "p10_found": p10_found,
     "p10_pieces": p10_pieces,
 }

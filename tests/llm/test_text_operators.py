@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from bankspark.llm import leakage, mojibake, names, pii, replies, splits
 
 ITEM = "the revised tariff was sent to the north yard before noon and the crew counted every pallet twice while rain fell on the quay all day long"
+PART = " ".join(ITEM.split()[:20])
 
 
 # --- leaks ---------------------------------------------------------------------------------------------------
@@ -15,7 +16,7 @@ ITEM = "the revised tariff was sent to the north yard before noon and the crew c
 def test_whole_part_and_damaged_items_are_found_and_short_quotes_are_not():
     words = ITEM.split()
     automaton = leakage.Automaton([(7, leakage.words_of(ITEM)), (8, leakage.words_of("something else that nobody wrote into any of these texts at all today"))])
-    found = lambda t: [e for e, _ in automaton.leaks(leakage.words_of(t))]
+    found = lambda t: [e for e, *_ in automaton.leaks(leakage.words_of(t))]
     assert found("Before. " + ITEM.upper().replace(" ", "\n ") + "! After") == [7]
     assert found("x y z " + " ".join(words[5:20]) + " q r s") == [7]
     typos = [w if i % 6 else w[:-1] + "x" for i, w in enumerate(words)]
@@ -33,7 +34,7 @@ def test_automaton_finds_all_longest_matches_like_brute_force():
         inside = lambda w: any(item[i : i + len(w)] == w for _, item in items for i in range(len(item)))
         for end, n, state in own.seeds(text, 1):
             piece = text[end - n + 1 : end + 1]
-            places = {(p >> 16, p & 0xFFFF) for p in own.places(state)}
+            places = {(p >> 16, p & 0xFFFF) for p in own.places(state).tolist()}
             assert places == {(k, i + n - 1) for k, (_, item) in enumerate(items) for i in range(len(item) - n + 1) if item[i : i + n] == piece}
             assert end + 1 == len(text) or not inside(text[end - n + 1 : end + 2])
 
@@ -51,18 +52,39 @@ def test_each_item_has_its_own_matches_like_brute_force():
                     n += 1
                 if n >= leakage.SEED and (i + 1 == len(item) or j + 1 == len(text) or item[i + 1] != text[j + 1]):
                     want.add((j, n, k, i))
-        got = [(end, n, p >> own.bits, p & (1 << own.bits) - 1) for end, n, p in own.matches(text)]
+        got = [(end, n, k, i) for k, runs in own.matches(text).items() for end, i, n in runs]
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_matches_in_small_parts_are_the_same(monkeypatch):
+    rng = random.Random(11)
+    items = [(i, [rng.choice("ab") for _ in range(30)]) for i in range(5)]
+    text = [rng.choice("ab") for _ in range(300)]
+    whole = leakage.Automaton(items).matches(text)
+    monkeypatch.setattr(leakage, "LAID_OUT", 7)
+    assert leakage.Automaton(items).matches(text) == whole
+
+
 def test_variants_items_inside_items_and_very_long_items_are_found():
     rng = random.Random(9)
     a = [f"w{rng.randint(0, 999)}x" for _ in range(60)]
     b = [{20: "other", 40: "words"}.get(i, w) for i, w in enumerate(a)]
     long = [f"v{i}" for i in range(70_000)]
     automaton = leakage.Automaton([(1, a), (2, b), (3, a[10:40]), (4, long), (5, long[66_000:66_050])])
-    assert {e for e, _ in automaton.leaks(["before", *a, "after"])} == {1, 2, 3}
-    assert dict(automaton.leaks(["before", *long, "after"])) == {4: 1.0, 5: 1.0}
+    assert {e for e, *_ in automaton.leaks(["before", *a, "after"])} == {1, 2, 3}
+    assert automaton.leaks(["before", *long, "after"]) == [(4, 1.0, 1, 70_000), (5, 1.0, 66_001, 66_050)]
+
+
+def test_coverage_decides_alone_or_asks_for_an_alignment():
+    assert leakage.held([(59, 59, 60)], 60) == (1.0, 0, 59)
+    assert leakage.held([(19, 19, 20), (39, 39, 19)], 60) == (40 / 60, 0, 39)
+    assert leakage.held([(19, 19, 20)], 60) is None and leakage.held([(9, 9, 10), (30, 30, 10)], 60) is None
+
+
+@pytest.mark.parametrize("text", ["", "It's a-\nb, élan ﬁn ’x’ I\u0307 don’t", "naïve\u0301 Straße - \n x'y"])
+def test_places_are_those_of_the_words(text):
+    places = leakage.places_of(text)
+    assert ["".join(leakage.words_of(text[a:b])) for a, b in places] == leakage.words_of(text)
 
 
 def test_leaks_in_blocks_with_nulls_and_repeats(spark, monkeypatch):
@@ -71,6 +93,12 @@ def test_leaks_in_blocks_with_nulls_and_repeats(spark, monkeypatch):
     items = spark.createDataFrame([(9, ITEM), (10, ITEM), (11, None), (12, "!!")], "eval_id long, text string")
     rows = leakage.find_leaks(docs, "doc_id", "text", items, "eval_id", "text").collect()
     assert {(r.doc_id, r.eval_id) for r in rows} == {(1, 9), (1, 10)} and len(rows) == 2
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 200_000)
+    docs = spark.createDataFrame([(1, f"Before. {ITEM}! Between {PART} after"), (2, None), (3, ""), (4, "kept")], "doc_id long, text string").withColumn("share", F.lit(1)).withColumn("t", F.lit("clash"))
+    found = leakage.spans(docs, "doc_id", "text", items.where("eval_id = 9"), "eval_id", "text").orderBy("start_char").collect()
+    assert [(r.start_char, r.end_char) for r in found] == [(8, 8 + len(ITEM)), (18 + len(ITEM), 18 + len(ITEM) + len(PART))]
+    out = {r.doc_id: (r.text, r.removed) for r in leakage.clean(docs, "doc_id", "text", items, "eval_id", "text").collect()}
+    assert out == {1: ("Before. ! Between  after", len(ITEM) + len(PART)), 2: (None, 0), 3: ("", 0), 4: ("kept", 0)}
     assert leakage.find_leaks(docs, "doc_id", "text", items.limit(0), "eval_id", "text").count() == 0
 
 
