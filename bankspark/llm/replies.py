@@ -1,18 +1,22 @@
 """Quoted history, signatures and notices in mail bodies: the lines that the sender newly wrote.
 
-Method: the lines a message may have written itself are found by its layout (marks of quoted text, headings
-of earlier messages, signature blocks). They are winnowed into fingerprints, and an inverted index over the
-whole corpus finds, without thread identifiers, which of them other senders' messages hold too: a run of
-fingerprints shared with one earlier message is verified against that ancestor's lines word by word and
-is history; a line that many senders share is a recurring closing (a notice or device line).
-
-Scale: only fingerprints (8 bytes, row and sender) are shuffled, combined to one row a fingerprint and
-sender first; a fingerprint that many senders share is judged by its count alone and never joined, so no
-group grows with the corpus; bodies are read twice and not shuffled.
+Method: explicit marks (quote signs, headings of earlier messages, signature blocks) are taken off by layout.
+The lines left over are winnowed into fingerprints, and an inverted index over the whole corpus finds, without
+thread identifiers, which of them other senders' messages hold too: fingerprints shared with one earlier message
+make it an ancestor, and the lines that it has word by word are a verified span of history. A line that many
+senders share is a recurring closing (a notice or device line): how often it recurs decides, not its words; only
+for lines of fewer than four words, where greetings recur too, its words are asked as well. A separator goes with
+the closing, signature or history that it opens or closes.
+
+Scale: bodies are read once; only line hashes and fingerprints (8 bytes, row and sender) are shuffled. Recurring
+closings are counted exactly over distinct (line, sender) pairs, then taken out before any fingerprint is looked
+up, so no group holds more than `RECURRING_SHARE` of the senders; spans are verified by an equi join on ancestor
+and line, which spreads an ancestor that many messages quote over its lines. What is broadcast is counted first.
 
 Defined results: a null, empty or blank body has no lines; lines end at a line feed, a carriage return before
 it belongs to the ending; a row without a sender or message id counts as of a sender or message of its own, but
-not among the senders that share a closing; line numbers count all lines from 1; repeated rows give repeated results.
+not among the senders that share a closing; a message all of whose lines an ancestor has keeps them (it is a
+copy); line numbers count all lines from 1; repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -50,15 +54,12 @@ CONTACT = re.compile(
 TITLE_WORDS = r"(?:lead|agent|handler|reviewer|scheduler|supervisor|assistant|manager|engineer|clerk|support|director|officer|analyst|president|counsel|coordinator|specialist|trader|accountant|head|chief|secretary|operator|consultant|controller|planner|administrator|technician|associate|representative|attorney|buyer|dispatcher|advisor)"
 TITLE = re.compile(rf"(?:[A-Z][\w'’&.-]*\s+){{0,4}}{TITLE_WORDS}\b(?:\s+(?:of|for|on)\b[\w\s]{{1,30}})?(?:\s*[,|/–-]\s*.{{1,80}})?$", re.I)
 NAME = re.compile(r"(?:[^\W\d_a-z][\w'’.&-]*[,]?)(?:\s+(?:[^\W\d_a-z][\w'’.&-]*|&|of|de|van|von|and)){1,4}$")
-NOTICE = re.compile(
-    r"confidential|privileged|intended (?:only|solely)|meant only|addressee|intended recipient|not the (?:person|recipient)|not that person|delete (?:it|this)|notify (?:us|the sender)|disclos|dissemination|copying or use|no contract is formed|views (?:above|expressed)|liability for damage|scan outgoing mail|paper copy|before printing|think before you print|registered (?:office|in|address on)|written confirmation|virus|unsubscribe|^(?:--\s*)?sent (?:from|on|via)\b.{0,60}$|von unterwegs gesendet|^gesendet von|^envoyé de|^enviado desde|get (?:the|our) .{0,30}\bapp\b|\bexcuse (?:typos|brevity)|vertraulich|nicht gemeint|confidentiel|destinataire|confidencial",
-    re.I,
-)
-GREETING_OR_CLOSING = re.compile(r"\s*(?:\S+(?:\s+\S+){0,2})?[,–-]?\s*$")
+#: A short line that may be one of a device.
+DEVICE = re.compile(r"\bsent (?:from|on|via)\b|\bgesendet\b|\benvoyé d|\benviado desde\b|\binviato da\b", re.I)
 
 
 def own_lines(lines: list[str]) -> list[int]:
-    """Indexes of the non-blank lines that by the layout are neither history nor signature nor notice."""
+    """Indexes of the non-blank lines that by their marks are neither history nor signature."""
     n = len(lines)
     bare = [x.strip() for x in lines]
     state = ["blank" if not x else "quoted" if QUOTED.match(x) else "own" for x in bare]
@@ -89,9 +90,6 @@ def own_lines(lines: list[str]) -> list[int]:
         elif state[i] == "own" and bare[i].startswith("---") and ATTRIBUTION.match(bare[i]):
             state[i] = "heading"
     _signatures(bare, state, end)
-    for i in range(end):
-        if state[i] == "own" and NOTICE.search(bare[i]):
-            state[i] = "notice"
     _separators(bare, state, end)
     return [i for i in range(n) if state[i] == "own"]
 
@@ -135,19 +133,19 @@ def _signatures(bare: list[str], state: list[str], end: int) -> None:
 
 
 def _separators(bare: list[str], state: list[str], end: int) -> None:
-    """A separator goes with the notice or signature that it opens or closes."""
+    """A separator goes with the signature or history that it opens."""
     for i in range(end):
         if state[i] == "own" and SEPARATOR.match(bare[i]):
             after = next((state[j] for j in range(i + 1, len(state)) if state[j] != "blank"), None)
-            before = next((state[j] for j in range(i - 1, -1, -1) if state[j] != "blank"), None)
-            if after in ("notice", "signature", "history", "heading", "quoted", None) or before == "notice":
+            if after in ("signature", "history", "heading", "quoted", None):
                 state[i] = "signature"
 
 
-#: Words of a shingle; shingles of a winnowing window; words of a verified span; share of senders of a recurring closing.
-SHINGLE, WINDOW, SPAN_WORDS, RECURRING_SHARE, RECURRING_LEAST = 5, 4, 24, 0.02, 8
-#: Fingerprints that two messages share before their lines are compared.
-SHARED = 4
+#: Words of a shingle; shingles of a winnowing window; words of a verified span of two full lines or more, and of one,
+#: which two people may write by chance.
+SHINGLE, WINDOW, SPAN_WORDS, LINE_WORDS = 5, 4, 8, 24
+#: Share of the senders, and least number of them, that a recurring closing has; words of one that needs no more evidence.
+RECURRING_SHARE, RECURRING_LEAST, CLOSING_WORDS = 0.02, 8, 4
 WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -165,39 +163,30 @@ def winnow(words: list[str]) -> set[int]:
     return {min(h[i : i + WINDOW]) for i in range(max(1, n - WINDOW + 1))}
 
 
+LINES = pa.list_(pa.struct([("n", pa.int32()), ("h", pa.int64()), ("w", pa.int32()), ("closing", pa.bool_()), ("prints", pa.list_(pa.int64()))]))
+SEPARATORS = pa.list_(pa.struct([("n", pa.int32()), ("above", pa.int64()), ("below", pa.int64()), ("below_n", pa.int32())]))
+
+
+def line_hash(line: str, words: list[str]) -> int:
+    """A line by its words, or as it is without any."""
+    return xxhash.xxh64_intdigest(" ".join(words) if words else line.strip()) - (1 << 63)
+
+
 def _layout(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
-        kept, prints, whole = [], [], []
+        kept, between = [], []
         for body in b.column(4).to_pylist():
-            lines = body.split("\n")
-            own = own_lines(lines)
-            marks: set[int] = set()
-            closings: list[dict] = []
-            for i in own:
-                words = line_words(lines[i])
-                if len(words) >= 4:
-                    marks |= winnow(words)
-                    closings.append({"n": i + 1, "h": xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)})
-            kept.append([i + 1 for i in own])
-            prints.append(list(marks))
-            whole.append(closings)
-        arrays = [*b.columns[:4], pa.array(kept, pa.list_(pa.int32())), pa.array(prints, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.struct([("n", pa.int32()), ("h", pa.int64())])))]
-        yield pa.RecordBatch.from_arrays(arrays, ["k", "s", "m", "t", "own", "prints", "whole"])
-
-
-def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines of a body that stand in the ancestor's body too, where they make a span and are not all there is."""
-    for b in it:
-        keys, out = [], []
-        for k, body, ancestor in zip(*(c.to_pylist() for c in b.columns)):
-            lines = body.split("\n")
-            known = {tuple(w) for w in map(line_words, ancestor.split("\n")) if w}
-            own = own_lines(lines)
-            found = [i for i in own if tuple(line_words(lines[i])) in known]
-            if len(found) < len(own) and sum(len(line_words(lines[i])) for i in found) >= SPAN_WORDS:
-                keys += [k] * len(found)
-                out += [i + 1 for i in found]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema[0].type), pa.array(out, pa.int64())], ["k", "line_no"])
+            text = body.split("\n")
+            lines, separators = [], []
+            for i in own_lines(text):
+                words = line_words(text[i])
+                if not words and SEPARATOR.match(text[i].strip()):
+                    separators.append(i)
+                lines.append({"n": i + 1, "h": line_hash(text[i], words), "w": len(text[i].split()) if words else 0, "closing": len(words) >= CLOSING_WORDS or DEVICE.search(text[i]) is not None, "prints": list(winnow(words))})
+            kept.append(lines)
+            wordy = [x for x in lines if x["w"]]
+            between.append([{"n": i + 1, "above": next((x["h"] for x in reversed(wordy) if x["n"] <= i), None), "below": (after := next((x for x in wordy if x["n"] > i), {})).get("h"), "below_n": after.get("n")} for i in separators])
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(kept, LINES), pa.array(between, SEPARATORS)], ["k", "s", "m", "t", "lines", "separators"])
 
 
 def new_lines(df: DataFrame, key: str, body: str, sender: Column, message: Column, when: Column) -> DataFrame:
@@ -206,33 +195,42 @@ def new_lines(df: DataFrame, key: str, body: str, sender: Column, message: Colum
     last = F.lit("9999-12-31").cast("timestamp")
     alone = F.xxhash64(F.lit("row"), F.col(key))  # a row without a sender or message id is one of its own
     mail = df.where(F.col(body).isNotNull()).select(F.col(key).alias("k"), F.coalesce(F.when(sender.isNotNull(), F.xxhash64(sender)), alone).alias("s"), F.coalesce(F.when(F.trim(message) != "", F.xxhash64(message)), alone).alias("m"), F.unix_micros(F.coalesce(when.cast("timestamp"), last)).alias("t"), F.col(body).cast("string").alias("b"))
-    layout = cut(mail.mapInArrow(_layout, f"k {kind}, s long, m long, t long, own array<int>, prints array<long>, whole array<struct<n:int,h:long>>"))
+    layout = cut(mail.mapInArrow(_layout, f"k {kind}, s long, m long, t long, lines array<struct<n:int,h:long,w:int,closing:boolean,prints:array<long>>>, separators array<struct<n:int,above:long,below:long,below_n:int>>"))
+    lines = layout.select("k", "s", "m", "t", F.size("lines").alias("total"), F.posexplode("lines").alias("o", "x")).select("k", "s", "m", "t", "total", "o", "x.*")
+
+    # closings: lines that many senders share, counted over distinct pairs of line and sender; of each sender's lines at
+    # most 1 / RECURRING_SHARE times as many are closings, however many senders there are
+    named = F.col("s") != F.xxhash64(F.lit("row"), F.col("k"))  # rows without a sender may all be of one
+    least = max(RECURRING_LEAST, math.ceil(layout.where(named).select("s").distinct().count() * RECURRING_SHARE))
+    often = cut(lines.where(named & F.col("closing")).select("h", "s").distinct().groupBy("h").count().where(F.col("count") >= least).select("h"))
+    often = broadcast_if_small(often)
+    own = lines.join(often.withColumn("closing", F.lit(True)), ["h", "closing"], "left_anti")
 
     # ancestors: of each fingerprint that several senders have the first earlier message of another sender and message id.
     # c1 is the first of all, c2 and d2 the first of another sender or id than c1, c3 and d3 where these have the row's own
-    prints = layout.select("k", "s", "m", "t", F.explode("prints").alias("f"))
+    prints = own.select("k", "s", "m", "t", F.explode("prints").alias("f"))
+    several = cut(prints.groupBy("f").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("f"))
+    prints = cut(prints.join(broadcast_if_small(several), "f", "left_semi").distinct())
     row = F.struct("t", "k", "s", "m")
-    first = prints.groupBy("f").agg(F.min(row).alias("c1"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi")
-    shared = prints.join(first.select("f", "c1"), "f")
+    shared = prints.join(prints.groupBy("f").agg(F.min(row).alias("c1")), "f")
     second = shared.groupBy("f").agg(F.min(F.when(F.expr("s <> c1.s"), row)).alias("c2"), F.min(F.when(F.expr("m <> c1.m"), row)).alias("d2"))
     shared = shared.join(second, "f")
     third = shared.groupBy("f").agg(F.min(F.when(F.expr("s <> c1.s and m <> c2.m"), row)).alias("c3"), F.min(F.when(F.expr("m <> c1.m and s <> d2.s"), row)).alias("d3"))
     other = [F.when((F.col("s") != F.col(f"{c}.s")) & (F.col("m") != F.col(f"{c}.m")), F.col(c)) for c in ("c1", "c2", "c3", "d2", "d3")]
     shared = shared.join(third, "f").select("k", "t", F.least(*other).alias("a")).where("a.t < t or (a.t = t and a.k < k)")
-    pairs = shared.groupBy("k", F.col("a.k").alias("ancestor")).count().where(F.col("count") >= SHARED).select("k", "ancestor")
-    pairs = broadcast_if_small(cut(pairs))
-    texts = mail.select("k", "b")
-    ancestors = texts.select(F.col("k").alias("ancestor"), F.col("b").alias("ab")).join(pairs, "ancestor")
-    both = texts.join(broadcast_if_small(cut(ancestors), 10_000), "k").select("k", "b", "ab")
-    history = both.select("k", "b", "ab").mapInArrow(_verify, f"k {kind}, line_no long")
-
-    # closings: whole lines of four words or more that many senders share
-    named = F.col("s") != F.xxhash64(F.lit("row"), F.col("k"))  # rows without a sender may all be of one
-    least = max(RECURRING_LEAST, math.ceil(layout.where(named).agg(F.countDistinct("s")).first()[0] * RECURRING_SHARE))
-    lines = layout.select("k", "s", F.explode("whole").alias("w")).select("k", "s", "w.n", "w.h")
-    often = lines.where(named).groupBy("h").agg(F.approx_count_distinct("s", 0.02).alias("about"), F.count(F.lit(1)).alias("rows")).where((F.col("rows") >= least) & (F.col("about") >= least)).select("h")
-    closings = lines.join(often, "h", "left_semi").select("k", F.col("n").cast("long").alias("line_no"))
-
-    dropped = history.union(closings).distinct()
-    rows = layout.select("k", F.explode("own").alias("line_no")).withColumn("line_no", F.col("line_no").cast("long"))
-    return rows.join(dropped, ["k", "line_no"], "left_anti").withColumnRenamed("k", key)
+    pairs = cut(shared.select("k", F.col("a.k").alias("ancestor")).distinct())
+
+    # verified spans: the lines that the ancestor has too, word by word and equally far apart, and not all of the message
+    asked = own.select("k", "o", "n", "h", "w", "total").join(broadcast_if_small(pairs), "k")
+    held = own.where("w > 0").join(broadcast_if_small(pairs.select("ancestor").distinct()).withColumnRenamed("ancestor", "k"), "k", "left_semi")
+    held = held.groupBy(F.col("k").alias("ancestor"), "h", F.col("w").alias("aw")).agg(F.min("o").alias("ao"))
+    spans = asked.join(held, ["ancestor", "h"]).where("w = aw").groupBy("k", "ancestor", F.expr("o - ao")).agg(F.sum("w").alias("words"), F.count_if(F.col("w") >= CLOSING_WORDS).alias("full"), F.collect_list("n").alias("ns"), F.max("total").alias("total"))
+    long_enough = F.col("words") >= F.when(F.col("full") > 1, SPAN_WORDS).otherwise(LINE_WORDS)
+    history = cut(spans.where(long_enough & (F.size("ns") < F.col("total"))).select("k", F.explode("ns").alias("n")).distinct())
+
+    # separators that open history, or open or close a closing
+    separators = layout.where(F.size("separators") > 0).select("k", F.explode("separators").alias("x")).select("k", "x.*")
+    beside = separators.select("k", "n", F.explode(F.array("above", "below")).alias("h")).join(often, "h", "left_semi").select("k", "n")
+    opens = separators.join(history.select("k", F.col("n").alias("below_n")), ["k", "below_n"]).select("k", "n")
+    dropped = history.union(beside).union(opens).distinct()
+    return own.select("k", "n").join(dropped, ["k", "n"], "left_anti").select(F.col("k").alias(key), F.col("n").cast("long").alias("line_no"))

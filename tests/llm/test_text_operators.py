@@ -278,7 +278,7 @@ One reply between.
 
 def test_layout_keeps_what_is_new():
     lines = BODY.split("\n")
-    assert [lines[i] for i in replies.own_lines(lines)] == ["Hello Ines,", "The first line is new.", "Kind regards,", "Oskar", "One reply between."]
+    assert [lines[i] for i in replies.own_lines(lines)] == ["Hello Ines,", "The first line is new.", "Kind regards,", "Oskar", "CONFIDENTIAL: the contents may be privileged.", "One reply between."]
     forwarded = "See below.\n\n-----Original Message-----\nFrom: A B\nSent: today\nTo: C\nSubject: x\n\nold text"
     assert replies.own_lines(forwarded.split("\n")) == [0]
     assert replies.own_lines(["From: north yard, pallet 3 is late.", "To: dock nine, 4 crates"]) == [0, 1]
@@ -315,6 +315,24 @@ def test_closings_that_many_senders_share_go(spark):
     assert out == {(i, 1) for i in range(12)}
 
 
+def test_recurrence_and_not_the_words_of_a_line_makes_it_a_closing(spark):
+    new = ["This contract is privileged and I disclose the terms to you now", "We must delete this row and the one below it before printing the report"]
+    notice, device = "This text is confidential and meant only for its addressee", "Von unterwegs gesendet"
+    rows = [(i, f"Line number {i} was written by hand today by me\nThanks\n*****\n{notice}\n{device}", f"s{i}@x.example", f"m{i}") for i in range(12)]
+    rows += [(100, "\n".join(new), "a@x.example", "m100"), (101, f"*****\nHello\n---\n{new[0]}", None, "")]
+    df = spark.createDataFrame(rows, "row_id long, body string, who string, mid string")
+    out = {(r.row_id, r.line_no) for r in replies.new_lines(df, "row_id", "body", F.col("who"), F.col("mid"), F.lit(None)).collect()}
+    assert out == {(i, n) for i in range(12) for n in (1, 2)} | {(100, 1), (100, 2), (101, 1), (101, 2), (101, 3), (101, 4)}
+
+
+def test_short_unmarked_history_is_found_and_one_equal_line_is_none(spark):
+    old = ["The ledger was moved to the depot", "Count every crate of the barge"]
+    rows = [(1, "\n".join(old), "a@x.example", "m1", "2001-01-01 00:00:00"), (2, "\n".join(["Agreed, go on with it", *old]), "b@x.example", "m2", "2001-01-02 00:00:00"), (3, "\n".join(["Not by me", old[0]]), "c@x.example", "m3", "2001-01-03 00:00:00")]
+    df = spark.createDataFrame(rows, "row_id long, body string, who string, mid string, at string")
+    out = {(r.row_id, r.line_no) for r in replies.new_lines(df, "row_id", "body", F.col("who"), F.col("mid"), F.to_timestamp("at")).collect()}
+    assert out == {(1, 1), (1, 2), (2, 1), (3, 1), (3, 2)}
+
+
 # --- splits ----------------------------------------------------------------------------------------------------------
 
 
