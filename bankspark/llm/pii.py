@@ -1,11 +1,14 @@
 """Personal information in free text: found, typed and replaced by placeholders.
 
 Method: a semi-Markov conditional random field over each line. Candidate segments of bounded length (mail
-addresses, digit groups, house numbers with streets, pairs and triples of capitalised words) carry whole-span
-features: shape, parts in word lists, the words around, the address beside a name. Dynamic programming over
-segments chooses boundaries and types together. The weights are fitted by gradient ascent on the conditional
-log-likelihood of labelled lines that are generated here from frames and invented words (TRAIN_LINES of
-them, a documented bound); the model is fitted once on the driver and is a few hundred numbers.
+addresses, digit groups, house numbers with streets, all pairs and triples of capitalised words, also with a
+particle between) carry whole-span features: shape, parts in word lists, the words around, the address beside a
+name; a segment that stands right behind another also carries a transition feature of the two kinds and what is
+between them. No list decides what is a candidate: a name of words in no list is told by what stands around it.
+Dynamic programming over segments chooses boundaries and types together. The weights are fitted by gradient
+ascent on the conditional log-likelihood of labelled lines that are generated here from frames and invented
+words (TRAIN_LINES of them, a documented bound); the model is fitted once on the driver and is a few hundred
+numbers. Tests hold out frames and given names.
 
 Defined results: null and empty texts have no values and stay as they are; spans do not cross line ends;
 repeated values of a field are one value; all lines of a text are read.
@@ -13,6 +16,7 @@ repeated values of a field are one value; all lines of a text are read.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import random
@@ -131,7 +135,7 @@ def number_features(kind: str, line: str, start: int, end: int) -> list[str]:
         f.append(f"{kind}:phone cue")
     if near & ID_CUE:
         f.append(f"{kind}:id cue")
-    if near & STRONG_ID_CUE or re.match(r"\s+as the tax", line[end : end + 12]):
+    if near & STRONG_ID_CUE or set(re.findall(r"[^\W\d_]+", line[end : end + 24].lower())[:3]) & STRONG_ID_CUE:
         f.append(f"{kind}:strong id cue")
     if before and before[-1] in CODE_CUE and not near & STRONG_ID_CUE:
         f.append(f"{kind}:code cue")
@@ -151,6 +155,8 @@ def name_features(line: str, words: list[re.Match], order: str) -> list[str]:
     family = words[0].group() if order.startswith("F") else words[-1].group()
     before, after, left, right = around(line, start, end)
     f = ["name", f"name:{order}", f"name:{order}:{kinds}"]
+    listed = ("G" in kinds or "N" in kinds or "I" in kinds) and not (order == "GMF" and kinds[0] == "F")
+    common = kinds.count("C") > 0
     f.append("name:family=" + word_kind(family))
     if len(fold(family)) < 4:
         f.append("name:short")
@@ -169,6 +175,8 @@ def name_features(line: str, words: list[re.Match], order: str) -> list[str]:
         local = re.match(r"\s?(?:<|\[mailto:|\()([\w.+-]+)@", line[end : end + 60])
         if local and len(fold(family)) > 3 and fold(family) in local.group(1).lower():
             f.append("name:address")
+        if local and not listed and sum(1 for w in words if len(fold(w.group())) > 2 and fold(w.group()) in local.group(1).lower()) > 1:
+            f.append("name:whole address")
     if not line[:start].strip(" >|*-\t") and not line[end:].strip(" \r"):
         f.append("name:alone")
     following = CAPITAL.match(line, end + 1) if right == " " else None
@@ -182,9 +190,24 @@ def name_features(line: str, words: list[re.Match], order: str) -> list[str]:
         f.append("name:glued")
     if re.match(r"['’]?[\w@]", line[end : end + 1]) and not line[end - 1 : end] == ".":
         f.append("name:goes on")
+    if not listed or common:  # what stands around has to speak for it
+        if re.match(r"\s(?:wrote|writes|said|says|schrieb|escribió|a écrit|called|signed|asked)\b", line[end : end + 12]):
+            f.append("name:speaks")
+        if HEADER.search(line, 0, start) and not line[end:].strip(" \r<[(,;") or (beside and HEADER.search(line, 0, start)):
+            f.append("name:header")
+        side = "common" if common else "unlisted"
+        f += [f"{side}:{x[5:]}" for x in f[3:] if not x.startswith("name:family")]
+        f.append(side)
+        if not common and all(w.group()[1:].islower() for w in words):
+            f.append("unlisted:title case")
     return f
 
 
+HEADER = re.compile(r"(?:^|[>|\s])(?:from|to|cc|von|an|de|sender|contact|attn)\s*:\s*$", re.I)
+#: Particles between given and family name.
+PARTICLES = re.compile(r" (?:(?:van|von|de|der|den|di|da|del|la|le|ter|ten|bin|al|zu|zur|dos) ){1,3}")
+
+
 def candidates(line: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
     """(start, end, kind, features) of the segments of a line that may be personal values."""
     out = []
@@ -237,7 +260,7 @@ def candidates(line: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
     for i in range(len(words) - 1):
         a, b = words[i], words[i + 1]
         gap = line[a.end() : b.start()]
-        if gap not in (" ", ", "):
+        if len(gap) > 20:
             continue
         ka, kb = word_kind(a.group()), word_kind(b.group())
         c = words[i + 2] if i + 2 < len(words) and line[b.end() : words[i + 2].start()] == " " else None
@@ -245,16 +268,17 @@ def candidates(line: str) -> list[tuple[int, int, str, tuple[str, ...]]]:
         if gap == " ":
             if a.group().endswith(".") and len(fold(a.group())) > 1:
                 continue  # a sentence or title ends here
-            if ka in "GNI" and kb in "FGN":
-                out.append(_name(line, [a, b], "GF"))
-            if ka in "GN" and kb == "I" and c and kc in "FG":
+            if kb != "I":
+                out.append(_name(line, [a, b], "FG" if ka in "FC" and kb in "GN" else "GF"))
+            if c and kc != "I" and (kb == "I" or (ka in "FGN" and kb in "FGN" and not b.group().endswith("."))) and ka != "I":
                 out.append(_name(line, [a, b, c], "GMF"))
-            if ka in "FG" and kb in "GN":
-                out.append(_name(line, [a, b], "FG"))
-        elif ka in "FG" and kb in "GNI":
-            if c and kc == "I" and kb in "GN":
-                out.append(_name(line, [a, b, c], "F,GM"))
-            out.append(_name(line, [a, b], "F,G"))
+        elif gap == ", ":
+            if kb in "GNI" or not (ka == "C" and kb == "C"):
+                if c and kc == "I" and kb != "I":
+                    out.append(_name(line, [a, b, c], "F,GM"))
+                out.append(_name(line, [a, b], "F,G"))
+        elif word_kind(b.group()) != "I" and PARTICLES.fullmatch(gap):
+            out.append(_name(line, [a, b], "GpF"))
     return out
 
 
@@ -270,8 +294,13 @@ def _name(line: str, words: list[re.Match], order: str) -> tuple[int, int, str,
     return words[0].start(), end, "name", tuple(name_features(line, words, order))
 
 
+def transition(line: str, before: tuple[int, int, str], after: tuple[int, int, str]) -> str:
+    """Feature of a segment right behind another: both kinds and what is between them."""
+    return f"{before[2]}>{after[2]}:{line[before[1] : after[0]]}"
+
+
 class Field:
-    """The random field: weights of features; a segment's score is their sum, text outside scores nothing."""
+    """The random field: weights of features and transitions; a segmentation's score is their sum, text outside scores nothing."""
 
     def __init__(self, weights: dict[str, float]):
         self.w = weights
@@ -279,50 +308,74 @@ class Field:
     def score(self, features: tuple[str, ...]) -> float:
         return sum(self.w.get(f, 0.0) for f in features)
 
+    def behind(self, line: str, found: list[tuple], ends: list[int], i: int) -> Iterator[tuple[int, float]]:
+        """(index, transition weight) of the segments that segment i, in order of ends, stands right behind."""
+        start = found[i][0]
+        for j in range(bisect.bisect_left(ends, start - BESIDE), bisect.bisect_right(ends, start)):
+            if x := self.w.get(transition(line, found[j], found[i]), 0.0):
+                yield j, x
+
     def best(self, line: str) -> list[tuple[int, int, str]]:
         """The segmentation of highest score."""
-        found = [(s, e, k, x) for s, e, k, f in candidates(line) if (x := self.score(f)) > 0]
+        found = [(s, e, k, x) for s, e, k, f in candidates(line) if (x := self.score(f)) > -MOST_TRANSITION]
         if not found:
             return []
-        if len(found) == 1:
-            return [found[0][:3]]
         found.sort(key=lambda c: c[1])
-        top: list[tuple[float, tuple | None, int]] = [(0.0, None, 0)]  # best up to the i-th end
         ends = [c[1] for c in found]
-        for i, (s, e, k, x) in enumerate(found):
-            j = next((j for j in range(i - 1, -1, -1) if ends[j] <= s), -1) + 1
-            taken = top[j][0] + x
-            top.append((taken, (s, e, k), j) if taken > top[i][0] else (top[i][0], None, i))
-        out, i = [], len(found)
-        while i:
-            _, segment, j = top[i]
-            if segment:
-                out.append(segment)
-            i = j
+        own: list[tuple[float, int]] = []  # of each segment as the last one: score, and the one before (-1: none)
+        top: list[tuple[float, int]] = [(0.0, -1)]  # of the first i segments: the best last one
+        for i, (start, _, _, x) in enumerate(found):
+            score, before = top[bisect.bisect_right(ends, start, 0, i)]
+            for j, t in self.behind(line, found, ends, i):
+                if own[j][0] + t > score:
+                    score, before = own[j][0] + t, j
+            own.append((score + x, before))
+            top.append(max(top[-1], (score + x, i), key=lambda c: c[0]))
+        out, i = [], top[-1][1]
+        while i >= 0:
+            out.append(found[i][:3])
+            i = own[i][1]
         return out[::-1]
 
-    def expectations(self, found: list[tuple[int, int, str, tuple[str, ...]]]) -> list[float]:
-        """Probability of each candidate under the field (forward and backward sums over segmentations)."""
+    def expectations(self, line: str, found: list[tuple[int, int, str, tuple[str, ...]]]) -> tuple[list[float], dict[tuple[int, int], float]]:
+        """Probability of each candidate, and of each pair of one right behind another, under the field.
+
+        Forward sums run over the ends, backward sums over the starts; a pair with a transition differs from one without by its factor."""
         order = sorted(range(len(found)), key=lambda i: found[i][1])
-        x = [math.exp(min(30.0, self.score(found[i][3]))) for i in order]
-        n = len(order)
-        forward, before = [1.0] * (n + 1), [0] * n
-        for a in range(n):
-            s = found[order[a]][0]
-            before[a] = next((b for b in range(a - 1, -1, -1) if found[order[b]][1] <= s), -1) + 1
-            forward[a + 1] = forward[a] + x[a] * forward[before[a]]
-        backward = [0.0] * (n + 1)
-        backward[n] = 1.0
-        out = [0.0] * len(found)
-        for a in range(n - 1, -1, -1):
-            out[order[a]] = backward[a + 1] * x[a] * forward[before[a]] / forward[n]
-            backward[a] += backward[a + 1]
-            backward[before[a]] += backward[a + 1] * x[a]
-        return out
-
-
-def training_lines(n: int = TRAIN_LINES, seed: int = 20260101) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
-    """Labelled lines from frames and invented words; {x} slots are personal, [x] slots are look-alikes."""
+        rows = [found[i] for i in order]
+        ends, n = [c[1] for c in rows], len(rows)
+        x = [math.exp(min(30.0, self.score(c[3]))) for c in rows]
+        pairs = {(j, i): math.exp(self.w.get(transition(line, rows[j], rows[i]), 0.0)) for i in range(n) for j in range(bisect.bisect_left(ends, rows[i][0] - BESIDE), bisect.bisect_right(ends, rows[i][0], 0, i))}
+        before, after = defaultdict(list), defaultdict(list)
+        for (j, i), w in pairs.items():
+            before[i].append((j, w))
+            after[j].append((i, w))
+        forward, sums = [], [1.0]
+        for i in range(n):
+            forward.append(x[i] * (sums[bisect.bisect_right(ends, rows[i][0], 0, i)] + sum(forward[j] * (w - 1) for j, w in before[i])))
+            sums.append(sums[-1] + forward[-1])
+        backward = [0.0] * n
+        by_start = sorted(range(n), key=lambda i: -rows[i][0])
+        starts, tails = [], [1.0]  # negated starts in ascending order
+        for i in by_start:
+            backward[i] = tails[bisect.bisect_right(starts, -rows[i][1])] + sum(x[k] * backward[k] * (w - 1) for k, w in after[i])
+            starts.append(-rows[i][0])
+            tails.append(tails[-1] + x[i] * backward[i])
+        out = [0.0] * n
+        for a, i in enumerate(order):
+            out[i] = forward[a] * backward[a] / sums[-1]
+        return out, {(order[j], order[i]): forward[j] * w * x[i] * backward[i] / sums[-1] for (j, i), w in pairs.items()}
+
+
+#: Characters between a segment and one right behind it; what a transition may weigh at most.
+BESIDE, MOST_TRANSITION = 3, 3.0
+
+
+def training_lines(n: int = TRAIN_LINES, seed: int = 20260101, part: tuple[int, int] | None = None, own: bool = True) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """Labelled lines from frames and invented words; {x} slots are personal, [x] slots are look-alikes.
+
+    {other} is a name whose given name is in no list: in frames that tell it by what stands around it. `part` = (i, m) takes
+    every m-th frame, or (own false) all but those."""
     rng = random.Random(seed)
     syllable = lambda: rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") + rng.choice(["", "l", "n", "r", "s", "k"])
     family = lambda: "".join(syllable() for _ in range(rng.choice((2, 3)))).capitalize() + rng.choice(("berg", "son", "er", "ov", "ley", "ton", "man", "dahl"))
@@ -332,7 +385,12 @@ def training_lines(n: int = TRAIN_LINES, seed: int = 20260101) -> Iterator[tuple
     def name() -> str:
         g, f = rng.choice(givens).capitalize(), family()
         i, m = g[0], rng.choice("ABCDEFGHJKLMNPRSTW")
-        return rng.choice((f"{g} {f}", f"{g} {f}", f"{rng.choice(nicks).capitalize()} {f}", f"{i}. {f}", f"{i} {f}", f"{f}, {g}", f"{f}, {i}.", f"{g} {m}. {f}", f"{f}, {g} {m}", f"{f} {g}", f"{f}, {rng.choice(nicks).capitalize()}"))
+        return rng.choice((f"{g} {f}", f"{g} {f}", f"{rng.choice(nicks).capitalize()} {f}", f"{i}. {f}", f"{i} {f}", f"{f}, {g}", f"{f}, {i}.", f"{g} {m}. {f}", f"{f}, {g} {m}", f"{f} {g}", f"{f}, {rng.choice(nicks).capitalize()}", f"{g} {rng.choice(givens).capitalize()} {f}"))
+
+    def other() -> str:
+        g, f = "".join(syllable() for _ in range(rng.choice((2, 2, 3)))).capitalize() + rng.choice(("", "", "a", "o", "w", "ka", "in")), family()
+        m = rng.choice("ABCDEFGHJKLMNPRSTW")
+        return rng.choice((f"{g} {f}",) * 5 + (f"{g} {m}. {f}", f"{g} {rng.choice(givens).capitalize()} {f}", f"{g} {family()[:4]} {f}", f"{g} van der {f}", f"{g} de {f}"))
 
     def mail() -> str:
         a, d = f"{rng.choice(givens)}{rng.choice('._')}{family().lower()}", f"{family().lower()}"
@@ -344,16 +402,20 @@ def training_lines(n: int = TRAIN_LINES, seed: int = 20260101) -> Iterator[tuple
     org = lambda: f"{family()} {rng.choice('Freight Marine Power Grid Rail Gas'.split())} {rng.choice('Services Company Partners Logistics Brokers'.split())}"
     place = lambda: f"{family()} {rng.choice('Terminal Junction Ridge Quay Loop Basin Works Station Board Class Hall Star'.split())}"
     code = lambda: digits(rng.choice(("PO 9999-99-99999 covers lot 2001-9999", "Invoice 99-9999-99 and meter M-9999 are settled", "Build 10.9.99.9 is installed", "The rate is 999.999 per unit @ 99 days", "Ticket #29999999999 is closed", "Use part 999-99-A, not 999-99-B", "quoted 999,999.00 for it", "Order 9999999 shipped", "Item 299-9999-99 is out", "Sent: 2001-09-12 09:99", "Date: 01/04/1999 11:10 AM", "lot 2999-9999")))
-    slots = {"name": name, "email": mail, "phone": phone, "id_number": ident, "street": street}
-    others = {"org": org, "place": place, "code": code, "given": lambda: rng.choice(givens).capitalize(), "family": family, "n": lambda: str(rng.randint(2, 400)), "year": lambda: str(rng.randint(1997, 2024)), "day": lambda: rng.choice("Monday Tuesday Friday January May March".split())}
+    slots = {"other": other, "name": name, "email": mail, "phone": phone, "id_number": ident, "street": street}
+    others = {"org": org, "place": place, "code": code, "given": lambda: rng.choice(givens).capitalize(), "family": family, "UP": lambda: rng.choice((family().upper(), rng.choice("SITE DATA TARIFF METER PRICE CREW AUDIT VALVE".split()))), "n": lambda: str(rng.randint(2, 400)), "year": lambda: str(rng.randint(1997, 2024)), "day": lambda: rng.choice("Monday Tuesday Friday January May March".split())}
     frames = """{name} wrote:|--- {name} <{email}> wrote:|From: {name} <{email}>|To: {name} [mailto:{email}]|To: {name}|{name} said:|Ask {name} or somebody in the lab.|Interview with {name} is set.|The badge of {name} has expired.|cc {name} next time.|Please check with {name} first.|{name} will sign for us.|I spoke to {name} about it.|{name} wants a copy. The order is late.|Dr. {name} called.|{name} / Dispatch Clerk, [org] / T {phone} / {street} / e: {email}|{name}|{name}|Tel {phone}|Phone: {phone} ext. 31|T {phone}|{phone}|Call {phone} if the gate is shut.|Ring {phone}, not the switchboard.|She left {phone} as a callback.|The new line is {phone} x214.|{phone} is the number for the night desk.|Text me ({phone}) when done.|Fax it to {phone} please.|Mobile {phone} after six.|SSN {id_number} is on the form.|ID {id_number} belongs to the new driver.|Her passport no. is {id_number}.|The licence reads {id_number}.|Staff number {id_number} needs a new badge.|Use {id_number} as the tax reference.|National insurance {id_number} was rejected by payroll.|audit id {id_number}|{street}, Suite 12|{street}, [family] 40213|He lives at {street} now.|Bill to: {street}|Meet me outside {street}.|We moved to {street} in May.|Deliver at {street}, second floor.|{email}|e: {email}|Contact: {email}|Her private address is {email}.|({email} bounced yesterday)|Write to {email}; the old one is closed.|I use {email} from home.|mailto:{email}|[code].|[org] [code].|[code]. [code].|Room [n] [place] is booked.|[place] - crew roster week [n]|RE: [place]: rail slots no. [n] call {phone}|Hello [given]|Hi [given],|Dear [given],|Good morning [given],|On [day] the crew wrote [n] tags and left.|[org]|Metering Lead, [org]|Port Agent | [family]|To: [org]|[given] -|Thanks, [given]|Ask [given] about it.|Please ask [given] whether [n] of the [n] bags are shared.|From: north yard, pallet [n]|To: dock nine, [n] crates|Subject: [place] outage plan|The [family] invoice came to 43 and 220 for the sensor.|We owe [place] an answer. See [place] for the rest.|Look at Monday, May [n], 2001 3:25 AM|{name} wrote on Thursday, January [n], 2001 6:51 AM:|[place] {name} {street} {phone}|Don't meet at noon. Send it to [given].|Use Best [given]|No [given] Reply|Call [given] now, [n] [given]s wait.|[place] Q3 [year]|FW: [place] data request Q1 [year]|ATENÇÃO: A REUNIÃO NÃO MUDA; SÃO [n] CAIXAS.|ATENÇÃO: A POSIÇÃO NÃO MUDA|On Thursday, January 6, 2000 8:44 PM, {name} wrote:|Mobile {phone} [n] reels are late.|[code]. {phone} is the number.|Deliver at {street} [n] bags were left.|Le [n]/07/2002, {name} <{email}> a écrit :|Am 5. Juli [year] schrieb {name}:|----- Message from {name} on [year]-11-21 04:06 -----|{name} / Port Agent / {street} / {email}|{phone} [n] drums|[org] / Yard Supervisor on duty|[code] T {phone}|Good morning [given], {name} called.|{name} {email}|Call {phone} or {phone}.|Use part 555-[n]-A, not 555-[n]-B. [family] is here.|No. 12-A. [family] [family] said no.""".split("|")  # noqa: E501
+    frames += """{other} wrote:|--- {other} wrote:|Dr. {other} called.|Mr. {other} will not come.|Ms. {other} has the key|Prof. {other} signed it.|{other} said:|From: {other}|To: {other}|Cc: {other}|From: {other} <{email}>|To: {other} [mailto:{email}]|{other} <{email}> wrote:|On Thursday, January 6, 2000 8:44 PM, {other} wrote:|Am 5. Juli [year] schrieb {other}:|{other} schrieb am Montag:|Le [n]/07/2002, {other} <{email}> a écrit :|From: {other} (Port Agent)|Contact: {other} <{email}>|Sir {other} is here.|Herr {other} hat gefragt.|Mrs {other}, please call.|{other} says no.|{other} writes:|Miss {other} signed first|> {other} wrote:|Attn: {other}|{other} ({email})""".split("|")
+    frames += """[family] [family] is open again|RE: [UP] [UP], [UP] QUAY WEEK [n]|[UP] [UP] [UP] REV [n]|FW: [UP] [UP] WEEK [n]|[UP] [UP]|Bitte schicken Sie die [family] [family] im [family].|Die [family] im [family] wurde am Montag überprüft.|Im [family] stehen [n] Kisten, eine [family] gehört nicht dazu. Für [family] ist [family].|[family] [family] storage rates ([family] [family]) no. [n]|rates for [family] [family]|[family] [family]|The [family] [family] meeting is off|[place] [family] request|Subject: [family] [family]|To: [family] Freight Desk|From: [place]|To: [org]|[family]. [family] is late.|Sent: [day] [family]|[family] [family] Company|[UP] DATA REQUEST|[UP] [UP]: [UP] PLANT|Könnten Sie [day] klären, ob die [family] fehlt?|Read Me First|Good Morning|Copy That|[org] said no|[org] <{email}>""".split("|")
     frames = [f.strip() for f in frames if f.strip()]
+    if part is not None:
+        frames = [f for k, f in enumerate(frames) if (k % part[1] == part[0]) == own]
     for _ in range(n):
         frame, line, gold = rng.choice(frames), "", []
-        for piece in re.split(r"(\{\w+\}|\[(?:org|place|code|given|family|n|year|day)\])", frame):
+        for piece in re.split(r"(\{\w+\}|\[(?:org|place|code|given|family|n|year|day|UP)\])", frame):
             if piece[:1] == "{":
                 value = slots[piece[1:-1]]()
-                gold.append((len(line), len(line) + len(value), piece[1:-1]))
+                gold.append((len(line), len(line) + len(value), "name" if piece == "{other}" else piece[1:-1]))
                 line += value
             else:
                 line += others[piece[1:-1]]() if piece[:1] == "[" and piece[1:-1] in others else piece
@@ -388,21 +450,27 @@ def _fit(field: Field, lines: Iterator[tuple[str, list[tuple[int, int, str]]]],
     for line, gold in lines:
         found = [c for c in candidates(line) if many or not any(f.startswith(MANY) for f in c[3])]
         wanted = {(s, e, k) for s, e, k in gold}
-        data.append((found, [1.0 if c[:3] in wanted else 0.0 for c in found]))
+        if found:
+            data.append((line, found, [1.0 if c[:3] in wanted else 0.0 for c in found]))
     rng = random.Random(1)
     for epoch in range(epochs):
         rng.shuffle(data)
         rate = RATE / (1 + epoch)
-        for found, wanted in data:
-            if not found:
-                continue
-            for (_, _, _, features), want, have in zip(found, wanted, field.expectations(found)):
-                step = rate * (want - have)
+        for line, found, wanted in data:
+            have, pairs = field.expectations(line, found)
+            for (_, _, _, features), want, p in zip(found, wanted, have):
+                step = rate * (want - p)
                 if abs(step) > 1e-4:
                     for f in features:
                         if many and not f.startswith(MANY):
                             continue
                         field.w[f] += step - rate * DECAY * field.w[f]
+            if not many:
+                for (j, i), p in pairs.items():
+                    step = rate * (wanted[j] * wanted[i] - p)
+                    if abs(step) > 1e-4:
+                        f = transition(line, found[j], found[i])
+                        field.w[f] = max(-MOST_TRANSITION, min(MOST_TRANSITION, field.w[f] + step - rate * DECAY * field.w[f]))
 
 
 def values_of(field: Field, text: str, memo: dict[str, list[tuple[int, int, str]]]) -> dict[tuple[str, str], None]:
