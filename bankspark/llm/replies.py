@@ -202,15 +202,17 @@ def new_lines(df: DataFrame, key: str, body: str, sender: Column, message: Colum
     # most 1 / RECURRING_SHARE times as many are closings, however many senders there are
     named = F.col("s") != F.xxhash64(F.lit("row"), F.col("k"))  # rows without a sender may all be of one
     least = max(RECURRING_LEAST, math.ceil(layout.where(named).select("s").distinct().count() * RECURRING_SHARE))
-    often = cut(lines.where(named & F.col("closing")).select("h", "s").distinct().groupBy("h").count().where(F.col("count") >= least).select("h"))
-    often = broadcast_if_small(often)
+    shares = lines.where("closing").select("h", "s", F.when(named, F.col("s")).alias("sender")).distinct().groupBy("h").agg(F.count("sender").alias("senders"), F.count("s").alias("all")).where("all > 1")
+    shares = cut(shares.select("h", (F.col("senders") >= least).alias("often")))
+    often = broadcast_if_small(shares.where("often").select("h"))
     own = lines.join(often.withColumn("closing", F.lit(True)), ["h", "closing"], "left_anti")
 
-    # ancestors: of each fingerprint that several senders have the first earlier message of another sender and message id.
+    # ancestors: of each fingerprint that several senders have the first earlier message of another sender and message id;
+    # a line that nobody else wrote cannot be verified, so its fingerprints are not looked up.
     # c1 is the first of all, c2 and d2 the first of another sender or id than c1, c3 and d3 where these have the row's own
-    prints = own.select("k", "s", "m", "t", F.explode("prints").alias("f"))
-    several = cut(prints.groupBy("f").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("f"))
-    prints = cut(prints.join(broadcast_if_small(several), "f", "left_semi").distinct())
+    several = broadcast_if_small(shares.where("not often").select("h"))
+    prints = lines.join(several, "h", "left_semi").select("k", "s", "m", "t", F.explode("prints").alias("f")).distinct()
+    prints = cut(prints)
     row = F.struct("t", "k", "s", "m")
     shared = prints.join(prints.groupBy("f").agg(F.min(row).alias("c1")), "f")
     second = shared.groupBy("f").agg(F.min(F.when(F.expr("s <> c1.s"), row)).alias("c2"), F.min(F.when(F.expr("m <> c1.m"), row)).alias("d2"))
@@ -218,7 +220,7 @@ def new_lines(df: DataFrame, key: str, body: str, sender: Column, message: Colum
     third = shared.groupBy("f").agg(F.min(F.when(F.expr("s <> c1.s and m <> c2.m"), row)).alias("c3"), F.min(F.when(F.expr("m <> c1.m and s <> d2.s"), row)).alias("d3"))
     other = [F.when((F.col("s") != F.col(f"{c}.s")) & (F.col("m") != F.col(f"{c}.m")), F.col(c)) for c in ("c1", "c2", "c3", "d2", "d3")]
     shared = shared.join(third, "f").select("k", "t", F.least(*other).alias("a")).where("a.t < t or (a.t = t and a.k < k)")
-    pairs = cut(shared.select("k", F.col("a.k").alias("ancestor")).distinct())
+    pairs = cut(shared.select("k", F.col("a.k").alias("ancestor")).distinct())  # a line of 5 to 8 words has one fingerprint
 
     # verified spans: the lines that the ancestor has too, word by word and equally far apart, and not all of the message
     asked = own.select("k", "o", "n", "h", "w", "total").join(broadcast_if_small(pairs), "k")
