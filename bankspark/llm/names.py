@@ -1,16 +1,18 @@
 """Variant spellings of names: all spellings of one correspondent linked, different ones apart.
 
-Method: metric-space partitioning. Every spelling becomes a set of folded name parts; two spellings whose
-parts are equal but for one are compared on that part. The parts are assigned to their nearest pivot by edit
-distance and replicated to every pivot that is at most twice the radius further away (by the triangle
-inequality no pair within the radius is lost), cells are cut into rings about the pivot, and inside each cell
-an exact radius join with the true edit metric runs. What is joined is kept if it is one typing error (a
-letter more, less or other, two swapped) and not two parts that addresses or many partners confirm as names of
-their own. Equal parts, addresses with names that agree, initials and nicknames with only one bearer add links;
-connected components are the correspondents.
-
-Scale: work is on distinct spellings. The equi keys (shared part, pivot, ring) split even the most common given
-name; pivots are PIVOTS strings with the smallest hashes, a fixed number collected to the driver.
+Method: metric-space partitioning. Every spelling becomes a set of folded names (given, family, firm). All distinct
+names are assigned to their nearest pivot by edit distance and replicated to every pivot that is at most twice the
+radius further away (by the triangle inequality no pair within the radius is lost). A pivot's cell is split further
+by segments: of three segments of a name, two errors leave one as it is, so names within the radius share one at
+nearly the same place. Inside each cell an exact radius join with the true edit metric runs. What is joined is kept if
+it is one typing error (a letter more, less or other, two swapped) and not two names that addresses or many partners
+confirm as names of their own. Two spellings are one correspondent if each of their names is equal or has one such
+error, so both names may be mistyped. Equal names, addresses with names that agree, initials and nicknames with only
+one bearer add links; connected components are the correspondents.
+
+Scale: work is on distinct spellings, the metric join on distinct names; their number sets the number of pivots (at
+most MOST_PIVOTS strings with the smallest hashes are collected). A name that many spellings have is one name in the
+join, and the tables that bring it back to spellings are equi joins on the whole name.
 
 Defined results: null, blank and address-only values have no spelling; one spelling alone gives no pair; the
 same spelling under two correspondents is one spelling; repeated rows change nothing.
@@ -29,7 +31,9 @@ from bankspark.llm.splits import components
 from bankspark.operators.split_values import values_of
 from bankspark.runtime import cut
 
-PIVOTS, RADIUS, LEAST_PART = 12, 2, 3
+RADIUS, LEAST_PART, SEGMENTS = 2, 3, 3
+#: Names a pivot, by their square root, and the most pivots.
+PER_PIVOT, MOST_PIVOTS = 16, 128
 #: Parts that a part stands with before it is taken for a name of its own, and how many times fewer than its neighbour's make it an error.
 PARTNERS, FEWER = 4, 8
 ADDRESS = r"[\p{L}\p{N}._%+'&=/~-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*"
@@ -68,7 +72,7 @@ def parts_of(spelling: str) -> tuple[str, list[str], list[str]]:
     words = [w for w in re.findall(r"[^\W\d_]+", folded) if w not in TITLES]
     full = [w for w in words if len(w) > 1]
     expanded = [FIRM_WORDS.get(w) or SKELETONS.get(w, w) for w in full]
-    if len(full) > 2 or any(w in FIRM or w in LEGAL for w in expanded):
+    if any(w in FIRM or w in LEGAL for w in expanded):
         kept = [w for w in expanded if w not in LEGAL] or expanded
         return "firm", kept, []
     initials = [w for w in words if len(w) == 1]
@@ -83,6 +87,8 @@ def parts_of(spelling: str) -> tuple[str, list[str], list[str]]:
         return "person", sorted(full), []
     if len(full) == 1 and initials:
         return "initial", full, initials[:1]
+    if len(full) > 2:  # several given names, or particles before the family name
+        return "person", sorted(full), []
     return "other", full, []
 
 
@@ -118,21 +124,35 @@ def _take_apart(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], lists), pa.array([m[2] for m in made], lists)], ["spelling", "kind", "parts", "alternatives"])
 
 
-def radius_join(parts: DataFrame) -> DataFrame:
-    """anchor, x, y: pairs of parts of one anchor with an edit distance of at most RADIUS, x < y."""
-    pivots = [r[0] for r in parts.select("part").distinct().orderBy(F.xxhash64("part"), "part").limit(PIVOTS).collect()]
+def segment(name: Column, size: Column, i: Column, shift: Column, own: Column) -> Column:
+    """Key of the i-th of SEGMENTS segments of a name of `size` letters, read `shift` letters further on in this name; null beyond its ends."""
+    start, end = F.floor(i * size / SEGMENTS).cast("int"), F.floor((i + 1) * size / SEGMENTS).cast("int")
+    inside = (start + shift >= 0) & (end + shift <= own) & (size >= SEGMENTS)
+    return F.when(inside, F.concat_ws(":", size.cast("string"), i.cast("string"), F.substring(name, start + shift + 1, end - start)))
+
+
+#: (letters that the other name has less, segment, places it stands further on): all that at most RADIUS errors can do to it.
+SHIFTS = [(less, i, shift) for less in range(RADIUS + 1) for i in range(SEGMENTS) for shift in range(-RADIUS, RADIUS + 1) if abs(shift) + abs(less - shift) <= RADIUS]
+
+
+def radius_join(names: DataFrame) -> DataFrame:
+    """x, y: pairs of the distinct names of the column `name` with an edit distance of at most RADIUS, x < y.
+
+    Names have SEGMENTS letters or more. Of a pair the shorter name is looked up in the home cell."""
+    n = names.count()
+    pivots = [r[0] for r in names.orderBy(F.xxhash64("name"), "name").limit(min(MOST_PIVOTS, max(1, round(n**0.5 / PER_PIVOT)))).collect()]
     if not pivots:
-        return parts.select("anchor", F.col("part").alias("x"), F.col("part").alias("y")).limit(0)
-    far = F.array(*[F.struct(F.levenshtein("part", F.lit(p)).alias("d"), F.lit(i).alias("p")) for i, p in enumerate(pivots)])
-    rows = parts.select("anchor", "part", far.alias("far")).withColumn("home", F.array_min("far"))
+        return names.select(F.col("name").alias("x"), F.col("name").alias("y")).limit(0)
+    far = F.array(*[F.struct(F.levenshtein("name", F.lit(p)).alias("d"), F.lit(i).alias("p")) for i, p in enumerate(pivots)])
+    rows = names.select("name", F.length("name").alias("size"), far.alias("far")).withColumn("home", F.array_min("far"))
+    own = F.array(*[segment(F.col("name"), F.col("size"), F.lit(i), F.lit(0), F.col("size")) for i in range(SEGMENTS)])
+    home = rows.select(F.col("name").alias("x"), F.col("size").alias("m"), F.col("home.p").alias("p"), F.col("home.d").alias("ring"), F.explode(own).alias("cell")).where("cell is not null")
     cells = F.filter("far", lambda f: f["d"] <= F.col("home.d") + 2 * RADIUS)
-    home = rows.select("anchor", F.col("part").alias("x"), F.col("home.p").alias("p"), F.col("home.d").alias("ring"), F.length("part").alias("size"))
-    all_of = rows.select("anchor", F.col("part").alias("y"), F.explode(cells).alias("c"))
-    rings = F.explode(F.sequence(F.col("c.d") - RADIUS, F.col("c.d") + RADIUS))
-    all_of = all_of.select("anchor", "y", F.col("c.p").alias("p"), rings.alias("ring"))
-    pairs = home.join(all_of, ["anchor", "p", "ring"]).where((F.col("x") != F.col("y")) & (F.abs(F.col("size") - F.length("y")) <= RADIUS))
+    seen = F.array_distinct(F.array(*[segment(F.col("name"), F.col("size") - less, F.lit(i), F.lit(shift), F.col("size")) for less, i, shift in SHIFTS]))
+    all_of = rows.select(F.col("name").alias("y"), "size", F.explode(cells).alias("c"), seen.alias("seen")).select("y", "size", F.col("c.p").alias("p"), F.col("c.d").alias("d"), F.explode("seen").alias("cell")).where("cell is not null")
+    pairs = home.join(all_of, ["p", "cell"]).where((F.col("x") != F.col("y")) & (F.abs(F.col("ring") - F.col("d")) <= RADIUS))
     pairs = pairs.where(F.levenshtein("x", "y", RADIUS) >= 0)
-    return pairs.select("anchor", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def one_error(x: Column, y: Column) -> Column:
@@ -155,31 +175,37 @@ def link(df: DataFrame, one: str, many: str) -> DataFrame:
     shown = seen.join(names, "spelling").where("kind in ('person', 'firm')")
     confirmed = shown.where("address is not null").select(F.explode("parts").alias("part"), local.alias("local")).where(F.expr("contains(local, part)")).select("part")
     persons = names.where("kind = 'person' and size(parts) = 2").select(F.col("parts")[0].alias("a"), F.col("parts")[1].alias("b")).distinct()
-    both = persons.union(persons.select("b", "a"))
+    both = cut(persons.union(persons.select("b", "a")))
     partners = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(F.col("a").alias("part"), "n")
-    known = cut(partners.join(confirmed.distinct().withColumn("c", F.lit(True)), "part", "left").select("part", "n", F.coalesce("c", F.lit(False)).alias("c")))
+    known = partners.join(confirmed.distinct().withColumn("c", F.lit(True)), "part", "left").select("part", "n", F.coalesce("c", F.lit(False)).alias("c"))
+
+    # one radius join over the names of persons and, with their words put together, of firms
+    firms = names.where("kind = 'firm'").select("spelling", "parts", key.alias("whole"), F.concat_ws("", F.array_sort("parts")).alias("glued"))
+    vocabulary = both.select(F.col("a").alias("name")).union(firms.select("glued")).where(F.length("name") >= LEAST_PART).distinct()
+    near = cut(radius_join(cut(vocabulary)).where(one_error(F.col("x"), F.col("y"))))
 
-    # typing errors in one part of a person
-    parts = both.select(F.col("a").alias("anchor"), F.col("b").alias("part")).where(F.length("part") >= LEAST_PART).distinct()
-    near = radius_join(cut(parts)).where(one_error(F.col("x"), F.col("y")))
-    near = near.join(known.toDF("x", "nx", "cx"), "x").join(known.toDF("y", "ny", "cy"), "y")
+    # typing errors in one name of a person, or in both
     own = lambda c, n, other: F.col(c) | ((F.col(n) >= PARTNERS) & (F.col(n) * FEWER > F.col(other)))
-    near = near.select("anchor", "x", "y", own("cx", "nx", "ny").alias("sx"), own("cy", "ny", "nx").alias("sy"))
-    near = cut(near.where("not (sx and sy)"))
-    # an unconfirmed part with two confirmed neighbours says nothing
-    sided = near.select("anchor", F.col("x").alias("part"), F.col("y").alias("other"), F.col("sy").alias("s")).union(near.select("anchor", "y", "x", "sx"))
-    torn = sided.groupBy("anchor", "part").agg(F.count_if(F.col("s")).alias("n")).where("n > 1").select("anchor", "part")
-    near = near.join(torn.withColumnRenamed("part", "x"), ["anchor", "x"], "left_anti").join(torn.withColumnRenamed("part", "y"), ["anchor", "y"], "left_anti")
-    ends = near.select("anchor", F.explode(F.array("x", "y")).alias("part"), F.concat_ws("|", F.lit("near"), "anchor", "x", "y").alias("k"))
-    ends = ends.select(F.concat(F.lit("person|"), F.concat_ws(" ", F.array_sort(F.array("anchor", "part")))).alias("exact"), "k")
-    errors = exact.join(ends, exact["k"] == ends["exact"]).select("spelling", ends["k"])
-
-    # typing errors in a firm, over its words put together; firms whose words are those of another and more
-    firms = names.where("kind = 'firm'").select("spelling", "parts", key.alias("whole"))
-    glued = firms.select(F.lit("").alias("anchor"), F.regexp_replace("whole", " ", "").alias("part")).distinct()
-    off = radius_join(cut(glued)).where(one_error(F.col("x"), F.col("y")))
-    off = off.select(F.explode(F.array("x", "y")).alias("part"), F.concat_ws("|", F.lit("firm"), "x", "y").alias("k"))
-    off = firms.select("spelling", F.regexp_replace("whole", " ", "").alias("part")).join(off, "part").select("spelling", "k")
+    parts = near.join(known.toDF("x", "nx", "cx"), "x").join(known.toDF("y", "ny", "cy"), "y").select("x", "y", own("cx", "nx", "ny").alias("sx"), own("cy", "ny", "nx").alias("sy")).where("not (sx and sy)")
+    parts = cut(parts.union(parts.select("y", "x", "sy", "sx")))
+    name = lambda p, q: F.concat_ws(" ", F.array_sort(F.array(p, q)))
+    one_off = both.toDF("anchor", "x").join(parts, "x").join(both.toDF("anchor", "y"), ["anchor", "y"])
+    one_off = one_off.select(name("anchor", "x").alias("k"), name("anchor", "y").alias("other"), F.col("anchor"), F.col("x").alias("part"), F.col("sy").alias("s"))
+    # an unconfirmed name with two confirmed neighbours says nothing
+    torn = one_off.groupBy("anchor", "part").agg(F.count_if("s").alias("torn")).where("torn > 1").select("anchor", "part")
+    sound = one_off.join(torn, ["anchor", "part"], "left_anti").select("k", "other")
+    one_off = cut(sound.join(sound.toDF("other", "k"), ["k", "other"], "left_semi").distinct())
+    two_off = persons.toDF("x", "u").join(parts, "x").join(parts.toDF("u", "v", "su", "sv"), "u").join(both.toDF("y", "v"), ["y", "v"])
+    two_off = two_off.select(name("x", "u").alias("k"), name("y", "v").alias("other"), (F.col("sy") & F.col("sv")).alias("s")).distinct()
+    lonely = two_off.join(one_off.select("k").distinct(), "k", "left_anti").withColumn("n", F.lit(1))
+    single = lonely.groupBy("k").agg(F.count_if("s").alias("n")).where("n <= 1").select("k")
+    two_off = lonely.join(single, "k", "left_semi").select("k", "other")
+    links = one_off.union(two_off).select(F.explode(F.array("k", "other")).alias("name"), F.concat_ws("|", F.lit("near"), F.least("k", "other"), F.greatest("k", "other")).alias("k"))
+    errors = exact.join(links.select(F.concat(F.lit("person|"), "name").alias("exact"), F.col("k").alias("link")).distinct(), exact["k"] == F.col("exact")).select("spelling", F.col("link").alias("k"))
+
+    # typing errors in a firm; firms whose words are those of another and more
+    off = near.select(F.explode(F.array("x", "y")).alias("glued"), F.concat_ws("|", F.lit("firm"), "x", "y").alias("k"))
+    off = firms.select("spelling", "glued").join(off, "glued").select("spelling", "k")
     longer = firms.where("size(parts) >= 3").select("spelling", F.concat_ws(" ", F.array_sort(F.slice("parts", 1, 2))).alias("k"))
     shorter = firms.where("size(parts) = 2").select(F.col("whole").alias("k")).distinct()
     heads = longer.join(shorter, "k").select("spelling", F.concat(F.lit("firm|"), "k").alias("k"))
@@ -204,13 +230,14 @@ def link(df: DataFrame, one: str, many: str) -> DataFrame:
     bent = unknown.join(full, "given").where(one_error(F.col("typed"), F.col("family")) & (F.length("typed") >= LEAST_PART))
     bent = bent.groupBy("spelling").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("entity")).where("n = 1")
     bearers = cut(bearers.union(bent.select(*bearers.columns)))
-    # through the lead spelling of the entity the short form joins it
-    lead = bearers.select("spelling", F.concat(F.lit("short|"), "entity").alias("k"))
-    lead = lead.union(first.join(bearers.select("entity").distinct(), "entity").where("spelling = entity").select("spelling", F.concat(F.lit("short|"), "entity").alias("k")))
     # short forms alike, without a full one
     alike = short.where("kind = 'initial'").join(bearers.select("spelling"), "spelling", "left_anti").join(short.join(full, "family").where(fits).select("spelling").distinct(), "spelling", "left_anti")
     alike = alike.select("spelling", F.concat_ws("|", F.lit("initial"), "family", F.col("alternatives")[0]).alias("k"))
-    return _clusters(names, keys.union(lead).union(alike).distinct())
+    # correspondents, not spellings, are joined now: only those that a short form touches
+    more = bearers.select("spelling", F.concat(F.lit("short|"), "entity").alias("k")).union(alike).join(first, "spelling").select("entity", "k")
+    more = more.union(bearers.select("entity", F.concat(F.lit("short|"), "entity").alias("k"))).distinct()
+    merged = components(cut(more), "entity", {"link": F.col("k")}).withColumnRenamed("group", "whole")
+    return first.join(merged, "entity", "left").select("spelling", F.coalesce("whole", "entity").alias("entity"))
 
 
 def _clusters(names: DataFrame, keys: DataFrame) -> DataFrame:

@@ -166,12 +166,12 @@ def test_spelling_of_a_value(spark, value, spelling):
     assert df.select(names.spelling_of(F.col("v")).alias("s")).first().s == spelling
 
 
-def test_radius_join_equals_brute_force(spark):
+@pytest.mark.parametrize("per_pivot", [16, 1])
+def test_radius_join_equals_brute_force(spark, monkeypatch, per_pivot):
+    monkeypatch.setattr(names, "PER_PIVOT", per_pivot)  # one pivot, and many
     rng = random.Random(4)
-    words = {"".join(rng.choice("abcde") for _ in range(rng.randint(4, 8))) for _ in range(150)}
-    rows = [(rng.choice("xy"), w) for w in words]
-    df = spark.createDataFrame(rows, "anchor string, part string")
-    got = {(r.anchor, r.x, r.y) for r in names.radius_join(df).collect()}
+    words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(3, 9))) for _ in range(220)})
+    got = [(r.x, r.y) for r in names.radius_join(spark.createDataFrame([(w,) for w in words], "name string")).collect()]
 
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -181,8 +181,17 @@ def test_radius_join_equals_brute_force(spark):
                 row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (c != d)))
         return row[-1]
 
-    want = {(a, min(v, w), max(v, w)) for (a, v), (b, w) in itertools.combinations(rows, 2) if a == b and v != w and distance(v, w) <= names.RADIUS}
-    assert got == want
+    want = {(v, w) for v, w in itertools.combinations(words, 2) if distance(v, w) <= names.RADIUS}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert names.radius_join(spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_errors_in_both_names_are_linked_and_three_words_are_a_person(spark):
+    groups = [["Johannes Petterson", "Johanes Peterson"], ["Svetlana Kowalczyk", "Kowalczik, Svetlena"], ["Mary Ann Smithson", "SMITHSON, MARY ANN", "Dr. Mary Ann Smithson"], ["Jan van der Berg"], ["Brakel Rail Services"]]
+    df = spark.createDataFrame([(s, None) for g in groups for s in g], "from string, to array<string>")
+    linked = {r.spelling: r.entity for r in names.link(df, "from", "to").collect()}
+    assert all(len({linked[s] for s in g}) == 1 for g in groups) and len(set(linked.values())) == len(groups)
+    assert names.parts_of("Mary Ann Smithson")[0] == names.parts_of("Jan van der Berg")[0] == "person" and names.parts_of("Brakel Rail Svcs")[0] == "firm"
 
 
 def test_variants_are_linked_and_others_apart(spark):
