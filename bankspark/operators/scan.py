@@ -173,11 +173,10 @@ def _scanner(payload: str) -> Scanner:
 COLUMNS = ("entity", "canonical_name", "surface_name", "string", "start", "end", "entity_id", "name_id", "pattern_id", "pattern_kind")
 
 
-def scan(df: DataFrame, key: str, text: str, found: list[dict[str, Any]], mode: str = MODES[0], offsets: str = "byte") -> DataFrame:
-    """One record per match: key, the detector's names and ids, the matched string and its half-open span.
-
-    Null and empty texts have none; a text over the byte limit or with too many matches raises.
-    """
+def scan_all(df: DataFrame, key: str, text: str, found: list[dict[str, Any]], mode: str = MODES[0], offsets: str = "byte", most_bytes: int = model.LIMITS["text_bytes"], most: int = model.LIMITS["matches"]) -> DataFrame:
+    """The records of `scan` with a last column `error`: null in records; of a text over a limit there is one row with the
+    key, the error (text_too_large or too_many_matches) and nothing else. The limits hold alike with and without matches,
+    and no text ends the job."""
     if mode not in MODES or offsets not in ("byte", "char"):
         raise BankError("unknown mode or offset unit")
     shared = df.sparkSession.sparkContext.broadcast(json.dumps(found))
@@ -189,11 +188,15 @@ def scan(df: DataFrame, key: str, text: str, found: list[dict[str, Any]], mode:
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not t:
                     continue
-                hits = scanner.matches(t, mode)
-                if len(hits) > model.LIMITS["matches"]:
-                    raise BankError("a text has too many matches")
-                if hits and len(t) > model.LIMITS["text_bytes"] // 4 and len(t.encode()) > model.LIMITS["text_bytes"]:
-                    raise BankError("a text is too large to scan")
+                if len(t) > most_bytes // 4 and len(t.encode()) > most_bytes:
+                    error = "text_too_large"
+                else:
+                    hits = scanner.matches(t, mode)
+                    error = "too_many_matches" if len(hits) > most else None
+                if error:
+                    keys.append(k)
+                    rows.append((*[None] * len(COLUMNS), error))
+                    continue
                 plain = t.isascii() or offsets == "char"
                 at = byte = 0
                 for s, e, i in hits:
@@ -205,15 +208,28 @@ def scan(df: DataFrame, key: str, text: str, found: list[dict[str, Any]], mode:
                         at, bs = s, byte
                         be = bs + len(t[s:e].encode())
                     keys.append(k)
-                    rows.append((d["entity"], d["canonical_name"], d["surface_name"], t[s:e], bs, be, d["entity_id"], d["name_id"], d["pattern_id"], d["pattern_kind"]))
-            columns = list(zip(*rows)) if rows else [()] * len(COLUMNS)
-            kinds = [pa.int64() if c in ("start", "end") else pa.string() for c in COLUMNS]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema[0].type), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["k", *COLUMNS])
+                    rows.append((d["entity"], d["canonical_name"], d["surface_name"], t[s:e], bs, be, d["entity_id"], d["name_id"], d["pattern_id"], d["pattern_kind"], None))
+            columns = list(zip(*rows)) if rows else [()] * (len(COLUMNS) + 1)
+            kinds = [pa.int64() if c in ("start", "end") else pa.string() for c in (*COLUMNS, "error")]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema[0].type), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["k", *COLUMNS, "error"])
 
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
-    schema = f"k {rows.schema[0].dataType.simpleString()}, " + ", ".join(f"`{c}` {'long' if c in ('start', 'end') else 'string'}" for c in COLUMNS)
+    schema = f"k {rows.schema[0].dataType.simpleString()}, " + ", ".join(f"`{c}` {'long' if c in ('start', 'end') else 'string'}" for c in (*COLUMNS, "error"))
     out = rows.mapInArrow(batches, schema).withColumnRenamed("k", key)
-    return out.select(key, *COLUMNS[:6], F.lit(offsets).alias("offset_unit"), *COLUMNS[6:], F.create_map().cast("map<string,string>").alias("captures"))
+    return out.select(key, *COLUMNS[:6], F.lit(offsets).alias("offset_unit"), *COLUMNS[6:], F.create_map().cast("map<string,string>").alias("captures"), "error")
+
+
+def scan(df: DataFrame, key: str, text: str, found: list[dict[str, Any]], mode: str = MODES[0], offsets: str = "byte") -> DataFrame:
+    """One record per match: key, the detector's names and ids, the matched string and its half-open span.
+
+    Null and empty texts have none; texts over a limit have none either and come out of `rejected_texts`.
+    """
+    return scan_all(df, key, text, found, mode, offsets).where("error is null").drop("error")
+
+
+def rejected_texts(df: DataFrame, key: str, text: str, found: list[dict[str, Any]], mode: str = MODES[0], **limits: int) -> DataFrame:
+    """key, error: the texts that `scan` refuses."""
+    return scan_all(df, key, text, found, mode, **limits).where("error is not null").select(key, "error")
 
 
 def scan_text(text: str, found: list[dict[str, Any]], mode: str = MODES[0], offsets: str = "byte") -> list[dict[str, Any]]:

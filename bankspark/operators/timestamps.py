@@ -11,7 +11,8 @@ Defined results (`utc_us` is null in all of these)
 - a clock time that its named or home zone skips or has twice.
 Slashed dates put the month first, dotted ones the day; two-digit years lie in 1970..2069; missing seconds
 are zero; bare numbers count from 1970 in s, ms, us or ns by their size. A numeric offset outranks zone
-letters beside it. Very long texts are no dates and cost one length test.
+letters beside it. White space around and between the parts does not matter, however much there is; a text of any
+length is read whole.
 """
 
 from __future__ import annotations
@@ -29,7 +30,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-MAX_CHARS = 80
+#: Characters of the longest mask that any parser takes, and more: weekday, day, month, year, clock with nine digits of
+#: fraction, half of the day, zone and a name in brackets come to 62.
+LONGEST_MASK = 80
 MONTHS = {w: i % 12 + 1 for i, w in enumerate("jan feb mar apr may jun jul aug sep oct nov dec january february march april may june july august september october november december januar februar märz april mai juni juli august september oktober november dezember".split())} | {"sept": 9, "mär": 3, "mrz": 3, "okt": 10, "dez": 12}
 DAYS = set("mon tue tues wed thu thur thurs fri sat sun monday tuesday wednesday thursday friday saturday sunday montag dienstag mittwoch donnerstag freitag samstag sonnabend sonntag".split())
 #: Minutes east of Greenwich of the zone letters of North America and Britain.
@@ -171,9 +174,9 @@ def local_to_utc(local_s: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray
 def normalise(dates: pd.Series, homes: pd.Series) -> pd.Series:
     """UTC microseconds (nullable Int64) of date texts on the clocks of their home zones."""
     out, good = np.zeros(len(dates), np.int64), np.zeros(len(dates), bool)
-    short = dates.where(dates.str.len() <= MAX_CHARS)
-    clean = short.str.strip().str.replace(r"\s+", " ", regex=True).fillna("")
+    clean = dates.str.strip().str.replace(r"\s+", " ", regex=True).fillna("")
     masks = clean.map(mask_of)
+    masks = masks.where(masks.str.len() <= LONGEST_MASK, "")  # a longer one is no date's
     homes = homes.to_numpy(object)
     for mask, at in masks.groupby(masks, sort=False).indices.items():
         parser = parser_of(mask)

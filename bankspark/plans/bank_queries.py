@@ -168,6 +168,11 @@ def scan_all_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "entity_id", "name_id", "pattern_id", "start", "end")
 
 
+def scan_rejected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents over 8,000 bytes or with more than one match: what a scan with these limits refuses, and why."""
+    return scans.rejected_texts(_documents(spark, sf_dir), "doc_id", "text", load_detectors(spark, sf_dir), most_bytes=8000, most=1)
+
+
 def scan_dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of the literals by n-gram join, without case."""
     literals = _patterns(spark, sf_dir).where(banks.chain_active() & (F.col("kind") == "literal"))
@@ -233,7 +238,7 @@ def match_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("document_id", *IDS, "start", "kind", "value", "priority", "left_boundary", "right_boundary")
 
 
-QUERIES = {f.__name__: f for f in (bank_stats, bank_status_filter, bank_effective_flags, bank_detector_order, bank_ambiguous_detectors, bank_lint, bank_checks, bank_diff_summary, scan_spans, scan_char_offsets, scan_entity_counts, scan_selected_entity, scan_global_leftmost, scan_all_overlaps, scan_dictionary_join, overlap_groups, priority_resolve, grouped_counts_rollup, context_snippets, docs_with_records, docs_without_records, batch_summary, expected_missing, match_explanation)}
+QUERIES = {f.__name__: f for f in (bank_stats, bank_status_filter, bank_effective_flags, bank_detector_order, bank_ambiguous_detectors, bank_lint, bank_checks, bank_diff_summary, scan_spans, scan_char_offsets, scan_entity_counts, scan_selected_entity, scan_global_leftmost, scan_all_overlaps, scan_rejected_texts, scan_dictionary_join, overlap_groups, priority_resolve, grouped_counts_rollup, context_snippets, docs_with_records, docs_without_records, batch_summary, expected_missing, match_explanation)}
 
 REC = """rec AS (SELECT DISTINCT document_id, lower(entity_id) AS entity_id, coalesce(name_id, '') AS name_id, pattern_id, string, "start", "end", offset_unit FROM span_records)"""
 GROUPS = (
@@ -272,6 +277,8 @@ ORACLE = {
     "scan_selected_entity": f"""WITH {DETECTORS} SELECT doc_id, name_id, pattern_id, string, CAST(bs AS BIGINT) AS "start", CAST(be AS BIGINT) AS "end" FROM won WHERE entity_id = 'vessel'""",
     "scan_global_leftmost": f"""WITH {DETECTORS}, one AS (SELECT a.* FROM spans a WHERE NOT EXISTS (SELECT 1 FROM spans b WHERE a.doc_id = b.doc_id AND ((b.cs < a.cs AND b.ce > a.cs) OR (b.cs = a.cs AND b.ord < a.ord)))) SELECT entity_id AS entity, count(*) AS records FROM one GROUP BY 1""",
     "scan_all_overlaps": f"""WITH {DETECTORS} SELECT doc_id, entity_id, name_id, pattern_id, CAST(bs AS BIGINT) AS "start", CAST(be AS BIGINT) AS "end" FROM spans""",
+    "scan_rejected_texts": f"""WITH {DETECTORS} SELECT doc_id, 'text_too_large' AS error FROM documents WHERE strlen(text) > 8000
+        UNION ALL SELECT doc_id, 'too_many_matches' FROM won JOIN documents USING (doc_id) WHERE strlen(text) <= 8000 GROUP BY doc_id HAVING count(*) > 1""",
     "scan_dictionary_join": rf"""WITH {CLEAN}, lit AS (SELECT entity_id, name_id, pattern_id, array_to_string(regexp_extract_all(lower(value), '[\p{{L}}\p{{N}}]+'), ' ') AS gram FROM clean WHERE entity_status = 'active' AND name_status = 'active' AND status = 'active' AND kind = 'literal'),
         w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
         g AS (SELECT doc_id, i, array_to_string(w[i:i+n-1], ' ') AS gram FROM i, (SELECT unnest([1,2,3,4]) AS n) WHERE i + n - 1 <= len(w))

@@ -129,3 +129,18 @@ def test_a_row_with_many_keys_links_them_all(spark):
     df = spark.createDataFrame(rows, "row_id long, k string")
     got = components(df, "row_id", {"k": F.col("k")}).collect()
     assert len(got) == 201 and {r.group for r in got} == {0}
+
+
+@pytest.mark.parametrize("pad", [" " * 70, " " * 5000, "\t \n" * 40])
+def test_space_around_and_inside_a_date_does_not_matter(pad):
+    got = timestamps.normalise(pd.Series([f"{pad}2001-02-03{pad}10:11:12{pad}Z{pad}", "x " * 50_000, "9" * 5000], dtype=object), pd.Series([None] * 3, dtype=object))
+    assert got[0] == 981195072000000 and got[1] is pd.NA and got[2] is pd.NA
+
+
+def test_texts_over_a_limit_come_out_as_errors_and_end_nothing(spark):
+    from bankspark.operators import scan as scans
+
+    found = scans.ordered_alternatives(None, [{"entity": "e", "name": "n", "regex": "ab", "flags": []}])
+    df = spark.createDataFrame([(1, "ab ab ab"), (2, "ab"), (3, "x" * 40), (4, "ab" + "x" * 40), (5, None), (6, "")], "doc_id long, text string")
+    rows = scans.scan_all(df, "doc_id", "text", found, most_bytes=20, most=2).collect()
+    assert {(r.doc_id, r.error) for r in rows} == {(1, "too_many_matches"), (2, None), (3, "text_too_large"), (4, "text_too_large")} and len(rows) == 4
