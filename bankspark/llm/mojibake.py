@@ -10,8 +10,9 @@ the record's other runs, by its source and field, and by what the corpus writes
 then repaired by its posterior.
 
 Scale: bodies are read twice; between, only runs with their contexts are kept. The character model has one
-entry a Unicode character and context of two classes, whatever the size of the corpus, and is the only thing
-broadcast; the shares of sources are joined. EM runs a fixed number of rounds over the kept runs.
+entry a Unicode character and context of two classes, whatever the size of the corpus, and is broadcast; so are the
+shares of sources (one row a source and field) as long as a count shows them to be few, so that no text is shuffled;
+beyond that they are joined. EM runs a fixed number of rounds over the kept runs.
 
 Defined results: null and empty texts are not affected; U+FFFD and C1 control characters always are, also
 where nothing can be restored; ASCII text (with it transfer-encoded words) never is; repeated rows give
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bankspark.runtime import cut
+from bankspark.runtime import broadcast_if_small, cut
 
 ROUNDS, DAMAGED_SHARE, SURE = 3, 0.5, 2.0
 RUN = re.compile(r"[^\x00-\x7f]+")
@@ -267,7 +268,7 @@ def find_and_repair(df: DataFrame, key: str, source: str, fields: list[str], rou
     texts = fields_of(df, key, source, fields)
     runs = cut(texts.select("source", "field", "text").mapInArrow(_runs, "source string, field string, runs array<struct<a:string,r:string,z:string,n:long>>"))
     pairs = runs.select("source", "field").distinct()
-    priors, shared = cut(_priors(None, pairs)), None
+    priors, shared = broadcast_if_small(cut(_priors(None, pairs))), None
     spark = df.sparkSession
     for r in range(rounds + 1):
         stats = runs.join(priors, ["source", "field"]).select("source", "field", "runs", "prior").mapInArrow(_e_step(shared), STATS)
@@ -276,7 +277,7 @@ def find_and_repair(df: DataFrame, key: str, source: str, fields: list[str], rou
         counts = {(x["a"], x["c"], x["z"]): x["n"] for x in stats.where("what = 'char'").select("a", "c", "z", "n").toLocalIterator()}
         shared = spark.sparkContext.broadcast(counts)
         if r:
-            priors = cut(_priors(stats, pairs))
+            priors = broadcast_if_small(cut(_priors(stats, pairs)))
 
     def decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(shared.value)

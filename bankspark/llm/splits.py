@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, functions as F, Window as W
 from bankspark.operators.components import components  # noqa: F401
 from bankspark.runtime import cut
 
-#: Bits of the reachable-sum sets: totals are counted in units of rows / UNITS, in single rows below that.
+#: Bits of the reachable-sum sets: above so many rows sums are counted in units of rows / UNITS, and what that leaves open is
+#: filled up or taken back in single rows with the sizes at hand; it stays open only where no size fits it.
 UNITS = 1 << 18
 #: Slices of one size among which its components are ranked.
 SLICES = 1024
@@ -65,7 +66,22 @@ def choose(multiplicity: dict[int, int], share: float) -> dict[int, int]:
         if not before >> best & 1:
             best -= max(1, round(size * n / unit))
             taken[size] = taken.get(size, 0) + n
-    return taken
+    return taken if unit == 1 else filled(multiplicity, taken, round(total * share))
+
+
+def filled(multiplicity: dict[int, int], taken: dict[int, int], goal: int) -> dict[int, int]:
+    """`taken` with components put in or taken back, largest first, until no size is nearer to the goal."""
+    out = dict(taken)
+    open_ = goal - sum(s * n for s, n in out.items())
+    for size in sorted(multiplicity, reverse=True):
+        if open_ < 0:
+            n = min(out.get(size, 0), -open_ // size)
+            out[size], open_ = out.get(size, 0) - n, open_ + n * size
+    for size in sorted(multiplicity, reverse=True):
+        if open_ > 0:
+            n = min(multiplicity[size] - out.get(size, 0), open_ // size)
+            out[size], open_ = out.get(size, 0) + n, open_ - n * size
+    return {s: n for s, n in out.items() if n}
 
 
 def assign(groups: DataFrame, key: str, shares: dict[str, float]) -> DataFrame:

@@ -397,6 +397,17 @@ def test_choose_is_as_close_as_any_subset():
         assert abs(sum(s * n for s, n in taken.items()) - goal) == best and all(n <= many[s] for s, n in taken.items())
 
 
+def test_shares_are_met_exactly_beyond_the_bitsets_units(monkeypatch):
+    many = {1: 500_000, 7: 90_000, 1000: 300, 250_001: 3}
+    for shares in (0.1, 0.37):
+        goal = round(sum(s * n for s, n in many.items()) * shares)
+        taken = splits.choose(many, shares)
+        assert sum(s * n for s, n in taken.items()) == goal and all(n <= many[s] for s, n in taken.items())
+    monkeypatch.setattr(splits, "UNITS", 64)
+    taken = splits.choose({5: 100, 50: 20}, 0.3)
+    assert abs(sum(s * n for s, n in taken.items()) - 450) < 5
+
+
 def test_groups_stay_whole_and_shares_are_met(spark):
     rng = random.Random(1)
     rows = [(i, g) for i, g in enumerate(g for g in range(300) for _ in range(1 + (g % 7 == 0) * rng.randint(1, 20)))]
