@@ -38,8 +38,8 @@ KEPT, CHANGED = 1.0, 1.5
 DENSITY, LONG, LONG_DENSITY = 0.92, 0.6, 0.8
 #: The least share of the item's words in runs of SEED or more: two fifths of the words with every fourth one changed.
 COVER = 0.28
-#: Places of matches that are laid out at one time.
-LAID_OUT = 1 << 20
+#: Places of matches that are laid out at one time; texts that are looked at together.
+LAID_OUT, TOGETHER = 1 << 20, 64
 ARTICLES = {"a", "an", "the"}
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -169,74 +169,91 @@ class Automaton:
                 states.append(top[state])
         return at, states
 
-    def _laid_out(self, at: np.ndarray, states: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(place in the text, place in the items) of all matches, in parts of bounded size."""
+    def _laid_out(self, states: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(index of the state, place in the items) of all matches, in parts of bounded size."""
         many = self.last[states] - self.first[states]
         ends, a = np.cumsum(many), 0
-        while a < len(at):
+        while a < len(states):
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + LAID_OUT, "right")))
             n = many[a:b]
             which = np.repeat(np.arange(a, b), n)
             inside = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            yield at[which], self.order[self.first[states[which]] + inside]
+            yield which, self.order[self.first[states[which]] + inside]
             a = b
 
-    def matches(self, words: list[str], cover: float = 0.0) -> dict[int, list[tuple[int, int, int]]]:
-        """item -> (end in the text, end in the item, length) of its matches of SEED words or more that do not go on.
-
-        Items of whose words less than `cover` can be in matches are left out."""
-        at, states = self.walk(words)
-        if not at:
-            return {}
-        at, states = np.array(at, np.int64), np.array(states, np.int64)
-        count, mask = np.zeros(len(self.items), np.int64), (1 << self.bits) - 1
-        for _, places in self._laid_out(at, states):
-            count += np.bincount(places >> self.bits, minlength=len(count))
-        likely = (count > 0) & (SEED * count >= cover * self.sizes)  # a run of n words has n - SEED + 1 ends, and SEED words or more
+    def runs(self, texts: list[list[str]], cover: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """(text and item as one number, end in the text, end in the item, length) of the matches of SEED words or more that
+        do not go on, by diagonal. Items of whose words less than `cover` can be in matches are left out."""
+        walks = [self.walk(words) for words in texts]
+        at, states = (np.array([x for w in walks for x in w[side]], np.int64) for side in (0, 1))
+        if not len(at):
+            return None
+        first = np.repeat(np.arange(len(texts)), [len(w[0]) for w in walks]) * len(self.items)  # key of the text's first item
+        sizes, mask = np.tile(self.sizes, len(texts)), (1 << self.bits) - 1
+        count = np.zeros(len(sizes), np.int64)
+        for which, places in self._laid_out(states):
+            count += np.bincount(first[which] + (places >> self.bits), minlength=len(count))
+        likely = (count > 0) & (SEED * count >= cover * sizes)  # a run of n words has n - SEED + 1 ends, and SEED words or more
         if not likely.any():
-            return {}
-        where, items, inside = [], [], []
-        for j, places in self._laid_out(at, states):
-            item = places >> self.bits
-            kept = likely[item]
-            where.append(j[kept])
-            items.append(item[kept])
-            inside.append((places & mask)[kept])
-        j, item, i = map(np.concatenate, (where, items, inside))
-        sort = np.lexsort((j, j - i, item))
-        j, item, i = j[sort], item[sort], i[sort]
-        starts = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (j[1:] - i[1:] != j[:-1] - i[:-1]) | (j[1:] != j[:-1] + 1))))
+            return None
+        kept = []
+        for which, places in self._laid_out(states):
+            key = first[which] + (places >> self.bits)
+            some = likely[key]
+            kept.append((at[which[some]], key[some], (places & mask)[some]))
+        j, key, i = (np.concatenate(x) for x in zip(*kept))
+        wide, deep = int(j.max()) + 2, int(j.max()) + int(i.max()) + 2
+        if len(sizes) * wide * deep < 1 << 63:  # one number a match: its text and item, its diagonal, its end
+            whole = np.sort((key * deep + (j - i + int(i.max()))) * wide + j)
+            diagonal, j = np.divmod(whole, wide)
+            key, diagonal = np.divmod(diagonal, deep)
+            i = j - diagonal + int(i.max())
+        else:
+            sort = np.lexsort((j, j - i, key))
+            j, key, i = j[sort], key[sort], i[sort]
+            whole = None
+        breaks = np.diff(whole) != 1 if whole is not None else (key[1:] != key[:-1]) | (j[1:] - i[1:] != j[:-1] - i[:-1]) | (j[1:] != j[:-1] + 1)
+        starts = np.flatnonzero(np.concatenate(([True], breaks)))
         ends = np.concatenate((starts[1:], [len(j)])) - 1
-        run_item, length = item[starts], ends - starts + SEED
-        whole = np.bincount(run_item, length, len(count))
-        kept = whole[run_item] >= cover * self.sizes[run_item]
-        out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for k, a, b, n in zip(run_item[kept].tolist(), j[ends][kept].tolist(), i[ends][kept].tolist(), length[kept].tolist()):
-            out[k].append((a, b, n))
+        return key[starts], j[ends], i[ends], ends - starts + SEED
+
+    def matches(self, texts: list[list[str]]) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
+        """(text, item) -> (end in the text, end in the item, length) of its matches."""
+        out: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
+        for k, *run in zip(*(x.tolist() for x in self.runs(texts) or ())):
+            out[divmod(k, len(self.items))].append(tuple(run))
         return out
 
-    def leaks(self, words: list[str]) -> list[tuple[int, float, int, int]]:
-        """(item id, share of the item's words, first and last word of the text) of each stretch that holds an item."""
-        out, same_as = [], None
-        for item, runs in self.matches(words, COVER).items():
+    def stretches(self, texts: list[list[str]]) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+        """(text, item, runs) of the runs near one diagonal that hold COVER of the item's words."""
+        found = self.runs(texts, COVER)
+        if found is None:
+            return
+        key, j, i, length = found
+        size = self.sizes[key % len(self.items)]
+        apart = np.concatenate(([True], (key[1:] != key[:-1]) | (np.diff(j - i) > np.maximum(4, size[1:] // 6))))
+        starts = np.flatnonzero(apart)
+        enough = np.add.reduceat(length, starts) >= COVER * size[starts]
+        ends = np.concatenate((starts[1:], [len(key)]))
+        for a, b in zip(starts[enough].tolist(), ends[enough].tolist()):
+            runs = list(zip(j[a:b].tolist(), i[a:b].tolist(), length[a:b].tolist()))
+            if covered(runs) >= COVER * int(size[a]):
+                yield *divmod(int(key[a]), len(self.items)), runs
+
+    def leaks(self, texts: list[list[str]]) -> list[tuple[int, int, float, int, int]]:
+        """(text, item id, share of the item's words, first and last word of the text) of each stretch that holds an item."""
+        out, same_as = [], {}
+        for t, item, runs in self.stretches(texts):
             key, own = self.items[item]
-            n = len(own)
-            least, slack = COVER * n, max(4, n // 6)
-            runs.sort(key=lambda r: r[0] - r[1])
-            chain = [runs[0]]
-            for a, b in zip(runs, [*runs[1:], None]):
-                if b is not None and (b[0] - b[1]) - (a[0] - a[1]) <= slack:
-                    chain.append(b)
-                    continue
-                if sum(r[2] for r in chain) >= least and covered(chain) >= least:
-                    found = held(chain, n)
-                    if found is None:
-                        same_as = same_as or Alike(words)
-                        first, last = (f(r[0] - r[1] for r in chain) for f in (min, max))
-                        found = stretch(own, words, first - slack, last + slack, same_as)
-                    if found[0] >= SHARE:
-                        out.append((key, *found))
-                chain = [b]
+            found = held(runs, len(own))
+            if found is None:
+                if t not in same_as:
+                    same_as[t] = Alike(texts[t])
+                slack = max(4, len(own) // 6)
+                first, last = (f(r[0] - r[1] for r in runs) for f in (min, max))
+                found = stretch(own, texts[t], first - slack, last + slack, same_as[t])
+            if found[0] >= SHARE:
+                out.append((t, key, *found))
         return out
 
 
@@ -395,11 +412,11 @@ def spans(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, i
         def batches(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = compiled(shared)
             for b in it:
-                out = []
-                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    if found := own.leaks(words_of(t)):
-                        places = places_of(t)
-                        out += [(k, e, share, places[i][0], places[j][1]) for e, share, i, j in found]
+                out, keys, texts = [], b.column(0).to_pylist(), b.column(1).to_pylist()
+                for a in range(0, len(keys), TOGETHER):
+                    for t, e, share, i, j in own.leaks([words_of(t) for t in texts[a : a + TOGETHER]]):
+                        places = places_of(texts[a + t])
+                        out.append((keys[a + t], e, share, places[i][0], places[j][1]))
                 columns = list(zip(*out)) if out else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema[0].type), pa.array(columns[1], ARROW.get(item_kind)), pa.array(columns[2], pa.float64()), *(pa.array(c, pa.int64()) for c in columns[3:])], ["k", "e", "share", "start_char", "end_char"])
 

@@ -16,7 +16,7 @@ PART = " ".join(ITEM.split()[:20])
 def test_whole_part_and_damaged_items_are_found_and_short_quotes_are_not():
     words = ITEM.split()
     automaton = leakage.Automaton([(7, leakage.words_of(ITEM)), (8, leakage.words_of("something else that nobody wrote into any of these texts at all today"))])
-    found = lambda t: [e for e, *_ in automaton.leaks(leakage.words_of(t))]
+    found = lambda t: [e for _, e, *_ in automaton.leaks([leakage.words_of(t)])]
     assert found("Before. " + ITEM.upper().replace(" ", "\n ") + "! After") == [7]
     assert found("x y z " + " ".join(words[5:20]) + " q r s") == [7]
     typos = [w if i % 6 else w[:-1] + "x" for i, w in enumerate(words)]
@@ -52,7 +52,7 @@ def test_each_item_has_its_own_matches_like_brute_force():
                     n += 1
                 if n >= leakage.SEED and (i + 1 == len(item) or j + 1 == len(text) or item[i + 1] != text[j + 1]):
                     want.add((j, n, k, i))
-        got = [(end, n, k, i) for k, runs in own.matches(text).items() for end, i, n in runs]
+        got = [(end, n, k, i) for (_, k), runs in own.matches([text]).items() for end, i, n in runs]
         assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -60,9 +60,11 @@ def test_matches_in_small_parts_are_the_same(monkeypatch):
     rng = random.Random(11)
     items = [(i, [rng.choice("ab") for _ in range(30)]) for i in range(5)]
     text = [rng.choice("ab") for _ in range(300)]
-    whole = leakage.Automaton(items).matches(text)
+    whole = leakage.Automaton(items).matches([text, [], text[:50]])
     monkeypatch.setattr(leakage, "LAID_OUT", 7)
-    assert leakage.Automaton(items).matches(text) == whole
+    own = leakage.Automaton(items)
+    assert own.matches([text, [], text[:50]]) == whole and own.matches([[], ["c"]]) == {}
+    assert {k: v for k, v in whole.items() if k[0] == 2} == {(2, k): v for (_, k), v in own.matches([text[:50]]).items()}
 
 
 def test_variants_items_inside_items_and_very_long_items_are_found():
@@ -71,8 +73,8 @@ def test_variants_items_inside_items_and_very_long_items_are_found():
     b = [{20: "other", 40: "words"}.get(i, w) for i, w in enumerate(a)]
     long = [f"v{i}" for i in range(70_000)]
     automaton = leakage.Automaton([(1, a), (2, b), (3, a[10:40]), (4, long), (5, long[66_000:66_050])])
-    assert {e for e, *_ in automaton.leaks(["before", *a, "after"])} == {1, 2, 3}
-    assert automaton.leaks(["before", *long, "after"]) == [(4, 1.0, 1, 70_000), (5, 1.0, 66_001, 66_050)]
+    assert {e for _, e, *_ in automaton.leaks([["before", *a, "after"]])} == {1, 2, 3}
+    assert automaton.leaks([[], ["before", *long, "after"]]) == [(1, 4, 1.0, 1, 70_000), (1, 5, 1.0, 66_001, 66_050)]
 
 
 def test_coverage_decides_alone_or_asks_for_an_alignment():
