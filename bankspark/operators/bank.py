@@ -289,13 +289,22 @@ def diff(old: Mapping[str, Any], new: Mapping[str, Any]) -> dict[str, Any]:
 
 
 def _operations(a: Any, b: Any, path: str) -> Iterator[dict[str, Any]]:
-    if isinstance(a, dict) and isinstance(b, dict):
-        yield from ({"op": "remove", "path": path + pointer(k)} for k in sorted(a.keys() - b.keys()))
-        yield from ({"op": "add", "path": path + pointer(k), "value": copy.deepcopy(b[k])} for k in sorted(b.keys() - a.keys()))
-        for k in sorted(a.keys() & b.keys()):
-            yield from _operations(a[k], b[k], path + pointer(k))
-    elif a != b or type(a) is not type(b):
-        yield {"op": "replace", "path": path, "value": copy.deepcopy(b)}
+    """What turns a into b, member by member; a stack holds the members still to be compared, the next one on top."""
+    todo = [(path, a, b)]
+    while todo:
+        at, x, y = todo.pop()
+        if not (isinstance(x, dict) and isinstance(y, dict)):
+            if x != y or type(x) is not type(y):
+                yield {"op": "replace", "path": at, "value": copy.deepcopy(y)}
+            continue
+        members = {k: at + pointer(k) for k in sorted({*x, *y})}
+        for k, place in members.items():
+            if k not in y:
+                yield {"op": "remove", "path": place}
+        for k, place in members.items():
+            if k not in x:
+                yield {"op": "add", "path": place, "value": copy.deepcopy(y[k])}
+        todo += [(place, x[k], y[k]) for k, place in reversed(members.items()) if k in x and k in y]
 
 
 def _ids(bank: Mapping, level: str) -> Iterator[tuple[str, ...]]:
@@ -405,17 +414,31 @@ def remove_pattern(bank: Mapping[str, Any], e: str, n: str, p: str) -> dict[str,
 # --- lints of patterns as columns ----------------------------------------------------------------------------
 
 
+#: Risks and from how many on they count.
+MOST_ALTERNATIVES, MOST_LOOKAROUNDS, MOST_GROUPS, SHORT = 20, 3, 50, 4
+LOOKAROUNDS = ("(?=", "(?!", "(?<=", "(?<!")
+
+
 def lint_columns(value: Column) -> dict[str, Column]:
-    """Static risks of a regex, one boolean column each."""
-    count = lambda p: F.size(F.regexp_extract_all(value, F.lit(p), F.lit(0)))
+    """Static risks of a regex, one boolean column each.
+
+    `bare` is the pattern with a letter for each escape and class, so that what is left are operators. A group with a
+    quantifier inside and one behind it is seen where the pattern is split at closing brackets: the piece before opens
+    a group and has a quantifier after that, the piece behind begins with one.
+    """
+    bare = F.regexp_replace(F.regexp_replace(value, r"\\.", "E"), r"\[[^\]]*\]", "K")
+    times = lambda c, x: (F.length(c) - F.length(F.replace(c, F.lit(x)))) / len(x)
+    pieces = F.split(value, r"\)", -1)
+    nested = F.exists(F.arrays_zip(F.slice(pieces, 1, F.size(pieces) - 1).alias("a"), F.slice(pieces, 2, F.size(pieces) - 1).alias("b")), lambda p: p["a"].rlike(r"(?s)\(.*[*+]") & p["b"].rlike(r"^\s*[*+{]"))
+    bounded = F.contains(value, F.lit("\\b")) | F.startswith(F.trim(value), F.lit("^")) | F.endswith(F.trim(value), F.lit("$"))
     return {
-        "nested_quantifier": value.rlike(r"\([^)]*[*+][^)]*\)\s*[*+{]"),
-        "unbounded_dot_star": value.rlike(r"(?<!\\)\.\*"),
-        "huge_alternation": count(r"(?<!\\)\|") + 1 >= 20,
-        "repeated_lookaround": count(r"\(\?<?[=!]") >= 3,
-        "excessive_groups": count(r"(?<!\\)\((?!\?)") > 50,
-        "short_unbounded": (F.length(value) < 4) & value.rlike(r"[*+]|\{\d+,\}"),
-        "literal_candidate": ~value.rlike(r"[\\^$.|?*+()\[\]{}]"),
+        "nested_quantifier": F.when(F.size(pieces) > 1, nested).otherwise(False),
+        "unbounded_dot_star": F.contains(bare, F.lit(".*")),
+        "huge_alternation": times(bare, "|") + 1 >= MOST_ALTERNATIVES,
+        "repeated_lookaround": sum((times(value, x) for x in LOOKAROUNDS), F.lit(0)) >= MOST_LOOKAROUNDS,
+        "excessive_groups": times(bare, "(") - times(bare, "(?") > MOST_GROUPS,
+        "short_unbounded": (F.length(F.trim(value)) < SHORT) & ~bounded,
+        "literal_candidate": ~value.rlike(r"[\\^$.|?*+()\[\]{}]") & (F.trim(value) != ""),
     }
 
 

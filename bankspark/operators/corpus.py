@@ -95,7 +95,7 @@ def features(mail: DataFrame, key: str = "row_id") -> DataFrame:
         F.nullif(T.natural(F.col("body")), F.lit("")).alias("body"),
         T.message_id(F.col("message_id")).alias("own"),
         T.message_id_references(F.coalesce("body", F.lit(""))).alias("refs"),
-        F.nullif(thread_column(F.col("subject")), F.lit("")).alias("thread"),
+        F.nullif(T.thread(F.col("subject")), F.lit("")).alias("thread"),
         T.addresses(F.array(F.col("from")), F.col("to"), F.col("cc"), F.col("bcc")).alias("people"),
     )
     digest = lambda c: F.sha2(c, 256)
@@ -111,12 +111,6 @@ def features(mail: DataFrame, key: str = "row_id") -> DataFrame:
     return row.select("node", F.explode(each).alias("f")).select("node", "f.family", "f.feature").distinct()
 
 
-def thread_column(subject: Column) -> Column:
-    """A subject without reply marks, in lower case with single spaces."""
-    bare = F.regexp_replace(subject, r"(?i)^(?:\s*(?:re|fw|fwd)\s*(?:\[\d+\])?\s*:\s*)+", "")
-    return F.trim(F.regexp_replace(F.lower(bare), r"\s+", " "))
-
-
 def star_edges(feats: DataFrame) -> DataFrame:
     """a, b, family: each node with the smallest node of its feature; never all pairs."""
     low = feats.groupBy("family", "feature").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")

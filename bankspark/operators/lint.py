@@ -64,21 +64,36 @@ def branches(pattern: str) -> list[list[str]]:
     return [[re.sub(r"^\?(?::|P?<\w+>)", "", b) for b in g] for g in out if len(g) > 1]
 
 
+def quantified_twice(pattern: str) -> bool:
+    """Whether a group with a quantifier inside has one behind it."""
+    pieces = pattern.split(")")
+    return any({"*", "+"} & set(before.partition("(")[2]) and behind.lstrip()[:1] in ("*", "+", "{") for before, behind in zip(pieces, pieces[1:]))
+
+
 def risks(pattern: str) -> list[str]:
     """Static risks of one pattern."""
-    plain = [t for t, _, inside in tokens(pattern) if not inside]
-    groups = branches(pattern)
-    found = {
-        "nested_quantifier": re.search(r"\([^)]*[*+][^)]*\)\s*[*+{]", pattern) is not None,
-        "unbounded_dot_star": any(a == "." and b == "*" for a, b in zip(plain, plain[1:])),
-        "ambiguous_alternation": any(a and b != a and b.startswith(a) for g in groups for i, a in enumerate(g) for b in g[i + 1 :] + g[:i]),
-        "huge_alternation": plain.count("|") + 1 >= 20,
-        "repeated_lookaround": len(re.findall(r"\(\?<?[=!]", pattern)) >= 3,
-        "excessive_groups": len(re.findall(r"(?<!\\)\((?!\?)", pattern)) > 50,
-        "short_unbounded": len(pattern) < 4 and re.search(r"[*+]|\{\d+,\}", pattern) is not None,
-        "literal_candidate": bool(pattern.strip()) and not re.search(r"[\\^$.|?*+()\[\]{}]", pattern),
-    }
-    return [k for k, v in found.items() if v]
+    whole = list(tokens(pattern))
+    plain = [t for t, _, inside in whole if not inside]
+    opened = [b for a, b in zip(plain, [*plain[1:], ""]) if a == "("]
+    text, groups = pattern.strip(), branches(pattern)
+    yes = []
+    if quantified_twice(pattern):
+        yes.append("nested_quantifier")
+    if ".*" in "".join("E" if inside or len(t) > 1 else t for t, _, inside in whole):
+        yes.append("unbounded_dot_star")
+    if any(a and b != a and b.startswith(a) for g in groups for a in g for b in g):
+        yes.append("ambiguous_alternation")
+    if plain.count("|") + 1 >= banks.MOST_ALTERNATIVES:
+        yes.append("huge_alternation")
+    if sum(map(pattern.count, banks.LOOKAROUNDS)) >= banks.MOST_LOOKAROUNDS:
+        yes.append("repeated_lookaround")
+    if len(opened) - opened.count("?") > banks.MOST_GROUPS:
+        yes.append("excessive_groups")
+    if len(text) < banks.SHORT and not (r"\b" in text or text[:1] == "^" or text[-1:] == "$"):
+        yes.append("short_unbounded")
+    if text and not set(pattern) & set(r"\^$.|?*+()[]{}"):
+        yes.append("literal_candidate")
+    return yes
 
 
 def probe_inputs(n: int) -> list[str]:

@@ -258,9 +258,11 @@ ORACLE = {
         SELECT entity_id, name_id, pattern_id, array_to_string(list_filter(['ASCII','IGNORECASE','MULTILINE','DOTALL','VERBOSE'], lambda f: list_contains(fs, f)), ',') AS flags FROM own""",
     "bank_detector_order": f"WITH {CLEAN}, s AS (SELECT *, CASE WHEN kind = 'literal' THEN value ELSE pattern_id END AS surface_name FROM clean WHERE entity_status = 'active' AND name_status = 'active' AND status = 'active') SELECT entity_id, name_id, pattern_id, surface_name, row_number() OVER (PARTITION BY entity_id ORDER BY priority, canonical, surface_name, value) - 1 AS pattern_order FROM s",
     "bank_ambiguous_detectors": f"WITH {CLEAN} SELECT entity_id, canonical, CASE WHEN kind = 'literal' THEN value ELSE pattern_id END AS surface_name, count(*) AS detectors FROM clean GROUP BY ALL HAVING count(*) > 1",
-    "bank_lint": rf"""WITH {CLEAN} SELECT entity_id, name_id, pattern_id, regexp_matches(value, '\([^)]*[*+][^)]*\)\s*[*+{{]') AS nested_quantifier, regexp_matches(value, '(^|[^\\])\.\*') AS unbounded_dot_star,
-        length(value) - length(replace(value, '|', '')) + 1 >= 20 AS huge_alternation, len(regexp_extract_all(value, '\(\?<?[=!]')) >= 3 AS repeated_lookaround, len(regexp_extract_all(value, '\([^?]')) > 50 AS excessive_groups,
-        length(value) < 4 AND regexp_matches(value, '[*+]|\{{\d+,\}}') AS short_unbounded, NOT regexp_matches(value, '[\\^$.|?*+()\[\]{{}}]') AS literal_candidate FROM clean WHERE kind = 'regex'""",
+    "bank_lint": rf"""WITH {CLEAN}, r AS (SELECT *, string_split(value, ')') AS p, regexp_replace(regexp_replace(value, '\\.', 'E', 'g'), '\[[^\]]*\]', 'K', 'g') AS bare FROM clean WHERE kind = 'regex')
+        SELECT entity_id, name_id, pattern_id, len(list_filter(range(1, len(p)), lambda i: regexp_matches(p[i], '(?s)\(.*[*+]') AND regexp_matches(p[i + 1], '^\s*[*+{{]'))) > 0 AS nested_quantifier, contains(bare, '.*') AS unbounded_dot_star,
+        len(string_split(bare, '|')) >= 20 AS huge_alternation, len(string_split(value, '(?=')) + len(string_split(value, '(?!')) + len(string_split(value, '(?<=')) + len(string_split(value, '(?<!')) - 4 >= 3 AS repeated_lookaround,
+        len(string_split(bare, '(')) - len(string_split(bare, '(?')) > 50 AS excessive_groups, length(trim(value)) < 4 AND NOT (contains(value, '\b') OR starts_with(trim(value), '^') OR ends_with(trim(value), '$')) AS short_unbounded,
+        NOT regexp_matches(value, '[\\^$.|?*+()\[\]{{}}]') AND trim(value) <> '' AS literal_candidate FROM r""",
     "bank_checks": """SELECT rule, count(*) AS rows FROM (
         SELECT 'id' AS rule FROM bank_patterns WHERE NOT regexp_matches(entity_id, '^[a-z][a-z0-9_]{0,79}$') OR NOT regexp_matches(pattern_id, '^[a-z][a-z0-9_]{0,79}$')
         UNION ALL SELECT 'status' FROM bank_patterns WHERE coalesce(status, '') NOT IN ('draft','active','inactive','deprecated')

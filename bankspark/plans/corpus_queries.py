@@ -86,7 +86,7 @@ def message_refs_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def thread_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threads with their rows and distinct participants."""
-    mail = _mail(spark, sf_dir).select("row_id", F.nullif(C.thread_column(F.col("subject")), F.lit("")).alias("thread"), T.addresses(F.array(F.col("from")), F.col("to"), F.col("cc"), F.col("bcc")).alias("people")).where("thread is not null")
+    mail = _mail(spark, sf_dir).select("row_id", F.nullif(T.thread(F.col("subject")), F.lit("")).alias("thread"), T.addresses(F.array(F.col("from")), F.col("to"), F.col("cc"), F.col("bcc")).alias("people")).where("thread is not null")
     return mail.select("row_id", "thread", F.explode_outer("people").alias("p")).groupBy("thread").agg(F.countDistinct("row_id").alias("rows"), F.countDistinct("p").alias("participants"))
 
 

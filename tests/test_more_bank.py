@@ -112,3 +112,14 @@ def test_sender_aliases(spark):
     rows = [(1, "ann.bo@x.example", "text\nregards\nAnn  Bo"), (2, "Ann <ann.bo@x.example>", "Ann Bo"), (3, "ann.bo@x.example", "> Ann Bo"), (4, "desk@x.example", "desk"), (5, None, None), (6, "ann.bo@x.example", "Ann Bo\n" + "x\n" * 20)]
     df = spark.createDataFrame(rows, "row_id long, from string, body string")
     assert [(r.row_id, r.alias) for r in M.sender_aliases(df).collect() if r.row_id != 3] == [(1, "Ann  Bo")]
+
+
+@pytest.mark.parametrize("pattern,short", [("ab", True), ("a+", True), (r"\bab", False), ("^ab", False), ("ab$", False), (" ab ", True), ("abcd", False)])
+def test_short_patterns_without_a_boundary_are_a_risk_both_ways(spark, pattern, short):
+    from pyspark.sql import functions as F
+
+    from bankspark.operators import bank as B
+
+    assert ("short_unbounded" in L.risks(pattern)) is short
+    row = spark.createDataFrame([(pattern,)], "v string").select(*[c.alias(k) for k, c in B.lint_columns(F.col("v")).items()]).first().asDict()
+    assert {k for k, v in row.items() if v} == set(L.risks(pattern)) - {"ambiguous_alternation"}
