@@ -2,7 +2,11 @@
 
 Tables that the operators share, by name of their key columns:
 features(node, family, feature): what links records; families are exact_plaintext, same_message_id,
-message_id_reference and thread_shared_participant. groups(node, group). roles(group, role).
+message_id_reference, thread_shared_participant and near_duplicate. groups(node, group). roles(group, role).
+
+Two forms of near duplicates stand here. Signatures (`near_features` to `near_classes`) keep the engine's definition:
+three-word shingles, 64-bit majority, at most three differing bits. `similar_pairs` and `similar_classes` are exact:
+five-word shingles with a Jaccard similarity of 0.8 or more, found by prefixes of the rarest shingles, which lose no pair.
 """
 
 from __future__ import annotations
@@ -111,6 +115,12 @@ def features(mail: DataFrame, key: str = "row_id") -> DataFrame:
     return row.select("node", F.explode(each).alias("f")).select("node", "f.family", "f.feature").distinct()
 
 
+def near_family(mail: DataFrame, key: str = "row_id") -> DataFrame:
+    """node, family, feature of records whose bodies are similar to another's."""
+    classes = similar_classes(cut(shingle_sets(mail, key, "body")))
+    return classes.where("links > 0").select("node", F.lit("near_duplicate").alias("family"), F.col("class").cast("string").alias("feature"))
+
+
 def star_edges(feats: DataFrame) -> DataFrame:
     """a, b, family: each node with the smallest node of its feature; never all pairs."""
     low = feats.groupBy("family", "feature").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -189,6 +199,58 @@ def near_classes(nodes: DataFrame, hamming: int = HAMMING) -> DataFrame:
     return eligible.join(classes, "simhash").join(degree, "simhash", "left").select("node", F.col("group").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+# --- similar texts, exactly ----------------------------------------------------------------------------------------
+
+#: Words of a shingle, and the least share of two texts' shingles, in ten-thousandths, that both have.
+WORDS, SIMILAR = 5, 8000
+
+
+def shingle_sets(df: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
+    """node, set, shingles: the distinct shingles of a text's words without case and punctuation, and their digest.
+
+    Texts of fewer words have one shingle of all of them; null and wordless texts are left out."""
+    w = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
+    rows = df.select(F.col(key).alias("node"), w.alias("w")).where(F.size("w") > 0).select("node", F.array_sort(F.array_distinct(grams)).alias("shingles"))
+    return rows.select("node", F.sha2(F.array_join(F.transform("shingles", lambda x: F.hex(x)), ""), 256).alias("set"), "shingles")
+
+
+def similar_pairs(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """a, b, both, either: pairs of distinct sets (set, shingles) that are similar, a < b, with the sizes of their intersection and union.
+
+    Of a set of n shingles in order of their frequency, the first n - ceil(n * similarity) + 1 hold one of any similar
+    set's; so sets are joined on these rarest shingles only, with sizes that allow the similarity, and checked exactly.
+    Copies are one set, so a text that a third of all rows repeat is one row here.
+    """
+    own = cut(sets.select("set", "shingles").dropDuplicates(["set"]))
+    each = own.select("set", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
+    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # a shingle of one set only can join nothing, but keeps its place in the prefix
+    shared = each.join(often, "x").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("s"))
+    least = lambda n: F.ceil(n * similar / 10_000).cast("int")
+    alone = F.col("n") - F.size("s")
+    prefix = F.slice("s", 1, F.greatest(F.col("n") - least(F.col("n")) + 1 - alone, F.lit(0)))
+    keyed = cut(shared.select("set", "n", F.explode(prefix).alias("p")).select("set", "n", F.col("p.x").alias("x")))
+    other = keyed.toDF("b", "m", "x")
+    found = keyed.toDF("a", "n", "x").join(other, "x").where("a < b").where((F.col("n") * 10_000 >= F.col("m") * similar) & (F.col("m") * 10_000 >= F.col("n") * similar))
+    found = found.select("a", "b").distinct().join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
+    found = found.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
+    return found.where(F.col("both") * 10_000 >= (F.col("total") - F.col("both")) * similar).select("a", "b", "both", (F.col("total") - F.col("both")).alias("either"))
+
+
+def similar_classes(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """node, class, links: every text (node, set, shingles) with the smallest node of its component of similar texts and the
+    number of other sets that are similar to its own; copies are in one class without links of their own."""
+    pairs = cut(similar_pairs(sets, similar).select("a", "b"))
+    ends = pairs.select(F.col("a").alias("set"), "a", "b").union(pairs.select(F.col("b").alias("set"), "a", "b"))
+    keyed = ends.select("set", F.concat_ws(":", "a", "b").alias("k"))
+    groups = components(keyed, "set", {"near": F.col("k")})
+    links = ends.groupBy("set").agg(F.count(F.lit(1)).alias("links"))
+    rows = sets.select("node", "set").join(groups.join(links, "set"), "set", "left").select("node", F.coalesce("group", "set").alias("g"), F.coalesce("links", F.lit(0)).alias("links"))
+    low = rows.groupBy("g").agg(F.min("node").alias("class"))
+    return rows.join(low, "g").select("node", "class", "links")
+
+
 # --- leakage groups and splits -----------------------------------------------------------------------------------
 
 

@@ -15,7 +15,8 @@ def _mail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.features(_mail(spark, sf_dir))
+    mail = _mail(spark, sf_dir)
+    return C.features(mail).union(C.near_family(mail))
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +108,16 @@ def near_dup_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.candidate_budget(nodes.where("tokens >= 12 and shingles >= 8"))
 
 
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by classes of texts that share four fifths of their five-word shingles, with their number of similar texts."""
+    return C.similar_classes(cut(C.shingle_sets(table(spark, sf_dir, "documents"), "doc_id", "text"))).withColumnRenamed("node", "doc_id")
+
+
+def similar_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of mail bodies."""
+    return C.similar_classes(cut(C.shingle_sets(_mail(spark, sf_dir), "row_id", "body"))).withColumnRenamed("node", "row_id")
+
+
 def leakage_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row with the smallest row of its leakage group."""
     return _groups(spark, sf_dir).withColumnsRenamed({"node": "row_id", "group": "group_row"})
@@ -229,7 +240,7 @@ def prepared_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail.select("row_id", "date").join(at, "row_id", "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-_ALL = (source_rejections, distinct_records, dup_histogram, exact_dup_groups, document_dup_groups, feature_availability, corpus_multiset_hash, message_refs_union, thread_participants, near_dup_classes, near_dup_pairs, near_dup_budget, leakage_components, leakage_edge_families, temporal_split, hash_split, order_time_split, allocation_audit, leakage_audit, identity_recurrence, cohort_counters, customer_frequency_cohorts, stratified_sample, hamilton_quotas, group_representative, size_buckets, mailbox_folders, natural_layout, body_views, thread_subjects, prepared_dates)
+_ALL = (source_rejections, distinct_records, dup_histogram, exact_dup_groups, document_dup_groups, feature_availability, corpus_multiset_hash, message_refs_union, thread_participants, near_dup_classes, near_dup_pairs, near_dup_budget, similar_documents, similar_bodies, leakage_components, leakage_edge_families, temporal_split, hash_split, order_time_split, allocation_audit, leakage_audit, identity_recurrence, cohort_counters, customer_frequency_cohorts, stratified_sample, hamilton_quotas, group_representative, size_buckets, mailbox_folders, natural_layout, body_views, thread_subjects, prepared_dates)
 QUERIES = {f.__name__: f for f in _ALL}
 
 SIZE = "CASE WHEN b <= 0 THEN '0' WHEN b <= 255 THEN '1-255' WHEN b <= 1023 THEN '256-1023' WHEN b <= 4095 THEN '1024-4095' WHEN b <= 16383 THEN '4096-16383' WHEN b <= 65535 THEN '16384-65535' WHEN b <= 262143 THEN '65536-262143' WHEN b <= 1048575 THEN '262144-1048575' ELSE '1048576+' END"
@@ -272,9 +283,21 @@ ORACLE = {
 NATURAL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '\r\n|[\r\x{{85}}\x{{2028}}\x{{2029}}]', chr(10), 'g'),
   '[\x{{ad}}\x{{34f}}\x{{61c}}\x{{115f}}\x{{1160}}\x{{17b4}}\x{{17b5}}\x{{180b}}-\x{{180f}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{206f}}\x{{3164}}\x{{fe00}}-\x{{fe0f}}\x{{feff}}\x{{ffa0}}\x{{fff0}}-\x{{fff8}}]', '', 'g'),
   '[\t\x{{b}}\x{{c}} \x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'), '(?m)^ | $', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')"""
-LEAKAGE = f"""{PEOPLE}, feats AS (
+def similar_sql(table: str, key: str, text: str) -> str:
+    """Common table expressions ending in `sim` (k, class, links): similar texts by counting shared shingles of all pairs."""
+    return rf"""sw AS (SELECT {key} AS k, regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+') AS w FROM {table} WHERE {text} IS NOT NULL),
+  sg AS (SELECT k, list_sort(list_distinct(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END)) AS g FROM sw WHERE len(w) > 0),
+  ss AS (SELECT min(k) AS s, g, len(g) AS n FROM sg GROUP BY g), sx AS (SELECT s, n, unnest(g) AS x FROM ss),
+  sp AS (SELECT a.s AS a, b.s AS b FROM sx a JOIN sx b ON a.x = b.x AND a.s <> b.s GROUP BY a.s, b.s, a.n, b.n HAVING count(*) * 10 >= (a.n + b.n - count(*)) * 8),
+  sr AS (SELECT s AS x, s AS y FROM ss UNION SELECT r.x, p.b FROM sr r JOIN sp p ON r.y = p.a), sc AS (SELECT x AS s, min(y) AS class FROM sr GROUP BY 1),
+  sl AS (SELECT a AS s, count(*) AS links FROM sp GROUP BY 1),
+  sim AS (SELECT sg.k, sc.class, coalesce(links, 0) AS links FROM sg JOIN ss USING (g) JOIN sc USING (s) LEFT JOIN sl USING (s))"""
+
+
+LEAKAGE = f"""{PEOPLE}, {similar_sql("enron_preparation", "row_id", "body")}, feats AS (
     SELECT row_id, 'exact_plaintext' AS family, t AS f FROM (SELECT row_id, {NATURAL.format(c='body')} AS t FROM enron_preparation) WHERE t <> ''
     UNION SELECT row_id, unnest(['same_message_id', 'message_id_reference']), m FROM (SELECT row_id, {MESSAGE} AS m FROM enron_preparation) WHERE m <> ''
+    UNION SELECT k, 'near_duplicate', CAST(class AS VARCHAR) FROM sim WHERE links > 0
     UNION SELECT row_id, 'thread_shared_participant', t || chr(1) || p FROM (SELECT row_id, {THREAD} AS t FROM enron_preparation) JOIN people USING (row_id) WHERE t <> ''),
   linked AS (SELECT DISTINCT a.row_id AS x, b.row_id AS y FROM feats a JOIN feats b USING (family, f)),
   reach AS (SELECT row_id AS x, row_id AS y FROM enron_preparation UNION SELECT r.x, e.y FROM reach r JOIN linked e ON r.y = e.x),
@@ -286,6 +309,8 @@ RECURRING = f"""{ROLED}, known AS (SELECT p, count(DISTINCT g) AS n FROM people
   rec AS (SELECT row_id, CASE WHEN identities IS NULL THEN 'unavailable' WHEN k = identities THEN 'all_known' WHEN k = 0 THEN 'all_novel' ELSE 'mixed' END AS recurrence, coalesce(identities, 0) AS identities, coalesce(frequencies, '') AS frequencies FROM enron_preparation LEFT JOIN per USING (row_id))"""
 FOLDER = r"""CASE WHEN regexp_matches(f, '^inbox|_inbox$') THEN 'inbox' WHEN f LIKE '%sent%' THEN 'sent' WHEN regexp_matches(f, 'deleted|trash') THEN 'deleted' WHEN regexp_matches(f, 'all_documents|archive|old_mail|^[0-9]{4}$') THEN 'archive' WHEN f IS NOT NULL THEN 'other' ELSE 'unavailable' END"""
 ORACLE |= {
+    "similar_documents": f"WITH RECURSIVE {similar_sql('documents', 'doc_id', 'text')} SELECT k AS doc_id, class, links FROM sim",
+    "similar_bodies": f"WITH RECURSIVE {similar_sql('enron_preparation', 'row_id', 'body')} SELECT k AS row_id, class, links FROM sim",
     "leakage_components": f"WITH RECURSIVE {LEAKAGE} SELECT row_id, g AS group_row FROM lg",
     "leakage_edge_families": f"WITH RECURSIVE {LEAKAGE}, low AS (SELECT family, f, min(row_id) AS b, count(*) AS n FROM feats GROUP BY 1, 2 HAVING count(*) > 1), ends AS (SELECT row_id, family FROM feats JOIN low USING (family, f)) SELECT g AS group_row, array_to_string(list_sort(list(DISTINCT family)), ',') AS families FROM ends JOIN lg USING (row_id) GROUP BY 1",
     "temporal_split": f"WITH RECURSIVE {ROLED} SELECT g AS group_row, role FROM roles",
