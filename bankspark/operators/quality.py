@@ -76,9 +76,28 @@ def lowest_hashes(df: DataFrame, by: list[str], key: Column, n: int) -> DataFram
     return df.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n")
 
 
+#: Rows that a last bucket may have and be ordered in one task.
+LAST_BUCKET = 1000
+
+
 def share_of_hashes(df: DataFrame, key: Column, share: float) -> DataFrame:
-    """ceil(share * n) rows of lowest hash of all: the threshold is found by a count, not by sorting all in a task."""
-    hashed = df.withColumn("_h", F.sha2(key, 256))
-    total = hashed.count()
-    wanted = -(-int(total * share * 10**9) // 10**9)
-    return hashed.orderBy("_h", key).limit(wanted).drop("_h")
+    """ceil(share * n) rows of lowest hash of all.
+
+    The hash that ends the share is found by counts of hash prefixes (at most 4,096 rows a round), each round inside the
+    bucket that the share ends in; all below are in, and only of that last, small bucket rows are ordered."""
+    hashed = df.withColumn("_h", F.sha2(key, 256)).withColumn("_k", key)
+    prefix, left, counts = "", None, {}
+    while left is None or (counts[prefix] > LAST_BUCKET and len(prefix) < 60):
+        rows = hashed.where(F.startswith("_h", F.lit(prefix))).groupBy(F.substring("_h", 1, len(prefix) + 3).alias("p")).count().collect()
+        counts = {r["p"]: r["count"] for r in rows}
+        if left is None:
+            left = -(-int(sum(counts.values()) * share * 10**9) // 10**9)
+        for p in sorted(counts):
+            prefix = p
+            if counts[p] >= left:
+                break
+            left -= counts[p]
+        if not counts:
+            return hashed.drop("_h", "_k")
+    below = hashed.where(F.substring("_h", 1, len(prefix)) < prefix)
+    return below.union(hashed.where(F.startswith("_h", F.lit(prefix))).orderBy("_h", "_k").limit(left)).drop("_h", "_k")

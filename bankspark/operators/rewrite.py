@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bankspark.functions.text import assignment_digest, redaction_token
 from bankspark.model import LIMITS, BankError
+from bankspark.runtime import ranked
 
 SCOPES = {"name": "name_id", "canonical": "canonical_name", "surface": "string"}
 TEMPLATE = "[{ENTITY}_{ordinal:04d}]"
@@ -47,7 +48,7 @@ def redaction_ordinals(records: DataFrame, document: str, scope: str = "name", k
     """assignment_key, entity_id, ordinal, token: the next numbers of each entity in order of first appearance.
 
     `known` (assignment_key, entity_id, ordinal) keeps its numbers; new keys go on after the entity's largest.
-    Only distinct keys are ordered, and those a bank bounds.
+    Only distinct keys are ordered: of names and canonicals, which a bank bounds, within the entity; of surfaces by ranges.
     """
     first = records.withColumn("assignment_key", assignment_key(scope)).groupBy("assignment_key", "entity_id").agg(F.min(F.struct(document, "start", "end")).alias("at"))
     if known is not None:
@@ -56,7 +57,12 @@ def redaction_ordinals(records: DataFrame, document: str, scope: str = "name", k
         first = first.join(old, ["assignment_key"], "left_anti").join(base, "entity_id", "left")
     else:
         first = first.withColumn("base", F.lit(0))
-    new = first.select("assignment_key", "entity_id", (F.coalesce("base", F.lit(0)) + F.row_number().over(W.partitionBy("entity_id").orderBy("at", "assignment_key"))).cast("long").alias("ordinal"))
+    if scope == "surface":
+        first = ranked(first, "entity_id", "at", "assignment_key")
+        first = first.join(first.groupBy("entity_id").agg((F.min("n") - 1).alias("others")), "entity_id").withColumn("n", F.col("n") - F.col("others"))
+    else:
+        first = first.withColumn("n", F.row_number().over(W.partitionBy("entity_id").orderBy("at", "assignment_key")))
+    new = first.select("assignment_key", "entity_id", (F.coalesce("base", F.lit(0)) + F.col("n")).cast("long").alias("ordinal"))
     every = new if known is None else new.union(old)
     return every.withColumn("token", redaction_token(TEMPLATE, F.col("entity_id"), F.col("ordinal")))
 
@@ -67,9 +73,9 @@ def pseudonyms(records: DataFrame, document: str, candidates: DataFrame, scope:
     `candidates` has position, id, value of one set without reuse.
     """
     first = records.withColumn("assignment_key", assignment_key(scope)).groupBy("assignment_key").agg(F.min(F.struct(document, "start", "end")).alias("at"))
-    keys = first.select("assignment_key", F.row_number().over(W.orderBy("at", "assignment_key")).alias("n"))
-    ranked = candidates.select(F.row_number().over(W.orderBy("position")).alias("n"), F.col("id").alias("candidate_id"), "value")
-    return keys.join(ranked, "n", "left").select("assignment_key", "candidate_id", "value")
+    keys = ranked(first, "at", "assignment_key")
+    places = ranked(candidates.select("position", F.col("id").alias("candidate_id"), "value"), "position", "candidate_id", "value")
+    return keys.join(places, "n", "left").select("assignment_key", "candidate_id", "value")
 
 
 def allocate_with_reuse(keys: list[str], candidates: list[Mapping[str, str]], taken: Mapping[str, str] | None = None) -> dict[str, str | None]:

@@ -100,9 +100,9 @@ def bank_detector_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bank_ambiguous_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detector keys that more than one pattern has: entity, canonical and surface name."""
+    """Detector keys that more than one row of the raw table has: entity, canonical and surface name."""
     surface = F.when(F.col("kind") == "literal", F.col("value")).otherwise(F.col("pattern_id"))
-    return _patterns(spark, sf_dir).groupBy("entity_id", "canonical", surface.alias("surface_name")).agg(F.count(F.lit(1)).alias("detectors")).where("detectors > 1")
+    return table(spark, sf_dir, "bank_patterns").groupBy("entity_id", "canonical", surface.alias("surface_name")).agg(F.count(F.lit(1)).alias("detectors")).where("detectors > 1")
 
 
 def bank_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +257,7 @@ ORACLE = {
         own AS (SELECT c.entity_id, name_id, pattern_id, list_concat(coalesce(fs, []), CASE WHEN kind = 'regex' THEN coalesce(regex_flags, []) WHEN NOT case_sensitive THEN ['IGNORECASE'] ELSE [] END) AS fs FROM clean c LEFT JOIN ef USING (entity_id))
         SELECT entity_id, name_id, pattern_id, array_to_string(list_filter(['ASCII','IGNORECASE','MULTILINE','DOTALL','VERBOSE'], lambda f: list_contains(fs, f)), ',') AS flags FROM own""",
     "bank_detector_order": f"WITH {CLEAN}, s AS (SELECT *, CASE WHEN kind = 'literal' THEN value ELSE pattern_id END AS surface_name FROM clean WHERE entity_status = 'active' AND name_status = 'active' AND status = 'active') SELECT entity_id, name_id, pattern_id, surface_name, row_number() OVER (PARTITION BY entity_id ORDER BY priority, canonical, surface_name, value) - 1 AS pattern_order FROM s",
-    "bank_ambiguous_detectors": f"WITH {CLEAN} SELECT entity_id, canonical, CASE WHEN kind = 'literal' THEN value ELSE pattern_id END AS surface_name, count(*) AS detectors FROM clean GROUP BY ALL HAVING count(*) > 1",
+    "bank_ambiguous_detectors": "SELECT entity_id, canonical, CASE WHEN kind = 'literal' THEN value ELSE pattern_id END AS surface_name, count(*) AS detectors FROM bank_patterns GROUP BY ALL HAVING count(*) > 1",
     "bank_lint": rf"""WITH {CLEAN}, r AS (SELECT *, string_split(value, ')') AS p, regexp_replace(regexp_replace(value, '\\.', 'E', 'g'), '\[[^\]]*\]', 'K', 'g') AS bare FROM clean WHERE kind = 'regex')
         SELECT entity_id, name_id, pattern_id, len(list_filter(range(1, len(p)), lambda i: regexp_matches(p[i], '(?s)\(.*[*+]') AND regexp_matches(p[i + 1], '^\s*[*+{{]'))) > 0 AS nested_quantifier, contains(bare, '.*') AS unbounded_dot_star,
         len(string_split(bare, '|')) >= 20 AS huge_alternation, len(string_split(value, '(?=')) + len(string_split(value, '(?!')) + len(string_split(value, '(?<=')) + len(string_split(value, '(?<!')) - 4 >= 3 AS repeated_lookaround,

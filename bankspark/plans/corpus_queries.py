@@ -152,9 +152,11 @@ def allocation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def leakage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups that two roles hold: none."""
+    """Groups that two roles hold: none under the temporal split, and those that a split of single rows by hash would tear."""
     groups, _, roles = _roles(spark, sf_dir)
-    return C.leaks(groups.join(roles, "group"))
+    rows = C.hash_split(groups.select(F.col("node").alias("group"))).withColumnRenamed("group", "node")
+    temporal = C.leaks(groups.join(roles, "group")).select(F.lit("temporal").alias("split"), "group", "roles")
+    return temporal.union(C.leaks(groups.join(rows, "node")).select(F.lit("rows").alias("split"), "group", "roles"))
 
 
 def identity_recurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,7 +266,6 @@ ORACLE = {
     "thread_participants": f"WITH {PEOPLE}, t AS (SELECT row_id, {THREAD} AS thread FROM enron_preparation) SELECT thread, count(DISTINCT t.row_id) AS rows, count(DISTINCT p) AS participants FROM t LEFT JOIN people USING (row_id) WHERE thread <> '' GROUP BY 1",
     "order_time_split": f"WITH whole AS (SELECT o_custkey AS g, count(*) AS records, max(o_orderdate) AS anchor FROM orders GROUP BY 1), {SPLIT} SELECT g AS o_custkey, CASE WHEN cum.c <= a.c THEN 'train' WHEN cum.c <= b.c THEN 'validation' ELSE 'test' END AS role FROM cum, a, b",
     "hash_split": r"""SELECT g AS o_custkey, CASE WHEN f < 0.8 THEN 'train' WHEN f < 0.9 THEN 'validation' ELSE 'test' END AS role FROM (SELECT DISTINCT o_custkey AS g, CAST(('0x' || substr(sha256('split' || chr(1) || o_custkey), 1, 13)) AS BIGINT) / 4503599627370496.0 AS f FROM orders)""",
-    "leakage_audit": "SELECT CAST(NULL AS BIGINT) AS \"group\", CAST(NULL AS BIGINT) AS roles WHERE false",
     "customer_frequency_cohorts": "WITH o AS (SELECT o_custkey, date_trunc('month', o_orderdate) AS m, o_orderdate < TIMESTAMP '1997-01-01' AS train FROM orders), k AS (SELECT o_custkey, count(DISTINCT m) AS n FROM o WHERE train GROUP BY 1), l AS (SELECT DISTINCT o_custkey FROM o WHERE NOT train) SELECT CASE WHEN coalesce(n, 0) = 0 THEN 'novel' WHEN n = 1 THEN 'tail' WHEN n < 10 THEN 'mid' ELSE 'head' END AS cohort, count(*) AS customers FROM l LEFT JOIN k USING (o_custkey) GROUP BY 1",
     "hamilton_quotas": """WITH p AS (SELECT c_mktsegment AS stratum, count(*) AS population FROM customer GROUP BY 1), s AS (SELECT *, least(2, population) AS b FROM p), w AS (SELECT least(100, sum(population)) - sum(b) AS rest, sum(population) - sum(b) AS room FROM s),
         q AS (SELECT *, CAST(floor(rest * (population - b) / room) AS BIGINT) AS f, CAST(rest * (population - b) AS BIGINT) % CAST(room AS BIGINT) AS r FROM s, w), z AS (SELECT *, rest - sum(f) OVER () AS residual, row_number() OVER (ORDER BY r DESC, stratum) AS rk FROM q)
@@ -313,6 +314,8 @@ ORACLE |= {
     "similar_bodies": f"WITH RECURSIVE {similar_sql('enron_preparation', 'row_id', 'body')} SELECT k AS row_id, class, links FROM sim",
     "leakage_components": f"WITH RECURSIVE {LEAKAGE} SELECT row_id, g AS group_row FROM lg",
     "leakage_edge_families": f"WITH RECURSIVE {LEAKAGE}, low AS (SELECT family, f, min(row_id) AS b, count(*) AS n FROM feats GROUP BY 1, 2 HAVING count(*) > 1), ends AS (SELECT row_id, family FROM feats JOIN low USING (family, f)) SELECT g AS group_row, array_to_string(list_sort(list(DISTINCT family)), ',') AS families FROM ends JOIN lg USING (row_id) GROUP BY 1",
+    "leakage_audit": f"""WITH RECURSIVE {LEAKAGE}, f AS (SELECT g, CAST(('0x' || substr(sha256('split' || chr(1) || row_id), 1, 13)) AS BIGINT) / 4503599627370496.0 AS f FROM lg)
+        SELECT 'rows' AS split, g AS "group", count(DISTINCT CASE WHEN f < 0.8 THEN 'train' WHEN f < 0.9 THEN 'validation' ELSE 'test' END) AS roles FROM f GROUP BY g HAVING count(DISTINCT CASE WHEN f < 0.8 THEN 'train' WHEN f < 0.9 THEN 'validation' ELSE 'test' END) > 1""",
     "temporal_split": f"WITH RECURSIVE {ROLED} SELECT g AS group_row, role FROM roles",
     "allocation_audit": f"WITH RECURSIVE {ROLED} SELECT role, count(*) AS groups, CAST(sum(records) AS BIGINT) AS records, round((SELECT sum(records) FROM whole) * CASE role WHEN 'train' THEN 0.8 WHEN 'validation' THEN 0.1 ELSE 1 - 0.8 - 0.1 END, 6)::DOUBLE AS target FROM roles JOIN whole USING (g) GROUP BY 1",
     "identity_recurrence": f"WITH RECURSIVE {RECURRING} SELECT row_id, recurrence, identities, frequencies FROM rec",

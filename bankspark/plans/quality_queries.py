@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bankspark.functions import stats as S
+from bankspark.functions.text import redaction_token
 from bankspark.operators import mine as M
 from bankspark.operators import quality as Q
 from bankspark.operators import rewrite as R
@@ -76,7 +77,9 @@ def restore_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ambiguous_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.ambiguous_tokens(_edits(spark, sf_dir)[1])
+    """Tokens that a template without numbers would give to several names: they could not be put back."""
+    tokens = _edits(spark, sf_dir)[1]
+    return R.ambiguous_tokens(tokens.withColumn("token", redaction_token("[{ENTITY}]", F.col("entity_id"), F.col("ordinal"))))
 
 
 # --- evaluation --------------------------------------------------------------------------------------------------
@@ -111,11 +114,21 @@ def provenance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_record_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Members of the wrong type and spans that do not hold their string, by rule."""
-    rows = table(spark, sf_dir, "eval_records")
-    spans = rows.where("matches is not null").select("text", F.explode("matches").alias("m")).where(F.decode(F.substring(F.encode("text", "UTF-8"), (F.col("m.start") + 1).cast("int"), (F.col("m.end") - F.col("m.start")).cast("int")), "UTF-8") != F.col("m.string"))
-    rules = rows.select(F.explode(F.filter(F.array(F.when((F.col("type") == "positive") & F.col("matches").isNull(), F.lit("no_matches")), F.when((F.col("type") == "negative") & F.col("matches").isNotNull(), F.lit("matches")), F.when((F.col("type") == "provenance") & F.col("text").isNotNull(), F.lit("text"))), lambda x: x.isNotNull())).alias("rule"))
-    return rules.union(spans.select(F.lit("span").alias("rule"))).groupBy("rule").agg(F.count(F.lit(1)).alias("records"))
+    """Records with members of the wrong type or spans that do not hold their string, by origin and rule: the stored records,
+    and copies of them with a letter put before the text and positive and negative turned round, which break every rule."""
+    rows = table(spark, sf_dir, "eval_records").select("type", "text", "matches")
+    turned = F.when(F.col("type") == "positive", "negative").when(F.col("type") == "negative", "positive").otherwise("provenance")
+    broken = rows.select(turned.alias("type"), F.concat(F.lit("x"), F.coalesce("text", F.lit(""))).alias("text"), "matches")
+    rows = rows.withColumn("origin", F.lit("stored")).union(broken.withColumn("origin", F.lit("broken")))
+    held = lambda m: F.decode(F.substring(F.encode("text", "UTF-8"), (m["start"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")), "UTF-8") == m["string"]
+    rules = {
+        "no_matches": (F.col("type") == "positive") & F.col("matches").isNull(),
+        "matches": (F.col("type") == "negative") & F.col("matches").isNotNull(),
+        "text": (F.col("type") == "provenance") & F.col("text").isNotNull(),
+        "span": F.exists(F.coalesce("matches", F.array().cast(rows.schema["matches"].dataType)), lambda m: ~held(m)),
+    }
+    found = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
+    return rows.select("origin", F.explode(found).alias("rule")).groupBy("origin", "rule").agg(F.count(F.lit(1)).alias("records"))
 
 
 def gold_pred_exact_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,17 +167,24 @@ def conformance_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotation_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans that only the stored records or only the scan has, in bytes."""
-    stored = _records(spark, sf_dir).where("offset_unit = 'byte'").select("document_id", "entity_id", "start", "end")
+    """Spans that only the stored records or only the scan has, in bytes; spans in characters are counted in bytes first."""
+    stored = _records(spark, sf_dir).select("document_id", "entity_id", "start", "end", "offset_unit")
+    texts = _documents(spark, sf_dir).select(F.concat(F.lit("document_"), "doc_id").alias("document_id"), "text")
+    in_bytes = lambda c: F.expr(f"cast(octet_length(substring(text, 1, cast(`{c}` as int))) as bigint)").alias(c)
+    chars = stored.where("offset_unit = 'char'").join(texts, "document_id").select("document_id", "entity_id", in_bytes("start"), in_bytes("end"))
+    stored = stored.where("offset_unit = 'byte'").drop("offset_unit").union(chars)
     scanned = scans.scan(_documents(spark, sf_dir), "doc_id", "text", load_detectors(spark, sf_dir)).select(F.concat(F.lit("document_"), "doc_id").alias("document_id"), "entity_id", "start", "end")
     return Q.symmetric_difference(stored, scanned, ["document_id", "entity_id", "start", "end"])
 
 
 def catalog_qualification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected spans with the active literal of their entity that says the same, best by priority."""
-    literals = _patterns(spark, sf_dir).where("entity_status = 'active' and name_status = 'active' and status = 'active' and kind = 'literal'").select("entity_id", "name_id", "pattern_id", "priority", F.lower("value").alias("value"))
-    gold = _gold(spark, sf_dir).select("document", "entity_id", "start", "end", F.lower("string").alias("s"))
-    return Q.best_pattern(gold, literals, F.col("s") == F.col("value"))
+    """Expected spans with the active pattern of their entity that takes them whole, literals without case, best by priority."""
+    active = "entity_status = 'active' and name_status = 'active' and status = 'active'"
+    found = scans.detector_table(spark, load_detectors(spark, sf_dir)).select("entity_id", "name_id", "pattern_id", F.when(F.array_contains("flags", "IGNORECASE"), "(?i)").otherwise("").alias("mode"))
+    patterns = _patterns(spark, sf_dir).where(active).select("entity_id", "name_id", "pattern_id", "priority", "kind", "value").join(found, ["entity_id", "name_id", "pattern_id"])
+    gold = _gold(spark, sf_dir).select("document", "entity_id", "start", "end", "string")
+    fits = F.when(F.col("kind") == "literal", F.lower("string") == F.lower("value")).otherwise(F.expr("string rlike concat(mode, '^(?:', value, ')$')"))
+    return Q.best_pattern(gold, patterns, fits)
 
 
 def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,15 +275,16 @@ ORACLE = {
         SELECT d.doc_id, CASE WHEN head IS NULL THEN text ELSE head || substring(text, CAST(last + 1 AS BIGINT)) END AS text FROM documents d LEFT JOIN p USING (doc_id) WHERE text IS NOT NULL""",
     "shifted_spans": f"""WITH {KEPT}, d AS (SELECT *, coalesce(sum(length(token) - (e - s)) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM edit) SELECT doc_id, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end", CAST(s + shift AS BIGINT) AS new_start, CAST(s + shift + length(token) AS BIGINT) AS new_end FROM d""",
     "restore_text": "SELECT doc_id, text FROM documents WHERE text IS NOT NULL",
-    "ambiguous_tokens": "SELECT CAST(NULL AS VARCHAR) AS token, CAST(NULL AS BIGINT) AS keys WHERE false",
+    "ambiguous_tokens": f"WITH {KEPT} SELECT '[' || upper(entity_id) || ']' AS token, count(DISTINCT name_id) AS keys FROM kept GROUP BY entity_id HAVING count(DISTINCT name_id) > 1",
     "eval_positive": f"""WITH {EVAL}, {GOLD}, {PRED}, w AS (SELECT document, suite, list_sort(list((string, s, e, name_id))) AS want FROM gold GROUP BY 1, 2),
         h AS (SELECT document, list_sort(list((string, s, e, name_id))) AS have FROM pred p WHERE EXISTS (SELECT 1 FROM gold g WHERE g.document = p.document AND g.entity_id = p.entity_id AND g.name_id = p.name_id) GROUP BY 1)
         SELECT document AS eval_id, suite, len(want) AS expected, coalesce(len(have), 0) AS found, coalesce(want = have, false) AS passed FROM w LEFT JOIN h USING (document)""",
     "eval_negative": f"WITH {EVAL} SELECT eval_id, suite FROM eval_records WHERE type = 'negative' AND eval_id NOT IN (SELECT doc_id FROM won)",
     "eval_grouping_sets": f"WITH {EVAL}, {GOLD}, {PRED}, {EXACT} SELECT entity_id, name_id, pattern_id, count(*) AS expected, count(*) FILTER (same_identity) AS matched, CAST(grouping(entity_id, name_id, pattern_id) AS BIGINT) AS level FROM ex GROUP BY GROUPING SETS ((entity_id, name_id, pattern_id), (entity_id, name_id), (entity_id), ())",
     "provenance_counts": "SELECT source_type, count(*) AS records, CAST(grouping(source_type) AS BIGINT) AS level FROM eval_records WHERE type = 'provenance' GROUP BY ROLLUP (source_type)",
-    "eval_record_checks": """SELECT rule, count(*) AS records FROM (SELECT 'no_matches' AS rule FROM eval_records WHERE type = 'positive' AND matches IS NULL UNION ALL SELECT 'matches' FROM eval_records WHERE type = 'negative' AND matches IS NOT NULL UNION ALL SELECT 'text' FROM eval_records WHERE type = 'provenance' AND text IS NOT NULL
-        UNION ALL SELECT 'span' FROM (SELECT text, unnest(matches) AS m FROM eval_records) WHERE decode(encode(text)[m.start + 1 : m."end"]) <> m.string) GROUP BY 1""",
+    "eval_record_checks": """WITH r AS (SELECT 'stored' AS origin, type, text, matches FROM eval_records UNION ALL SELECT 'broken', CASE type WHEN 'positive' THEN 'negative' WHEN 'negative' THEN 'positive' ELSE 'provenance' END, 'x' || coalesce(text, ''), matches FROM eval_records)
+        SELECT origin, rule, count(*) AS records FROM (SELECT origin, 'no_matches' AS rule FROM r WHERE type = 'positive' AND matches IS NULL UNION ALL SELECT origin, 'matches' FROM r WHERE type = 'negative' AND matches IS NOT NULL UNION ALL SELECT origin, 'text' FROM r WHERE type = 'provenance' AND text IS NOT NULL
+        UNION ALL SELECT origin, 'span' FROM r WHERE len(list_filter(matches, lambda m: decode(encode(text)[m.start + 1 : m."end"]) <> m.string)) > 0) GROUP BY 1, 2""",
     "gold_pred_exact_join": f"""WITH {EVAL}, {GOLD}, {PRED}, {EXACT} SELECT document, entity_id, s AS "start", e AS "end", name_id, pattern_id, found, same_identity FROM ex""",
     "overlap_range_join": f"""WITH {EVAL}, {GOLD}, {PRED} SELECT g.document, g.entity_id, g.s AS "start", g.e AS "end", p.entity_id AS p_entity, p.s AS p_start, p.e AS p_end, least(g.e, p.e) - greatest(g.s, p.s) AS shared FROM gold g JOIN (SELECT DISTINCT document, entity_id, s, e FROM pred) p ON g.document = p.document AND g.s < p.e AND p.s < g.e""",
     "interval_union_chars": f"""WITH {REC}, r AS (SELECT *, max("end") OVER (PARTITION BY document_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rec WHERE offset_unit = 'byte')
@@ -274,9 +295,9 @@ ORACLE = {
         b AS (SELECT coalesce(g.document, p.document) AS document, g.s IS NOT NULL AS ig, p.s IS NOT NULL AS ip FROM g FULL JOIN p ON g.document = p.document AND g.entity_id = p.entity_id AND g.s = p.s AND g.e = p.e),
         c AS (SELECT coalesce(suite, 'none') AS suite, count(*) FILTER (ig AND ip) AS tp, count(*) FILTER (NOT ig AND ip) AS fp, count(*) FILTER (ig AND NOT ip) AS fn FROM b JOIN eval_records ON document = eval_id GROUP BY 1)
         SELECT suite, tp, fp, fn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(tp * 2 / nullif(tp * 2 + fp + fn, 0), 6) AS f1 FROM c""",
-    "annotation_difference": f"""WITH {DETECTORS}, {REC}, a AS (SELECT DISTINCT document_id, entity_id, "start" AS s, "end" AS e FROM rec WHERE offset_unit = 'byte'), b AS (SELECT DISTINCT 'document_' || doc_id AS document_id, entity_id, CAST(bs AS BIGINT) AS s, CAST(be AS BIGINT) AS e FROM won)
+    "annotation_difference": f"""WITH {DETECTORS}, {REC}, a AS (SELECT DISTINCT document_id, entity_id, "start" AS s, "end" AS e FROM rec WHERE offset_unit = 'byte' UNION SELECT document_id, entity_id, strlen(substring(text, 1, "start")), strlen(substring(text, 1, "end")) FROM rec JOIN documents ON document_id = 'document_' || doc_id WHERE offset_unit = 'char' AND text IS NOT NULL), b AS (SELECT DISTINCT 'document_' || doc_id AS document_id, entity_id, CAST(bs AS BIGINT) AS s, CAST(be AS BIGINT) AS e FROM won)
         SELECT document_id, entity_id, s AS "start", e AS "end", 'first' AS pass FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT document_id, entity_id, s, e, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
-    "catalog_qualification": f"""WITH {CLEAN}, {GOLD}, j AS (SELECT document, g.entity_id, s, e, min((priority, c.name_id, c.pattern_id)) AS m FROM gold g JOIN clean c ON g.entity_id = c.entity_id AND lower(g.string) = lower(c.value) WHERE entity_status = 'active' AND name_status = 'active' AND status = 'active' AND kind = 'literal' GROUP BY 1, 2, 3, 4)
+    "catalog_qualification": f"""WITH {DETECTORS}, {GOLD}, j AS (SELECT document, g.entity_id, s, e, min((priority, d.name_id, d.pattern_id)) AS m FROM gold g JOIN det d ON g.entity_id = d.entity_id AND CASE WHEN kind = 'literal' THEN lower(g.string) = lower(value) ELSE regexp_full_match(g.string, rx) END GROUP BY 1, 2, 3, 4)
         SELECT document, entity_id, s AS "start", e AS "end", m[2] AS name_id, m[3] AS pattern_id FROM j""",
     "audit_sample": f"""WITH {REC}, k AS (SELECT *, concat_ws('|', document_id, name_id, pattern_id, "start", offset_unit) AS k FROM rec) SELECT document_id, entity_id, pattern_id, "start" FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY sha256(k), k) AS n FROM k) WHERE n <= 20""",
     "agreement_audit": "SELECT eval_id, type FROM eval_records ORDER BY sha256(CAST(eval_id AS VARCHAR)), CAST(eval_id AS VARCHAR) LIMIT (SELECT CAST(ceil(count(*) * 0.2) AS BIGINT) FROM eval_records)",

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 #: Rows that a dimension may have and still be broadcast by name (about 20 MB of bank patterns or mailboxes).
 BROADCAST_ROWS = 100_000
@@ -46,6 +46,16 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def ranked(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
+    """df with its rank (from 1) in the order of the columns, which tell all rows apart. No task holds all rows: they are
+    spread by ranges, ranked within a range, and the sizes of the ranges (one row a partition) are summed up."""
+    spread = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = spread.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
+    before = sizes.select("_range", F.coalesce(F.sum("_size").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return spread.withColumn("_inside", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -319,3 +319,64 @@ def test_streams(spark, tmp_path):
     once = streaming.distinct_stream(streaming.read_parquet(spark, str(tmp_path / "e")), ["k"], "ts", "1 day")
     streaming.run_to_parquet(once, str(tmp_path / "o"), str(tmp_path / "c2"))
     assert spark.read.parquet(str(tmp_path / "o")).count() == 2
+
+
+def test_share_of_hashes_is_exact_over_buckets_and_with_repeated_rows(spark, monkeypatch):
+    import hashlib
+
+    from bankspark.operators import quality as Q
+
+    monkeypatch.setattr(Q, "LAST_BUCKET", 3)
+    keys = [str(i % 700) for i in range(1000)]
+    want = sorted(keys, key=lambda k: (hashlib.sha256(k.encode()).hexdigest(), k))
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    for share in (0.0, 0.2, 0.5001, 1.0):
+        n = -(-int(1000 * share * 10**9) // 10**9)
+        assert sorted(r.k for r in Q.share_of_hashes(df, F.col("k"), share).collect()) == sorted(want[:n])
+    assert Q.share_of_hashes(df.limit(0), F.col("k"), 0.5).count() == 0
+    assert "TakeOrdered" not in Q.share_of_hashes(df, F.col("k"), 0.2).where("k > ''")._jdf.queryExecution().optimizedPlan().toString().split("Union")[0]
+
+
+def test_ranks_by_ranges_are_those_of_one_sort(spark):
+    from bankspark.runtime import ranked
+
+    values = [(i * 7919 % 1009, f"v{i}") for i in range(1500)]
+    out = ranked(spark.createDataFrame(values, "a long, b string").repartition(7), "a", "b").collect()
+    assert [(r.a, r.b) for r in sorted(out, key=lambda r: r.n)] == sorted(values) and sorted(r.n for r in out) == list(range(1, 1501))
+    assert ranked(spark.createDataFrame([], "a long, b string"), "a", "b").count() == 0
+
+
+def test_similar_texts_equal_brute_force(spark):
+    import random
+
+    from bankspark.operators import corpus as C
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    base = [[rng.choice(words) for _ in range(rng.choice((3, 5, 40, 90)))] for _ in range(12)]
+    texts = []
+    for b in base:
+        for _ in range(6):
+            t = list(b)
+            for _ in range(rng.randint(0, 1)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t))
+    texts += ["", "!!", None, texts[0], texts[0].upper(), "one", "one"]
+    grams = lambda t: frozenset(tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4)))
+    sets = {i: grams(t) for i, t in enumerate(texts) if t and t != "!!"}
+    near = lambda a, b: len(a & b) * 10 >= len(a | b) * 8
+    group = {i: i for i in sets}
+
+    def root(i):
+        return i if group[i] == i else root(group[i])
+
+    for i in sets:
+        for j in sets:
+            if i < j and near(sets[i], sets[j]):
+                a, b = sorted((root(i), root(j)))
+                group[b] = a
+    links = {i: len({s for s in sets.values() if s != sets[i] and near(s, sets[i])}) for i in sets}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("set", F.lit("clash"))
+    out = {r.node: (r["class"], r.links) for r in C.similar_classes(C.shingle_sets(df, "id", "text")).collect()}
+    assert out == {i: (root(i), links[i]) for i in sets} and max(links.values()) > 2
+    assert C.similar_classes(C.shingle_sets(df.limit(0), "id", "text")).count() == 0
