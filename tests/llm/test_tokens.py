@@ -89,3 +89,13 @@ def test_pairs_fit_exactly_if_merging_keeps_them_apart():
         pairs += [(own.ranks[text[:k]], own.ranks[text[k:]]) for k in range(1, len(text)) if text[:k] in own.ranks and text[k:] in own.ranks]
     for a, b in pairs:
         assert own.fit(a, b) == (merged(own.bytes_of[a] + own.bytes_of[b]) == [a, b])
+
+
+def test_sizes_of_pieces_are_those_of_their_own_encoding():
+    rng = random.Random(1)
+    parts = ["a", "bc", " ", "  ", "\n", "\n\n", "\t", "'s", "12", "é", "日本", "!", " ", "xyzzyq", "q" * 90]
+    for _ in range(400):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(5, 80)))
+        made = pieces.pieces_of(text, own, 12, 3)
+        assert "".join(text[a:b] for _, a, b, _, _ in made) == text
+        assert all(len(own.encode(p)) == n <= 12 for *_, n, p in made)
