@@ -311,6 +311,12 @@ def person_name(value: str | None) -> str | None:
 ROLES = {"team", "desk", "office", "support", "admin", "administrator", "info", "help", "helpdesk", "sales", "service", "services", "group", "list", "department", "dept", "company", "corporation", "ops", "dispatch", "noreply", "postmaster"}
 
 
+def cut_to(c: Column, chars: int, size: int) -> Column:
+    """At most so many characters and UTF-8 bytes, cut between characters: of the bytes up to three are left off until they are whole."""
+    raw = F.encode(F.substring(c, 1, chars), "UTF-8")
+    return F.coalesce(*[F.when(F.is_valid_utf8(F.substring(raw, 1, max(0, size - k)).cast("string")), F.substring(raw, 1, max(0, size - k)).cast("string")) for k in range(4)])
+
+
 def truncated(text: str | None, chars: int, size: int) -> str | None:
     """At most so many characters and UTF-8 bytes, cut between characters."""
     return None if text is None else text[:chars].encode("utf-8")[:size].decode("utf-8", "ignore")

@@ -63,16 +63,20 @@ def strict_json(text: str, depth: int = model.LIMITS["json_depth"]) -> Any:
     raise BankError("JSON is nested too deeply")
 
 
-def read_bank(path: str, check: bool = True) -> dict[str, Any]:
-    data = Path(path).read_bytes()
+def parse_bank(data: bytes, name: str, check: bool = True) -> dict[str, Any]:
+    """A bank from strict JSON in UTF-8, under the limit of its size; BankError if it is not valid."""
     if len(data) > model.LIMITS["bank_bytes"]:
         raise BankError("the bank is too large")
     bank = strict_json(data.decode("utf-8"))
     if check and (errors := [d for d in validate(bank) if d["severity"] == "error"]):
-        raise BankError(f"{path} is no valid bank", errors)
+        raise BankError(f"{name} is no valid bank", errors)
     return bank
 
 
+def read_bank(path: str, check: bool = True) -> dict[str, Any]:
+    return parse_bank(Path(path).read_bytes(), path, check)
+
+
 # --- checks -----------------------------------------------------------------------------------------------
 
 

@@ -115,6 +115,17 @@ def save_config(config: dict[str, Any], path: str) -> None:
     part.replace(target)
 
 
+def read_bank_text(spark: SparkSession, path: str, check: bool = True) -> dict[str, Any]:
+    """A bank from a file of any file system that Spark reads, under the limits of a bank."""
+    from bankspark.operators.bank import parse_bank
+
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("length", "content")
+    found = files.where(F.col("length") <= model.LIMITS["bank_bytes"]).limit(2).collect()
+    if len(found) != 1:
+        raise BankError(f"{path} is not one file of a bank's size")
+    return parse_bank(bytes(found[0]["content"]), path, check)
+
+
 # --- corpus sources ----------------------------------------------------------------------------------------------
 
 
