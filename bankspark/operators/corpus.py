@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bankspark.functions import text as T
 from bankspark.operators.components import components
-from bankspark.runtime import cut
+from bankspark.runtime import broadcast_if_small, cut
 
 ROLES = ("train", "validation", "test")
 SHINGLE, LEAST_TOKENS, LEAST_SHINGLES, MOST_SHINGLES, HAMMING = 3, 12, 8, 4096, 3
@@ -203,6 +203,8 @@ def near_classes(nodes: DataFrame, hamming: int = HAMMING) -> DataFrame:
 
 #: Words of a shingle, and the least share of two texts' shingles, in ten-thousandths, that both have.
 WORDS, SIMILAR = 5, 8000
+#: Sets from which on a shingle comes last in the order of prefixes; shingles of their prefixes that similar sets have both.
+HOT, ALIKE = 50, 4
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
@@ -218,22 +220,24 @@ def shingle_sets(df: DataFrame, key: str, text: str, words: int = WORDS) -> Data
 def similar_pairs(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
     """a, b, both, either: pairs of distinct sets (set, shingles) that are similar, a < b, with the sizes of their intersection and union.
 
-    Of a set of n shingles in order of their frequency, the first n - ceil(n * similarity) + 1 hold one of any similar
-    set's; so sets are joined on these rarest shingles only, with sizes that allow the similarity, and checked exactly.
+    Of a set of n shingles in any one order, the first n - ceil(n * similarity) + ALIKE hold ALIKE of any similar set's first
+    ones (all that both have, if those are fewer). The order is by hash, with shingles of more than HOT sets last, so that a
+    phrase of many texts is in no prefix that can do without. Sets are joined on the shingles of their prefixes, with sizes
+    that allow the similarity; pairs that have ALIKE of them are checked exactly.
     Copies are one set, so a text that a third of all rows repeat is one row here.
     """
     own = cut(sets.select("set", "shingles").dropDuplicates(["set"]))
-    each = own.select("set", F.size("shingles").alias("n"), F.explode("shingles").alias("x"))
-    often = each.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    # a shingle of one set only can join nothing, but keeps its place in the prefix
-    shared = each.join(often, "x").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("s"))
+    each = own.select("set", F.explode("shingles").alias("x"))
+    hot = cut(each.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > HOT).select("x"))
+    late = each.join(broadcast_if_small(hot), "x", "left_semi").groupBy("set").agg(F.array_sort(F.collect_list("x")).alias("late"))
     least = lambda n: F.ceil(n * similar / 10_000).cast("int")
-    alone = F.col("n") - F.size("s")
-    prefix = F.slice("s", 1, F.greatest(F.col("n") - least(F.col("n")) + 1 - alone, F.lit(0)))
-    keyed = cut(shared.select("set", "n", F.explode(prefix).alias("p")).select("set", "n", F.col("p.x").alias("x")))
+    late_too = F.coalesce("late", F.array().cast("array<long>"))
+    ordered = own.join(late, "set", "left").select("set", F.size("shingles").alias("n"), F.concat(F.array_except("shingles", late_too), late_too).alias("s"))
+    keyed = cut(ordered.select("set", "n", F.explode(F.slice("s", 1, F.col("n") - least(F.col("n")) + F.least(F.lit(ALIKE), least(F.col("n"))))).alias("x")))
     other = keyed.toDF("b", "m", "x")
     found = keyed.toDF("a", "n", "x").join(other, "x").where("a < b").where((F.col("n") * 10_000 >= F.col("m") * similar) & (F.col("m") * 10_000 >= F.col("n") * similar))
-    found = found.select("a", "b").distinct().join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
+    found = found.groupBy("a", "b", "n", "m").count().where(F.col("count") >= F.least(F.lit(ALIKE), least(F.greatest("n", "m"))))
+    found = found.select("a", "b").join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
     found = found.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
     return found.where(F.col("both") * 10_000 >= (F.col("total") - F.col("both")) * similar).select("a", "b", "both", (F.col("total") - F.col("both")).alias("either"))
 
