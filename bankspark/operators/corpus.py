@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bankspark.functions import text as T
 from bankspark.operators.components import components
-from bankspark.runtime import broadcast_if_small, cut
+from bankspark.runtime import broadcast_if_small, cut, spread
 
 ROLES = ("train", "validation", "test")
 SHINGLE, LEAST_TOKENS, LEAST_SHINGLES, MOST_SHINGLES, HAMMING = 3, 12, 8, 4096, 3
@@ -94,7 +94,7 @@ def multiset_hash(df: DataFrame, leaf: Column, count: Column) -> DataFrame:
 
 def features(mail: DataFrame, key: str = "row_id") -> DataFrame:
     """node, family, feature: distinct exact texts, own and referenced message ids, thread and participant together."""
-    row = mail.select(
+    row = spread(mail.select(key, "message_id", "subject", "from", "to", "cc", "bcc", "body")).select(
         F.col(key).alias("node"),
         F.nullif(T.natural(F.col("body")), F.lit("")).alias("body"),
         T.message_id(F.col("message_id")).alias("own"),
@@ -155,7 +155,7 @@ def near_features(df: DataFrame, key: str, text: str, shingle: int = SHINGLE) ->
             columns = list(zip(*out)) if out else [()] * 3
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["node", "tokens", "shingles", "simhash"])
 
-    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    rows = spread(df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")))
     return rows.mapInArrow(batches, f"node {rows.schema[0].dataType.simpleString()}, tokens long, shingles long, simhash long")
 
 
@@ -213,7 +213,7 @@ def shingle_sets(df: DataFrame, key: str, text: str, words: int = WORDS) -> Data
     Texts of fewer words have one shingle of all of them; null and wordless texts are left out."""
     w = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
-    rows = df.select(F.col(key).alias("node"), w.alias("w")).where(F.size("w") > 0).select("node", F.array_sort(F.array_distinct(grams)).alias("shingles"))
+    rows = spread(df.select(key, text)).select(F.col(key).alias("node"), w.alias("w")).where(F.size("w") > 0).select("node", F.array_sort(F.array_distinct(grams)).alias("shingles"))
     return rows.select("node", F.sha2(F.array_join(F.transform("shingles", lambda x: F.hex(x)), ""), 256).alias("set"), "shingles")
 
 

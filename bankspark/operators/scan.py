@@ -21,6 +21,7 @@ from bankspark import model
 from bankspark.model import BankError
 from bankspark.operators import bank as banks
 from bankspark.operators.patterns import compile_pattern, fold, fragment, literal_pattern, merge_flags, word_bounded
+from bankspark.runtime import spread
 
 MODES = ("entity_independent", "global_leftmost", "all_overlaps")
 
@@ -215,6 +216,7 @@ def scan_all(df: DataFrame, key: str, text: str, found: list[dict[str, Any]], mo
 
     rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     schema = f"k {rows.schema[0].dataType.simpleString()}, " + ", ".join(f"`{c}` {'long' if c in ('start', 'end') else 'string'}" for c in (*COLUMNS, "error"))
+    rows = rows if df.isStreaming else spread(rows)
     out = rows.mapInArrow(batches, schema).withColumnRenamed("k", key)
     return out.select(key, *COLUMNS[:6], F.lit(offsets).alias("offset_unit"), *COLUMNS[6:], F.create_map().cast("map<string,string>").alias("captures"), "error")
 

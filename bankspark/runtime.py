@@ -46,6 +46,13 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: an input of fewer partitions than the cluster has cores (one row group, one small file) is dealt
+    out once before work that costs far more than moving it; any other input stays where it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ranked(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
     """df with its rank (from 1) in the order of the columns, which tell all rows apart. No task holds all rows: they are
     spread by ranges, ranked within a range, and the sizes of the ranges (one row a partition) are summed up."""
