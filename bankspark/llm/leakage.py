@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from bankspark.runtime import spread
+
 #: Two fifths of the words, less the word or two that an alignment may lose at either end.
 SEED, SHARE, BLOCK_WORDS = 3, 0.38, 200_000
 #: Alignment: what a kept word adds; what a word changed, left out or put in takes off.
@@ -398,7 +400,7 @@ def spans(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, i
     """key, item_key, share, start_char, end_char: every stretch of a row that holds an item, whole or in part."""
     spark = df.sparkSession
     kind, item_kind = df.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    rows = spread(df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")))
     asked = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("e"), F.col(item_text).cast("string").alias("x"))
     # about six characters a word
     size = asked.agg(F.coalesce(F.sum(F.length("x")), F.lit(0))).first()[0]

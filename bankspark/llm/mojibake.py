@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from bankspark.runtime import broadcast_if_small, cut
+from bankspark.runtime import broadcast_if_small, cut, spread
 
 ROUNDS, DAMAGED_SHARE, SURE = 3, 0.5, 2.0
 RUN = re.compile(r"[^\x00-\x7f]+")
@@ -265,7 +265,7 @@ def fields_of(df: DataFrame, key: str, source: str, fields: list[str]) -> DataFr
 
 def find_and_repair(df: DataFrame, key: str, source: str, fields: list[str], rounds: int = ROUNDS) -> DataFrame:
     """key, field, chain, original, complete: the affected fields with their restored text; `chain` is null and `complete` false where only damage is known."""
-    texts = fields_of(df, key, source, fields)
+    texts = spread(fields_of(df, key, source, fields))
     runs = cut(texts.select("source", "field", "text").mapInArrow(_runs, "source string, field string, runs array<struct<a:string,r:string,z:string,n:long>>"))
     pairs = runs.select("source", "field").distinct()
     priors, shared = broadcast_if_small(cut(_priors(None, pairs))), None

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from bankspark.llm.names import FIRM, NICKNAMES
+from bankspark.runtime import spread
 
 TRAIN_LINES, EPOCHS, RATE, DECAY = 4000, 10, 0.3, 1e-4
 KINDS = ("email", "phone", "id_number", "street", "name")
@@ -312,8 +313,7 @@ class Field:
         """(index, transition weight) of the segments that segment i, in order of ends, stands right behind."""
         start = found[i][0]
         for j in range(bisect.bisect_left(ends, start - BESIDE), bisect.bisect_right(ends, start)):
-            if x := self.w.get(transition(line, found[j], found[i]), 0.0):
-                yield j, x
+            yield j, self.w.get(transition(line, found[j], found[i]), 0.0)
 
     def best(self, line: str) -> list[tuple[int, int, str]]:
         """The segmentation of highest score."""
@@ -325,7 +325,7 @@ class Field:
         own: list[tuple[float, int]] = []  # of each segment as the last one: score, and the one before (-1: none)
         top: list[tuple[float, int]] = [(0.0, -1)]  # of the first i segments: the best last one
         for i, (start, _, _, x) in enumerate(found):
-            score, before = top[bisect.bisect_right(ends, start, 0, i)]
+            score, before = top[bisect.bisect_left(ends, start - BESIDE, 0, i)]
             for j, t in self.behind(line, found, ends, i):
                 if own[j][0] + t > score:
                     score, before = own[j][0] + t, j
@@ -514,7 +514,7 @@ def find(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], b.schema[0].type), *(pa.array(c, pa.string()) for c in columns[1:])], ["k", "field", "kind", "value"])
 
-    rows = df.select(F.col(key).alias("k"), *[F.col(f"`{f}`").cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
+    rows = spread(df.select(F.col(key).alias("k"), *[F.col(f"`{f}`").cast("string").alias(f"f{i}") for i, f in enumerate(fields)]))
     return rows.mapInArrow(batches, f"k {rows.schema[0].dataType.simpleString()}, field string, kind string, value string").withColumnRenamed("k", key)
 
 
@@ -528,6 +528,6 @@ def redact(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
             done = [pa.array([t if not t else redacted(field, t) for t in c.to_pylist()], pa.string()) for c in b.columns[1:]]
             yield pa.RecordBatch.from_arrays([b.column(0), *done], ["k", *[f"f{i}" for i in range(len(fields))]])
 
-    rows = df.select(F.col(key).alias("k"), *[F.col(f"`{f}`").cast("string").alias(f"f{i}") for i, f in enumerate(fields)])
+    rows = spread(df.select(F.col(key).alias("k"), *[F.col(f"`{f}`").cast("string").alias(f"f{i}") for i, f in enumerate(fields)]))
     schema = ", ".join([f"k {rows.schema[0].dataType.simpleString()}", *[f"f{i} string" for i in range(len(fields))]])
     return rows.mapInArrow(batches, schema).toDF(key, *fields)

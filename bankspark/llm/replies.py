@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bankspark.runtime import broadcast_if_small, cut
+from bankspark.runtime import broadcast_if_small, cut, spread
 
 QUOTED = re.compile(r"\s*(?:>|\|(?:\s|$)|[A-Z]{1,3}>)")
 SEPARATOR = re.compile(r"\s*(?:-{2,}|={3,}|_{3,}|\*(?:\s?\*)+|~{3,}|#{3,}|\+{3,})\s*$")
@@ -195,7 +195,7 @@ def new_lines(df: DataFrame, key: str, body: str, sender: Column, message: Colum
     last = F.lit("9999-12-31").cast("timestamp")
     alone = F.xxhash64(F.lit("row"), F.col(key))  # a row without a sender or message id is one of its own
     mail = df.where(F.col(body).isNotNull()).select(F.col(key).alias("k"), F.coalesce(F.when(sender.isNotNull(), F.xxhash64(sender)), alone).alias("s"), F.coalesce(F.when(F.trim(message) != "", F.xxhash64(message)), alone).alias("m"), F.unix_micros(F.coalesce(when.cast("timestamp"), last)).alias("t"), F.col(body).cast("string").alias("b"))
-    layout = cut(mail.mapInArrow(_layout, f"k {kind}, s long, m long, t long, lines array<struct<n:int,h:long,w:int,closing:boolean,prints:array<long>>>, separators array<struct<n:int,above:long,below:long,below_n:int>>"))
+    layout = cut(spread(mail).mapInArrow(_layout, f"k {kind}, s long, m long, t long, lines array<struct<n:int,h:long,w:int,closing:boolean,prints:array<long>>>, separators array<struct<n:int,above:long,below:long,below_n:int>>"))
     lines = layout.select("k", "s", "m", "t", F.size("lines").alias("total"), F.posexplode("lines").alias("o", "x")).select("k", "s", "m", "t", "total", "o", "x.*")
 
     # closings: lines that many senders share, counted over distinct pairs of line and sender; of each sender's lines at

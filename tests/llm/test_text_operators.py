@@ -285,7 +285,8 @@ def test_expectations_are_probabilities_and_equal_enumeration():
 def test_best_is_the_segmentation_of_highest_score(monkeypatch):
     rng = random.Random(6)
     for _ in range(50):
-        found = [(s, s + rng.randint(1, 5), rng.choice("xy"), (f"f{i}",)) for i, s in enumerate(sorted(rng.randint(0, 14) for _ in range(7)))]
+        spans = sorted({(s, s + rng.randint(1, 5), rng.choice("xy")) for s in (rng.randint(0, 14) for _ in range(7))})
+        found = [(*span, (f"f{i}",)) for i, span in enumerate(spans)]
         field = pii.Field({f"f{i}": rng.uniform(-1, 2) for i in range(7)} | {f"{a}>{b}:": rng.uniform(-2, 2) for a in "xy" for b in "xy"})
         monkeypatch.setattr(pii, "candidates", lambda line: found)
         line = ""  # what is between is empty: each transition has one weight
