@@ -46,6 +46,57 @@ def one_line(c: Column) -> Column:
     return F.trim(F.regexp_replace(natural(c), "\\s+", " "))
 
 
+# --- parts of a mail's body ---------------------------------------------------------------------------------
+
+#: Headings of an earlier message; names of the fields of its header and how far they reach; devices and
+#: programs of closing lines; beginnings of notices; the lines from the end among which signatures and templates open.
+HEADINGS = r"(?i)^\s*(?:-{2,}\s*original message\s*-{2,}|(?:-{2,}\s*)?(?:begin\s+)?forwarded message(?::|\s*-{2,})?)\s*$"
+FIELDS, FIELD_LINES = ("from", "sent", "date", "to", "cc", "subject"), 10
+ATTRIBUTION, QUOTE, RULE = r"(?i)^\s*on\s+.{1,240}\s+wrote:\s*$", r"^\s*>", r"^\s*(?:_{8,}|-{8,})\s*$"
+SENT_FROM, OUTLOOK_FOR, MAIL_FOR = ("iphone", "ipad", "android", "mobile device"), ("ios", "android"), ("windows",)
+NOTICES = r"confidentiality notice:|this (?:e-?mail|message)(?: and any attachments)? (?:is|may be) confidential"
+SIGNATURE_LINES, TEMPLATE_LINES = 16, 30
+
+
+def _over_lines(body: Column, f) -> Column:
+    """f of the lines of a body, which are split once: inside a lambda they are a variable, not an expression to be done again."""
+    return F.get(F.transform(F.array(F.split(body, "\n", -1)), f), F.lit(0))
+
+
+def current_body(body: Column) -> Column:
+    """What stands before earlier messages, without quoted lines and attributions, in natural layout.
+
+    An earlier message opens at its heading, or at a rule above a header with a sender, a date and an addressee or subject.
+    The body has natural layout already; where nothing is taken out it stays as it is."""
+    field = rf"(?:{'|'.join(FIELDS)}):[ \t]*\S[^\n]*(?:\n[ \t][^\n]*)*"
+    header = lambda lines, i: F.regexp_extract(F.array_join(F.slice(lines, i + 2, FIELD_LINES), "\n"), rf"(?i)^{field}(?:\n{field})*", 0)
+    has = lambda h, *names: h.rlike(rf"(?im)^(?:{'|'.join(names)}):")
+    earlier = lambda h: has(h, "from") & has(h, "sent", "date") & has(h, "to", "subject")
+
+    def kept(lines: Column) -> Column:
+        opens = F.array_min(F.transform(lines, lambda x, i: F.when(x.rlike(HEADINGS), i).when(x.rlike(RULE), F.when(earlier(header(lines, i)), i))))
+        own = F.filter(F.slice(lines, F.lit(1), F.coalesce(opens, F.size(lines))), lambda x: ~x.rlike(QUOTE) & ~x.rlike(ATTRIBUTION))
+        return F.when(F.size(own) < F.size(lines), F.array_join(own, "\n"))
+
+    left = _over_lines(body, kept)  # null where all lines stay
+    return F.when(left.isNull(), body).otherwise(natural(left))
+
+
+def core_body(current: Column) -> Column:
+    """The current body before its signature (a line `--` with text below, not the first line) or closing template, whichever is first."""
+    ends = lambda words: f"(?:{'|'.join(words)})"
+    device = rf"(?i)^(?:sent from my {ends(SENT_FROM)}|get outlook for {ends(OUTLOOK_FOR)}|sent from mail for {ends(MAIL_FOR)})\.?$"
+
+    def kept(lines: Column) -> Column:
+        signs = lambda x, i: (x == "--") & (i >= F.greatest(F.lit(1), F.size(lines) - SIGNATURE_LINES)) & F.exists(F.slice(lines, i + 2, F.size(lines)), lambda y: y != "")
+        closes = lambda x, i: (i >= F.size(lines) - TEMPLATE_LINES) & (x.rlike(device) | x.rlike(f"(?i)^(?:{NOTICES})"))
+        first = F.array_min(F.transform(lines, lambda x, i: F.when(signs(x, i) | closes(x, i), i)))
+        return F.when(first.isNotNull(), F.array_join(F.slice(lines, F.lit(1), first), "\n"))
+
+    left = _over_lines(current, kept)
+    return F.when(left.isNull(), current).otherwise(natural(left))
+
+
 #: Fixed value: the largest size of each bucket in bytes: none, then from one byte less than 256 on fourfold up to a mebibyte.
 SIZE_BOUNDS = (0, *(4**k - 1 for k in range(4, 11)))
 
@@ -269,32 +320,6 @@ def visible_body(text: str | None) -> str | None:
     return re.sub("\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
 
 
-REPLY = re.compile(r"^(?:>|\|)|^-{2,}\s*(?:original message|forwarded)|^(?:on|am|le)\b.*(?:wrote|schrieb|écrit)\b.*:$|^begin forwarded message", re.I)
-
-
-def current_body(text: str | None) -> str | None:
-    """The visible body before the first mark of an earlier message."""
-    if text is None:
-        return None
-    kept = []
-    for line in text.split("\n"):
-        if REPLY.match(line.strip()):
-            break
-        kept.append(line)
-    return "\n".join(kept).strip("\n")
-
-
-def core_body(text: str | None) -> str | None:
-    """The current body without a signature: from a `--` line among its last 16 lines on."""
-    if text is None:
-        return None
-    lines = text.split("\n")
-    for i in range(max(0, len(lines) - 16), len(lines)):
-        if lines[i].strip() == "--":
-            return "\n".join(lines[:i]).strip("\n")
-    return text
-
-
 def person_name(value: str | None) -> str | None:
     """"Last, First" turned round, NFKC, 2 to 8 words of letters without words of roles; null otherwise."""
     if not value:
@@ -332,7 +357,7 @@ def _udf(f, kind: str = "string"):
 
 def udfs() -> dict:
     """Arrow-batched UDFs by name, made when a session is there."""
-    return {f.__name__: _udf(f) for f in (grouping_text, thread_subject, header_text, html_text, mime_text, visible_body, current_body, core_body, person_name)}
+    return {f.__name__: _udf(f) for f in (grouping_text, thread_subject, header_text, html_text, mime_text, visible_body, person_name)}
 
 
 def assignment_digest(scope: str, entity: str, value: str) -> str:

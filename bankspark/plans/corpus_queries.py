@@ -223,8 +223,15 @@ def body_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible, current and core view of every body: their lengths."""
     u = T.udfs()
     rows = _mail(spark, sf_dir).where("body is not null").select("row_id", u["visible_body"](F.col("body")).alias("v"))
-    rows = rows.select("row_id", "v", u["current_body"](F.col("v")).alias("c"))
-    return rows.select("row_id", F.length("v").alias("visible"), F.length("c").alias("current"), F.length(u["core_body"](F.col("c"))).alias("core"))
+    rows = rows.select("row_id", "v", T.current_body(F.col("v")).alias("c"))
+    return rows.select("row_id", F.length("v").alias("visible"), F.length("c").alias("current"), F.length(T.core_body(F.col("c"))).alias("core"))
+
+
+def body_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current and core part of every body in natural layout, by digest and length."""
+    rows = _mail(spark, sf_dir).where("body is not null").select("row_id", T.current_body(T.natural(F.col("body"))).alias("c"))
+    rows = rows.select("row_id", "c", T.core_body(F.col("c")).alias("core"))
+    return rows.select("row_id", F.sha2("c", 256).alias("current"), F.sha2("core", 256).alias("core"), F.length("core").alias("chars"))
 
 
 def thread_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +249,7 @@ def prepared_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail.select("row_id", "date").join(at, "row_id", "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-_ALL = (source_rejections, distinct_records, dup_histogram, exact_dup_groups, document_dup_groups, feature_availability, corpus_multiset_hash, message_refs_union, thread_participants, near_dup_classes, near_dup_pairs, near_dup_budget, similar_documents, similar_bodies, leakage_components, leakage_edge_families, temporal_split, hash_split, order_time_split, allocation_audit, leakage_audit, identity_recurrence, cohort_counters, customer_frequency_cohorts, stratified_sample, hamilton_quotas, group_representative, size_buckets, mailbox_folders, natural_layout, body_views, thread_subjects, prepared_dates)
+_ALL = (source_rejections, distinct_records, dup_histogram, exact_dup_groups, document_dup_groups, feature_availability, corpus_multiset_hash, message_refs_union, thread_participants, near_dup_classes, near_dup_pairs, near_dup_budget, similar_documents, similar_bodies, leakage_components, leakage_edge_families, temporal_split, hash_split, order_time_split, allocation_audit, leakage_audit, identity_recurrence, cohort_counters, customer_frequency_cohorts, stratified_sample, hamilton_quotas, group_representative, size_buckets, mailbox_folders, natural_layout, body_views, body_segments, thread_subjects, prepared_dates)
 QUERIES = {f.__name__: f for f in _ALL}
 
 SIZE = "CASE WHEN b <= 0 THEN '0' WHEN b <= 255 THEN '1-255' WHEN b <= 1023 THEN '256-1023' WHEN b <= 4095 THEN '1024-4095' WHEN b <= 16383 THEN '4096-16383' WHEN b <= 65535 THEN '16384-65535' WHEN b <= 262143 THEN '65536-262143' WHEN b <= 1048575 THEN '262144-1048575' ELSE '1048576+' END"
@@ -309,6 +316,17 @@ RECURRING = f"""{ROLED}, known AS (SELECT p, count(DISTINCT g) AS n FROM people
   per AS (SELECT row_id, count(*) AS identities, count(*) FILTER (coalesce(n, 0) > 0) AS k, array_to_string(list_sort(list(DISTINCT CASE WHEN coalesce(n, 0) = 0 THEN 'novel' WHEN n = 1 THEN 'tail' WHEN n < 10 THEN 'mid' ELSE 'head' END)), ',') AS frequencies FROM people LEFT JOIN known USING (p) GROUP BY 1),
   rec AS (SELECT row_id, CASE WHEN identities IS NULL THEN 'unavailable' WHEN k = identities THEN 'all_known' WHEN k = 0 THEN 'all_novel' ELSE 'mixed' END AS recurrence, coalesce(identities, 0) AS identities, coalesce(frequencies, '') AS frequencies FROM enron_preparation LEFT JOIN per USING (row_id))"""
 FOLDER = r"""CASE WHEN regexp_matches(f, '^inbox|_inbox$') THEN 'inbox' WHEN f LIKE '%sent%' THEN 'sent' WHEN regexp_matches(f, 'deleted|trash') THEN 'deleted' WHEN regexp_matches(f, 'all_documents|archive|old_mail|^[0-9]{4}$') THEN 'archive' WHEN f IS NOT NULL THEN 'other' ELSE 'unavailable' END"""
+FIELD = r"(?:from|sent|date|to|cc|subject):[ \t]*\S[^\n]*(?:\n[ \t][^\n]*)*"
+SEGMENTS = rf"""nb AS (SELECT row_id, {NATURAL.format(c='body')} AS b FROM enron_preparation WHERE body IS NOT NULL), nl AS (SELECT row_id, b, string_split(b, chr(10)) AS l FROM nb),
+  nh AS (SELECT *, list_transform(range(1, len(l) + 1), lambda i: regexp_extract(array_to_string(l[i + 1:i + 10], chr(10)), '(?i)^{FIELD}(?:\n{FIELD})*')) AS h FROM nl),
+  np AS (SELECT *, coalesce(list_min(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '(?i)^\s*(?:-{{2,}}\s*original message\s*-{{2,}}|(?:-{{2,}}\s*)?(?:begin\s+)?forwarded message(?::|\s*-{{2,}})?)\s*$')
+    OR (regexp_matches(l[i], '^\s*(?:_{{8,}}|-{{8,}})\s*$') AND regexp_matches(h[i], '(?im)^from:') AND regexp_matches(h[i], '(?im)^(?:sent|date):') AND regexp_matches(h[i], '(?im)^(?:to|subject):')))), len(l) + 1) AS stop FROM nh),
+  nk AS (SELECT row_id, b, l, list_filter(l[1:stop - 1], lambda x: NOT regexp_matches(x, '^\s*>') AND NOT regexp_matches(x, '(?i)^\s*on\s+.{{1,240}}\s+wrote:\s*$')) AS kept FROM np),
+  nj AS (SELECT row_id, b, len(kept) = len(l) AS same, array_to_string(kept, chr(10)) AS j FROM nk), nc AS (SELECT row_id, CASE WHEN same THEN b ELSE {NATURAL.format(c='j')} END AS c FROM nj), nm AS (SELECT row_id, c, string_split(c, chr(10)) AS l FROM nc),
+  ns AS (SELECT row_id, c, l, list_min(list_filter(range(1, len(l) + 1), lambda i: (i >= greatest(2, len(l) - 15) AND l[i] = '--' AND len(list_filter(l[i + 1:], lambda x: x <> '')) > 0)
+    OR (i >= len(l) - 29 AND (regexp_matches(l[i], '(?i)^(?:sent from my (?:iphone|ipad|android|mobile device)|get outlook for (?:ios|android)|sent from mail for windows)\.?$') OR regexp_matches(l[i], '(?i)^(?:confidentiality notice:|this (?:e-?mail|message)(?: and any attachments)? (?:is|may be) confidential)'))))) AS at_ FROM nm),
+  nt AS (SELECT row_id, c, at_, array_to_string(l[1:at_ - 1], chr(10)) AS j FROM ns), nx AS (SELECT row_id, c, CASE WHEN at_ IS NULL THEN c ELSE {NATURAL.format(c='j')} END AS core FROM nt)"""
+ORACLE["body_segments"] = f"WITH {SEGMENTS} SELECT row_id, sha256(c) AS current, sha256(core) AS core, CAST(length(core) AS INTEGER) AS chars FROM nx"
 ORACLE |= {
     "similar_documents": f"WITH RECURSIVE {similar_sql('documents', 'doc_id', 'text')} SELECT k AS doc_id, class, links FROM sim",
     "similar_bodies": f"WITH RECURSIVE {similar_sql('enron_preparation', 'row_id', 'body')} SELECT k AS row_id, class, links FROM sim",

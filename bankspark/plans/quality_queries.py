@@ -316,6 +316,9 @@ NAMED = MINED.replace("ev AS (", r"""shown AS (SELECT *, trim(regexp_replace(reg
 CURATED = f"""{NAMED}, why AS (SELECT *, CASE WHEN kind = 'display_name' AND owners > 1 THEN 'ambiguous_owner' WHEN documents < 3 THEN 'few_documents' WHEN groups < 2 THEN 'few_groups' END AS why FROM ev),
   cur AS (SELECT kind, candidate, groups, documents, CASE WHEN why IS NOT NULL OR n > 600 THEN 'rejected' WHEN n <= 200 THEN 'active' ELSE 'draft' END AS decision, coalesce(why, CASE WHEN n > 600 THEN 'over_capacity' ELSE 'supported' END) AS reason
     FROM (SELECT *, row_number() OVER (PARTITION BY kind, why IS NULL ORDER BY groups DESC, documents DESC, candidate) AS n FROM why))"""
+ORACLE["sender_aliases"] = rf"""WITH a AS (SELECT row_id, "from" AS v, body, lower(regexp_extract("from", '{ADDRESS}')) AS address FROM enron_preparation), b AS (SELECT row_id, address, body, list_filter(regexp_split_to_array(split_part(address, '@', 1), '[._-]+'), lambda p: p <> '') AS parts FROM a WHERE address <> '' AND trim(v, ' ') = regexp_extract(v, '{ADDRESS}') AND body IS NOT NULL),
+  c AS (SELECT *, string_split(split_part(body, chr(10) || '>', 1), chr(10)) AS own FROM b WHERE len(parts) BETWEEN 2 AND 4 AND len(list_filter(parts, lambda p: NOT regexp_full_match(p, '[a-z]{{2,}}'))) = 0),
+  d AS (SELECT row_id, address, regexp_extract(array_to_string(own[greatest(len(own) - 11, 1):], chr(10)), '(?i)(?:^|\W)(' || array_to_string(parts, '\s+') || ')(?:\W|$)', 1) AS alias FROM c) SELECT * FROM d WHERE alias <> ''"""
 ORACLE |= {
     "candidate_names": f"WITH {NAMED} SELECT * FROM ev WHERE kind = 'display_name'",
     "curation_decisions": f"WITH {CURATED} SELECT kind, candidate, groups, documents, decision, reason FROM cur",
