@@ -50,6 +50,40 @@ def curate(found: DataFrame, active: int = ACTIVE_CAP, draft: int = DRAFT_CAP) -
     return decided.unionByName(failed.withColumn("decision", F.lit("rejected")).withColumnRenamed("why", "reason"))
 
 
+#: The frozen policies of curation, each on top of the one before: what is active beside the curated catalog.
+ITERATIONS = (("catalog", ()), ("email_fallback", ("email",)), ("phone_fallback", ("email", "phone")))
+PHONE = r"(?:^|[^\d])(?:\+?\d[\d ().-]{7,}\d)(?:[^\d]|$)"
+
+
+def iterations(curated: DataFrame, held_out: DataFrame) -> DataFrame:
+    """iteration, labelled, found, missed, recall, fallback_hits of each policy on held-out header values (of `header_values`).
+
+    Labelled are the values with a mail address; the catalog finds those whose address is an active contact, the e-mail
+    fallback every address of its shape, the phone fallback values with a number in them, which nothing labels. The
+    catalog's side of the join has one row a contact; counts of all policies come from one pass.
+    """
+    address = F.lower(F.nullif(F.regexp_extract("value", ADDRESS, 0), F.lit("")))
+    known = curated.where("kind = 'contact' and decision = 'active'").select(F.col("candidate").alias("address"), F.lit(1).alias("known")).distinct()
+    rows = held_out.select("value", address.alias("address")).join(known, "address", "left")
+    n = rows.agg(F.count("address").alias("labelled"), F.count("known").alias("catalog"), F.count_if(F.col("value").rlike(PHONE)).alias("phones"))
+    per = [F.struct(F.lit(i).alias("no"), F.lit(name).alias("iteration"), F.col("labelled"), (F.col("labelled") if "email" in extra else F.col("catalog")).alias("found"), (F.col("phones") if "phone" in extra else F.lit(0).cast("long")).alias("fallback_hits")) for i, (name, extra) in enumerate(ITERATIONS)]
+    rows = n.select(F.explode(F.array(*per)).alias("r")).select("r.*")
+    return rows.select("no", "iteration", "labelled", "found", (F.col("labelled") - F.col("found")).alias("missed"), F.round(F.try_divide("found", "labelled"), 6).alias("recall"), "fallback_hits")
+
+
+def decisions(measured: DataFrame) -> DataFrame:
+    """The iterations with `selected` and `reason`: fail closed.
+
+    A fallback that hits values which nothing labels is refused; of the others the one that misses least is selected, the
+    earliest of equals, and only if something was labelled. Iterations are few; the window orders them, not the corpus."""
+    refused = F.col("fallback_hits") > 0
+    best = F.min(F.when(~refused & (F.col("labelled") > 0), F.struct("missed", "no"))).over(W.partitionBy(F.lit(1)))
+    rows = measured.withColumn("best", best)
+    selected = F.coalesce(F.col("no") == F.col("best.no"), F.lit(False))
+    reason = F.when(F.col("labelled") == 0, "nothing_labelled").when(refused, "no_negative_evidence").when(selected, "fewest_misses").otherwise("superseded")
+    return rows.select("iteration", "labelled", "found", "missed", "recall", "fallback_hits", selected.alias("selected"), reason.alias("reason"))
+
+
 def priorities(curated: DataFrame, base: int = 20_000) -> DataFrame:
     """kind, candidate, priority of active candidates: longest first, then by groups and value."""
     order = W.partitionBy("kind").orderBy(F.desc(F.length("candidate")), F.desc("groups"), "candidate")
