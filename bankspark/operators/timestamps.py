@@ -1,9 +1,10 @@
 """Mixed timestamp formats and time zones to one instant in UTC microseconds.
 
 Method: every text is turned into a character-class shape mask (digits keep their width, words become
-their lexical class); each distinct mask is mapped to a parser once; the rows of one mask are converted
-together with numpy, local clock times through zone transition tables read from the tz database, whose
-version is part of the table.
+their lexical class); each distinct mask is mapped to a parser once; the rows of one mask are taken apart by one
+compiled expression over an Arrow array and converted together with numpy, local clock times through zone
+transition tables read from the tz database, whose version is part of the table. No step goes row by row but the
+masks, and those once a distinct text of a batch.
 
 Defined results (`utc_us` is null in all of these)
 - null, blank or free text, a date without a time of day, an impossible date or time, 24:00 and second 60;
@@ -21,6 +22,7 @@ import functools
 import importlib.metadata
 import re
 import struct
+import unicodedata
 import zoneinfo
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
@@ -28,6 +30,8 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: Characters of the longest mask that any parser takes, and more: weekday, day, month, year, clock with nine digits of
@@ -73,28 +77,24 @@ def mask_of(text: str) -> str:
 
 
 @functools.lru_cache(4096)
-def parser_of(mask: str) -> tuple[re.Pattern, tuple[str, ...]] | None:
-    """For one mask: the pattern that takes its texts apart and the role of each group; None if no instant."""
-    number = re.fullmatch(r"-?9{1,19}(?:\.9{1,9})?", mask)
-    if number:
-        return re.compile(r"(-?\d+)(?:\.(\d+))?"), ("epoch", "epoch_frac")
-    word, day = r"[^\W\d_]+", r"\d{1,2}"
-    kinds = {"y": r"(\d{4}|\d\d)", "m": rf"({day}|{word})", "d": rf"({day})"}
-    clock = r"(\d{1,2}):(\d\d)(?::(\d\d)(?:[.,](\d{1,9}))?)?(?: ?([AaPp][Mm])(?![^\W\d_]))?"
-    zone = r"(?: ?(?:([Zz])(?![^\W\d_])|([+-]\d\d(?::?\d\d)?)|([^\W\d_]+(?:[/_][^\W\d_]+)+)|\(?([^\W\d_]+)\)?)(?: \([^)]*\))?)?"
-    roles = ("h", "mi", "s", "frac", "half")
-    zones = ("z", "off", "name", "letters")
+def parser_of(mask: str) -> str | None:
+    """For one mask: the expression that takes its texts apart into named parts; None if it is no instant's."""
+    if re.fullmatch(r"-?9{1,19}(?:\.9{1,9})?", mask):
+        return r"^(?P<epoch>-?\d+)(?:\.(?P<frac>\d+))?$"
+    word, day = r"\p{L}+", r"\d{1,2}"
+    kinds = {"y": r"(?P<y>\d{4}|\d\d)", "m": rf"(?P<m>{day}|{word})", "d": rf"(?P<d>{day})"}
+    clock = r"(?P<h>\d{1,2}):(?P<mi>\d\d)(?::(?P<s>\d\d)(?:[.,](?P<frac>\d{1,9}))?)?" + (r"(?: ?(?P<half>[AaPp][Mm]))?" if "P" in mask else "")  # no word of another class is cut
+    zones = (r"(?P<z>[Zz])|" if "Z" in mask else "") + r"(?P<off>[+-]\d\d(?::?\d\d)?)|(?P<name>\p{L}+(?:[/_]\p{L}+)+)"
+    zone = rf"(?: ?(?:{zones}|\(?(?P<letters>\p{{L}}+)\)?)(?: \([^)]*\))?)?"
     for shape, order in DATE.items():
         if re.fullmatch(rf"{shape},?[ T]T?{CLOCK}(?:{ZONE}(?: \((?:O|A)\))?)?", mask) or re.fullmatch(rf"{shape}T{CLOCK}(?:{ZONE})?", mask):
             head = rf"(?:{word}, |{word} )?" if "W" in shape else ""
-            sep = r"[-/.,\s]+"
-            return re.compile(head + sep.join(kinds[k] for k in order) + r",?[ T]" + clock + zone), (*order, *roles, *zones)
+            return f"^{head}{'[-/., ]+'.join(kinds[k] for k in order)},?[ Tt]{clock}{zone}$"
     if re.fullmatch(rf"(?:W )?M 9?9 {CLOCK}(?: (?:O|[+-]9999|Z|I))? 9999", mask):
         head = rf"{word} " if mask.startswith("W ") else ""
-        tail = r"(?: (?:([Zz])|([+-]\d{4})|([^\W\d_]+(?:[/_][^\W\d_]+)+)|([^\W\d_]+)))? (\d{4})"
-        return re.compile(head + rf"({word}) (\d{{1,2}}) " + clock + tail), ("m", "d", *roles, *zones, "y")
+        return rf"^{head}(?P<m>{word}) (?P<d>\d{{1,2}}) {clock}(?: (?:{zones}|(?P<letters>\p{{L}}+)))? (?P<y>\d{{4}})$"
     if re.fullmatch(r"9{8}T9{4}(?:99)?(?:[.,]9{1,9})?(?:Z|[+-]99:?99)?", mask):
-        return re.compile(r"(\d{4})(\d\d)(\d\d)[Tt](\d\d)(\d\d)(\d\d)?(?:[.,](\d{1,9}))?(?:([Zz])|([+-]\d\d:?\d\d))?"), ("y", "m", "d", "h", "mi", "s", "frac", "z", "off")
+        return r"^(?P<y>\d{4})(?P<m>\d\d)(?P<d>\d\d)[Tt](?P<h>\d\d)(?P<mi>\d\d)(?P<s>\d\d)?(?:[.,](?P<frac>\d{1,9}))?(?:(?P<z>[Zz])|(?P<off>[+-]\d\d:?\d\d))?$"
     return None
 
 
@@ -171,76 +171,107 @@ def local_to_utc(local_s: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray
     return np.where(fits_before, before, after), (fits_before | fits_after) & ~twice
 
 
+def plain_digits(text: str) -> str:
+    """Decimal digits of any script as ASCII."""
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
 def normalise(dates: pd.Series, homes: pd.Series) -> pd.Series:
     """UTC microseconds (nullable Int64) of date texts on the clocks of their home zones."""
     out, good = np.zeros(len(dates), np.int64), np.zeros(len(dates), bool)
-    clean = dates.str.strip().str.replace(r"\s+", " ", regex=True).fillna("")
+    codes, texts = pd.factorize(dates)  # each distinct text is looked at once; nulls are -1
+    clean = pd.Series(texts, dtype=object).str.strip().str.replace(r"\s+", " ", regex=True).map(plain_digits)
     masks = clean.map(mask_of)
     masks = masks.where(masks.str.len() <= LONGEST_MASK, "")  # a longer one is no date's
-    homes = homes.to_numpy(object)
-    for mask, at in masks.groupby(masks, sort=False).indices.items():
+    kinds, distinct = pd.factorize(masks)
+    kind = np.where(codes >= 0, kinds[codes] if len(kinds) else -1, -1)
+    clean, homes = clean.to_numpy(object), homes.to_numpy(object)
+    for k, mask in enumerate(distinct):
         parser = parser_of(mask)
         if parser is not None:
-            us, ok = _convert(parser, clean.to_numpy(object)[at], homes[at])
-            out[at], good[at] = us, ok
+            at = np.flatnonzero(kind == k)
+            out[at], good[at] = _convert(parser, clean[codes[at]], homes[at])
     return pd.Series(pd.arrays.IntegerArray(out, ~good), index=dates.index)
 
 
-def _convert(parser: tuple[re.Pattern, tuple[str, ...]], texts: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    pattern, roles = parser
+def _convert(parser: str, texts: np.ndarray, homes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(UTC microseconds, valid) of the texts of one mask."""
     n = len(texts)
-    matches = [pattern.fullmatch(t) for t in texts]
-    ok = np.array([m is not None for m in matches])
-    part = {r: np.array([m.group(i + 1) if m else None for m in matches], object) for i, r in enumerate(roles)}
-    number = lambda r: np.array([int(x) if x and x.lstrip("-").isdigit() else 0 for x in part.get(r, [None] * n)], np.int64)
-    micros = lambda r: np.array([int((x or "").ljust(6, "0")[:6]) for x in part.get(r, [None] * n)], np.int64)
-    if "epoch" in part:
-        v, frac = number("epoch"), micros("epoch_frac")
+    parts = pc.extract_regex(pa.array(texts, pa.string()), pattern=parser)
+    ok = parts.is_valid().to_numpy(zero_copy_only=False)
+    names = {f.name for f in parts.type}
+    empty = pa.nulls(n, pa.string())
+
+    def part(r: str) -> pa.Array:
+        """One part; null where the text has none."""
+        c = pc.struct_field(parts, r) if r in names else empty
+        return pc.if_else(pc.fill_null(pc.equal(c, ""), True), None, c)
+
+    integer = lambda c: pc.fill_null(pc.cast(c, pa.int64()), 0).to_numpy(zero_copy_only=False)
+    given = lambda c: c.is_valid().to_numpy(zero_copy_only=False)
+    micros = integer(pc.utf8_slice_codeunits(pc.utf8_rpad(part("frac"), 6, "0"), 0, 6))
+    if "epoch" in names:
+        text = part("epoch")
+        small = pc.fill_null(pc.less_equal(pc.utf8_length(text), 18), False)  # of 19 digits int64 holds only some: those are nanoseconds
+        v = integer(pc.if_else(small, text, None))
+        long = pc.if_else(small, None, text)
+        if long.null_count < n:
+            big = np.array([int(x) if x is not None else 0 for x in long.to_pylist()], object)
+            fits = np.array([abs(x) < 1 << 63 for x in big], bool)
+            v, ok = np.where(fits & (big != 0), np.where(fits, big, 0).astype(np.int64), v), ok & fits
         size = np.abs(v)
-        us = np.select([size < 10**11, size < 10**14, size < 10**17], [np.where(size < 10**11, v, 0) * 10**6 + frac, np.where(size < 10**14, v, 0) * 1000, v], v // 1000)
+        us = np.select([size < 10**11, size < 10**14, size < 10**17], [np.where(size < 10**11, v, 0) * 10**6 + micros, np.where(size < 10**14, v, 0) * 1000, v], v // 1000)
         return us, ok
-    y = number("y")
-    short_year = np.array([x is not None and len(x) == 2 for x in part["y"]])
-    y = np.where(short_year, np.where(y >= 70, 1900 + y, 2000 + y), y)
-    m = np.array([0 if x is None else int(x) if x.isdigit() else MONTHS.get(x.lower(), 0) for x in part["m"]], np.int64)
-    d, h, mi, s = (number(r) for r in ("d", "h", "mi", "s"))
-    if "half" in part:
-        half = np.array([(x or "").lower() for x in part["half"]], object)
-        ok &= (half == "") | ((h >= 1) & (h <= 12))
-        h = np.where(half == "am", h % 12, np.where(half == "pm", h % 12 + 12, h))
+    years = part("y")
+    y = integer(years)
+    y = np.where(pc.fill_null(pc.equal(pc.utf8_length(years), 2), False).to_numpy(zero_copy_only=False), np.where(y >= 70, 1900 + y, 2000 + y), y)
+    months = part("m")
+    written = pc.fill_null(pc.utf8_is_digit(months), False)
+    m = np.where(written.to_numpy(zero_copy_only=False), integer(pc.if_else(written, months, None)), looked_up(pc.utf8_lower(months), MONTHS, 0))
+    d, h, mi, s = (integer(part(r)) for r in ("d", "h", "mi", "s"))
+    half = pc.fill_null(pc.utf8_lower(part("half")), "")
+    am, pm = (pc.equal(half, x).to_numpy(zero_copy_only=False) for x in ("am", "pm"))
+    ok &= ~(am | pm) | ((h >= 1) & (h <= 12))
+    h = np.where(am, h % 12, np.where(pm, h % 12 + 12, h))
     ok &= (m >= 1) & (m <= 12) & (d >= 1) & (h < 24) & (mi < 60) & (s < 60) & (y >= 1) & (y <= 9999)
     month = np.where(ok, (y - 1970) * 12 + m - 1, 0).astype("datetime64[M]")
     first = month.astype("datetime64[D]").astype(np.int64)
     ok &= d <= (month + 1).astype("datetime64[D]").astype(np.int64) - first
-    local = (first + d - 1) * 86400 + h * 3600 + mi * 60 + s
-    utc, done = local.copy(), np.zeros(n, bool)
-    none = np.full(n, None, object)
-    z, off, name, letters = (part.get(r, none) for r in ("z", "off", "name", "letters"))
-    zone = homes.copy()
-    for i in np.flatnonzero(ok):
-        if z[i] is not None:
-            done[i] = True
-        elif off[i] is not None:
-            digits = off[i][1:].replace(":", "").ljust(4, "0")
-            minutes = int(digits[:2]) * 60 + int(digits[2:])
-            ok[i] &= int(digits[2:]) < 60 and minutes <= 18 * 60
-            utc[i] -= (1 if off[i][0] == "+" else -1) * minutes * 60
-            done[i] = True
-        elif name[i] is not None:
-            zone[i] = name[i]
-        elif letters[i] is not None:
-            minutes = LETTERS.get(letters[i].lower())
-            ok[i] &= minutes is not None
-            utc[i] -= (minutes or 0) * 60
-            done[i] = True
-    todo = np.flatnonzero(ok & ~done)
-    for own in {zone[i] for i in todo}:
-        at = todo[[zone[i] == own or (zone[i] is own) for i in todo]]
-        if not isinstance(own, str):
+    utc = local = (first + d - 1) * 86400 + h * 3600 + mi * 60 + s
+    # an offset outranks a name, a name outranks letters
+    z, off, name, letters = (part(r) for r in ("z", "off", "name", "letters"))
+    done = given(z)
+    by_offset = given(off) & ~done
+    digits = pc.utf8_rpad(pc.replace_substring(pc.utf8_slice_codeunits(off, 1), ":", ""), 4, "0")
+    hours, minutes = integer(pc.utf8_slice_codeunits(digits, 0, 2)), integer(pc.utf8_slice_codeunits(digits, 2, 4))
+    east = np.where(pc.fill_null(pc.starts_with(off, "+"), False).to_numpy(zero_copy_only=False), 1, -1) * (hours * 60 + minutes)
+    ok &= ~by_offset | ((minutes < 60) & (hours * 60 + minutes <= 18 * 60))
+    by_name = given(name) & ~done & ~by_offset
+    by_letters = given(letters) & ~done & ~by_offset & ~by_name
+    lettered = looked_up(pc.utf8_lower(letters), LETTERS, UNKNOWN)
+    ok &= ~by_letters | (lettered != UNKNOWN)
+    utc = utc - np.where(by_offset, east, np.where(by_letters & ok, lettered, 0)) * 60
+    todo = np.flatnonzero(ok & ~done & ~by_offset & ~by_letters)
+    zone = np.where(by_name, name.to_numpy(zero_copy_only=False), homes)[todo]
+    codes, zones = pd.factorize(zone)  # no zone is -1
+    ok[todo[codes < 0]] = False
+    for k, own in enumerate(zones):
+        at = todo[codes == k]
+        if isinstance(own, str):
+            utc[at], ok[at] = local_to_utc(local[at], own.strip())
+        else:
             ok[at] = False
-            continue
-        utc[at], ok[at] = local_to_utc(local[at], own.strip())
-    return utc * 10**6 + micros("frac"), ok
+    return utc * 10**6 + micros, ok
+
+
+UNKNOWN = 1 << 20
+
+
+def looked_up(words: pa.Array, values: dict[str, int], other: int) -> np.ndarray:
+    """The number of each word; `other` for one without and for null."""
+    place = pc.index_in(words, value_set=pa.array(list(values), pa.string()))
+    numbers = pa.array(list(values.values()), pa.int64())
+    return pc.fill_null(pc.take(numbers, place), other).to_numpy(zero_copy_only=False)
 
 
 def to_utc(df: DataFrame, key: str, date: str, home_zone: str) -> DataFrame:

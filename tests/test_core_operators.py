@@ -144,3 +144,9 @@ def test_texts_over_a_limit_come_out_as_errors_and_end_nothing(spark):
     df = spark.createDataFrame([(1, "ab ab ab"), (2, "ab"), (3, "x" * 40), (4, "ab" + "x" * 40), (5, None), (6, "")], "doc_id long, text string")
     rows = scans.scan_all(df, "doc_id", "text", found, most_bytes=20, most=2).collect()
     assert {(r.doc_id, r.error) for r in rows} == {(1, "too_many_matches"), (2, None), (3, "text_too_large"), (4, "text_too_large")} and len(rows) == 4
+
+
+@pytest.mark.parametrize("text,us", [("٢٠٠١-٠٢-٠٣ 10:11:12Z", 981195072000000), ("2001-02-03 10:11:12 America/Chicago", 981216672000000), ("2001-02-03 10:11:12 AMT", None), ("2001-02-03 10:11:12.123456789 +0130", 981189672123456), ("9223372036854775807", 9223372036854775), ("99999999999999999999", None), ("-1", -1000000)])
+def test_words_are_not_cut_and_digits_of_any_script_count(text, us):
+    got = timestamps.normalise(pd.Series([text, text], dtype=object), pd.Series([None, "Europe/Berlin"], dtype=object))
+    assert [None if x is pd.NA else int(x) for x in got] == [us, us]
