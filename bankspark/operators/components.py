@@ -34,16 +34,18 @@ def components(df: DataFrame, key: str, links: dict[str, Column]) -> DataFrame:
     edges = cut(own.where(F.size("lows") > 1).select(F.element_at("lows", 1).alias("b"), F.explode(F.slice("lows", F.lit(2), F.size("lows"))).alias("a")).distinct())
     roots = own.select("row", F.element_at("lows", 1).alias("group"))
     moved = None
-    for _ in range(64):
+    for turn in range(64):
         n = edges.count()
         if not n:
             break
-        together = (lambda d: d.coalesce(1)) if n <= FEW_EDGES else (lambda d: d)
+        # merge joins of two single partitions need neither shuffle nor broadcast
+        together = (lambda d: d.coalesce(1).hint("merge")) if n <= FEW_EDGES else (lambda d: d)
         edges = together(edges)
         parent = hook(edges, together)
         up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
         moved = parent if moved is None else together(moved.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent")).union(parent))
-        moved = together(cut(moved))
+        if turn % 8 == 7:
+            moved = together(cut(moved))
         edges = edges.join(parent.withColumnsRenamed({"node": "a", "parent": "pa"}), "a").join(parent.withColumnsRenamed({"node": "b", "parent": "pb"}), "b", "left")
         edges = cut(edges.select(F.greatest("pa", F.coalesce("pb", "b")).alias("a"), F.least("pa", F.coalesce("pb", "b")).alias("b")).where("a <> b").distinct())
     else:
@@ -58,10 +60,17 @@ def hook(edges: DataFrame, together=lambda d: d) -> DataFrame:
     both = together(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")).where("parent < node")
     for _ in range(64):
+        # a parent that moves again in the second of two jumps may move further
         parent = together(cut(parent))
-        up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        jumped = parent.join(up, "parent", "left")
-        if jumped.where("grand is not null").isEmpty():
-            return parent
-        parent = jumped.select("node", F.coalesce("grand", "parent").alias("parent"))
+        once = jump(parent, parent)
+        parent = together(cut(jump(once.select("node", "parent"), parent)))
+        if parent.where("moves").isEmpty():
+            return parent.select("node", "parent")
+        parent = parent.select("node", "parent")
     raise RuntimeError("the parents did not settle in 64 rounds")
+
+
+def jump(parent: DataFrame, known: DataFrame) -> DataFrame:
+    """node, parent, moves: every parent's own parent where it has one."""
+    up = known.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
+    return parent.join(up, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent"), F.col("grand").isNotNull().alias("moves"))
