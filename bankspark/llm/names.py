@@ -172,8 +172,8 @@ def link(df: DataFrame, one: str, many: str) -> DataFrame:
 
     # parts that addresses confirm, and given names by their partners
     local = F.regexp_replace(F.substring_index("address", "@", 1), r"[^\p{L}]", "")
-    shown = seen.join(names, "spelling").where("kind in ('person', 'firm')")
-    confirmed = shown.where("address is not null").select(F.explode("parts").alias("part"), local.alias("local")).where(F.expr("contains(local, part)")).select("part")
+    at = cut(seen.where("address is not null").join(names, "spelling").select("spelling", "address", "n", "kind", "parts"))
+    confirmed = at.where("kind in ('person', 'firm')").select(F.explode("parts").alias("part"), local.alias("local")).where(F.expr("contains(local, part)")).select("part")
     persons = names.where("kind = 'person' and size(parts) = 2").select(F.col("parts")[0].alias("a"), F.col("parts")[1].alias("b")).distinct()
     both = cut(persons.union(persons.select("b", "a")))
     partners = both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(F.col("a").alias("part"), "n")
@@ -211,8 +211,8 @@ def link(df: DataFrame, one: str, many: str) -> DataFrame:
     heads = longer.join(shorter, "k").select("spelling", F.concat(F.lit("firm|"), "k").alias("k"))
 
     # one address, if the names agree with the one most often shown there
-    top = seen.where("address is not null").join(names, "spelling").groupBy("address").agg(F.max_by(F.col("parts"), F.struct(F.col("kind").isin("person", "firm"), "n", "spelling")).alias("lead"))
-    at = seen.where("address is not null").join(names, "spelling").join(top, "address")
+    top = at.groupBy("address").agg(F.max_by(F.col("parts"), F.struct(F.col("kind").isin("person", "firm"), "n", "spelling")).alias("lead"))
+    at = at.join(top, "address")
     agree = F.exists("parts", lambda p: F.exists("lead", lambda q: one_error(p, q) | (p == q)))
     same = at.where(agree).select("spelling", F.concat(F.lit("at|"), F.col("address")).alias("k"))
 
@@ -221,17 +221,18 @@ def link(df: DataFrame, one: str, many: str) -> DataFrame:
 
     # initials and nicknames: the only correspondent of that family whose given name fits
     full = names.where("kind = 'person' and size(parts) = 2").join(first, "spelling").select("entity", F.explode(F.array(F.struct(F.col("parts")[0].alias("given"), F.col("parts")[1].alias("family")), F.struct(F.col("parts")[1].alias("given"), F.col("parts")[0].alias("family")))).alias("n"))
-    full = full.select("entity", "n.given", "n.family").distinct()
-    short = names.where("kind in ('initial', 'nick')").join(first, "spelling").select("spelling", "kind", F.col("parts")[0].alias("family"), "alternatives")
+    full = cut(full.select("entity", "n.given", "n.family").distinct())
+    short = names.where("kind in ('initial', 'nick')").select("spelling", "kind", F.col("parts")[0].alias("family"), "alternatives")
     fits = F.when(F.col("kind") == "nick", F.array_contains("alternatives", F.col("given"))).otherwise(F.col("given").startswith(F.col("alternatives")[0]))
-    bearers = short.join(full, "family").where(fits).groupBy("spelling").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("entity")).where("n = 1")
+    fitting = cut(short.join(full, "family").where(fits).select("spelling", "entity").distinct())
+    bearers = fitting.groupBy("spelling").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("entity")).where("n = 1")
     # a nickname before a family name with a typing error
     unknown = short.where("kind = 'nick'").join(bearers.select("spelling"), "spelling", "left_anti").select("spelling", F.col("family").alias("typed"), F.explode("alternatives").alias("given"))
     bent = unknown.join(full, "given").where(one_error(F.col("typed"), F.col("family")) & (F.length("typed") >= LEAST_PART))
     bent = bent.groupBy("spelling").agg(F.countDistinct("entity").alias("n"), F.min("entity").alias("entity")).where("n = 1")
     bearers = cut(bearers.union(bent.select(*bearers.columns)))
     # short forms alike, without a full one
-    alike = short.where("kind = 'initial'").join(bearers.select("spelling"), "spelling", "left_anti").join(short.join(full, "family").where(fits).select("spelling").distinct(), "spelling", "left_anti")
+    alike = short.where("kind = 'initial'").join(bearers.select("spelling"), "spelling", "left_anti").join(fitting.select("spelling").distinct(), "spelling", "left_anti")
     alike = alike.select("spelling", F.concat_ws("|", F.lit("initial"), "family", F.col("alternatives")[0]).alias("k"))
     # correspondents, not spellings, are joined now: only those that a short form touches
     more = bearers.select("spelling", F.concat(F.lit("short|"), "entity").alias("k")).union(alike).join(first, "spelling").select("entity", "k")
