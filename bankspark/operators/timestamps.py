@@ -76,23 +76,27 @@ def mask_of(text: str) -> str:
     return re.sub(r"\d", "9", WORD.sub(word_class, text))
 
 
+#: Where a mask has a word, what no other part of a date is.
+WORD_PART = r"[^\d\s/_(),.:+-]+"
+
+
 @functools.lru_cache(4096)
 def parser_of(mask: str) -> str | None:
     """For one mask: the expression that takes its texts apart into named parts; None if it is no instant's."""
     if re.fullmatch(r"-?9{1,19}(?:\.9{1,9})?", mask):
         return r"^(?P<epoch>-?\d+)(?:\.(?P<frac>\d+))?$"
-    word, day = r"\p{L}+", r"\d{1,2}"
+    word, day = WORD_PART, r"\d{1,2}"
     kinds = {"y": r"(?P<y>\d{4}|\d\d)", "m": rf"(?P<m>{day}|{word})", "d": rf"(?P<d>{day})"}
     clock = r"(?P<h>\d{1,2}):(?P<mi>\d\d)(?::(?P<s>\d\d)(?:[.,](?P<frac>\d{1,9}))?)?" + (r"(?: ?(?P<half>[AaPp][Mm]))?" if "P" in mask else "")  # no word of another class is cut
-    zones = (r"(?P<z>[Zz])|" if "Z" in mask else "") + r"(?P<off>[+-]\d\d(?::?\d\d)?)|(?P<name>\p{L}+(?:[/_]\p{L}+)+)"
-    zone = rf"(?: ?(?:{zones}|\(?(?P<letters>\p{{L}}+)\)?)(?: \([^)]*\))?)?"
+    zones = (r"(?P<z>[Zz])|" if "Z" in mask else "") + r"(?P<off>[+-]\d\d(?::?\d\d)?)|" + rf"(?P<name>{word}(?:[/_]{word})+)"
+    zone = rf"(?: ?(?:{zones}|\(?(?P<letters>{word})\)?)(?: \([^)]*\))?)?"
     for shape, order in DATE.items():
         if re.fullmatch(rf"{shape},?[ T]T?{CLOCK}(?:{ZONE}(?: \((?:O|A)\))?)?", mask) or re.fullmatch(rf"{shape}T{CLOCK}(?:{ZONE})?", mask):
             head = rf"(?:{word}, |{word} )?" if "W" in shape else ""
             return f"^{head}{'[-/., ]+'.join(kinds[k] for k in order)},?[ Tt]{clock}{zone}$"
     if re.fullmatch(rf"(?:W )?M 9?9 {CLOCK}(?: (?:O|[+-]9999|Z|I))? 9999", mask):
         head = rf"{word} " if mask.startswith("W ") else ""
-        return rf"^{head}(?P<m>{word}) (?P<d>\d{{1,2}}) {clock}(?: (?:{zones}|(?P<letters>\p{{L}}+)))? (?P<y>\d{{4}})$"
+        return rf"^{head}(?P<m>{word}) (?P<d>\d{{1,2}}) {clock}(?: (?:{zones}|(?P<letters>{word})))? (?P<y>\d{{4}})$"
     if re.fullmatch(r"9{8}T9{4}(?:99)?(?:[.,]9{1,9})?(?:Z|[+-]99:?99)?", mask):
         return r"^(?P<y>\d{4})(?P<m>\d\d)(?P<d>\d\d)[Tt](?P<h>\d\d)(?P<mi>\d\d)(?P<s>\d\d)?(?:[.,](?P<frac>\d{1,9}))?(?:(?P<z>[Zz])|(?P<off>[+-]\d\d:?\d\d))?$"
     return None
@@ -186,10 +190,12 @@ def normalise(dates: pd.Series, homes: pd.Series) -> pd.Series:
     kinds, distinct = pd.factorize(masks)
     kind = np.where(codes >= 0, kinds[codes] if len(kinds) else -1, -1)
     clean, homes = clean.to_numpy(object), homes.to_numpy(object)
-    for k, mask in enumerate(distinct):
-        parser = parser_of(mask)
-        if parser is not None:
-            at = np.flatnonzero(kind == k)
+    # masks that differ in the width of their numbers share an expression
+    parsers, expressions = pd.factorize(np.array([parser_of(m) or "" for m in distinct], object))
+    which = np.where(kind >= 0, parsers[kind] if len(parsers) else -1, -1)
+    for k, parser in enumerate(expressions):
+        at = np.flatnonzero(which == k)
+        if parser and len(at):
             out[at], good[at] = _convert(parser, clean[codes[at]], homes[at])
     return pd.Series(pd.arrays.IntegerArray(out, ~good), index=dates.index)
 
