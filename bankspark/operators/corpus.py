@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bankspark.functions import text as T
+from bankspark.model import BankError
 from bankspark.operators.components import components
 from bankspark.runtime import broadcast_if_small, cut, spread
 
@@ -169,11 +170,14 @@ def band_keys(simhash: Column) -> Column:
     return F.array(*[F.struct(F.lit(n).alias("pair"), (F.shiftleft(bands[i], BANDS[j]).bitwiseOR(bands[j])).alias("value")) for n, (i, j) in enumerate(pairs)])
 
 
-def near_pairs(signatures: DataFrame, hamming: int = HAMMING) -> DataFrame:
+def near_pairs(signatures: DataFrame, hamming: int = HAMMING, budget: int | None = None) -> DataFrame:
     """a, b, distance: distinct signatures at most `hamming` (3) bits apart, a < b; equal signatures are one class.
 
     `signatures` has node and simhash of eligible texts; copies of one signature stay a class and are not paired.
+    With a budget, BankError before any join if the bands would emit more pairs.
     """
+    if budget is not None and (found := candidate_budget(signatures).first()["emissions"]) > budget:
+        raise BankError(f"{found} candidate pairs are more than the budget of {budget}")
     distinct = cut(signatures.select("simhash").distinct())
     keyed = distinct.select("simhash", F.explode(band_keys(F.col("simhash"))).alias("k")).select("simhash", "k.pair", "k.value")
     other = keyed.withColumnRenamed("simhash", "b")

@@ -49,3 +49,13 @@ def test_margin_sample_reserves_each_margin_and_keeps_the_size(spark):
 def test_gates_without_a_value_fail(spark):
     measured = spark.createDataFrame([("a", 3.0), ("b", None)], "name string, value double")
     assert {r.gate: r.passed for r in A.gates(measured, {"a": ("least", 3), "b": ("most", 1), "c": ("most", 1)}).collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_near_pairs_keep_to_their_budget(spark):
+    from bankspark.operators import corpus as C
+
+    df = spark.createDataFrame([(i, i) for i in range(6)], "node long, simhash long")
+    n = C.candidate_budget(df).first().emissions
+    assert n > 0 and C.near_pairs(df, budget=n).count() == C.near_pairs(df).count() == 15
+    with pytest.raises(BankError):
+        C.near_pairs(df, budget=n - 1)
