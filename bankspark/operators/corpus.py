@@ -12,10 +12,14 @@ five-word shingles with a Jaccard similarity of 0.8 or more, found by prefixes o
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from bankspark.functions import text as T
@@ -118,7 +122,7 @@ def features(mail: DataFrame, key: str = "row_id") -> DataFrame:
 
 def near_family(mail: DataFrame, key: str = "row_id") -> DataFrame:
     """node, family, feature of records whose bodies are similar to another's."""
-    classes = similar_classes(cut(shingle_sets(mail, key, "body")))
+    classes = similar_texts(mail, key, "body")
     return classes.where("links > 0").select("node", F.lit("near_duplicate").alias("family"), F.col("class").cast("string").alias("feature"))
 
 
@@ -207,58 +211,251 @@ def near_classes(nodes: DataFrame, hamming: int = HAMMING) -> DataFrame:
 
 #: Words of a shingle, and the least share of two texts' shingles, in ten-thousandths, that both have.
 WORDS, SIMILAR = 5, 8000
-#: Sets from which on a shingle comes last in the order of prefixes; shingles of their prefixes that similar sets have both.
-HOT, ALIKE = 50, 4
+#: Shingles of their prefixes that similar sets have both.
+ALIKE = 4
+#: Bits of a shingle's hash that tell under which number its texts are counted; leading ones that name a range of numbers.
+COUNTED, RANGE = 26, 6
+#: Words, and shingles not yet counted, that a worker holds at once.
+HELD_WORDS, HELD_SHINGLES = 2_000_000, 8_000_000
+#: Pairs that a worker compares at once, and sets whose texts are looked up by a broadcast of their nodes.
+HELD_PAIRS, LOOKED_UP = 2_000_000, 1_000_000
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, words: int = WORDS) -> DataFrame:
-    """node, set, shingles: the distinct shingles of a text's words without case and punctuation, and their digest.
+    """node, set, shingles: the distinct shingles of a text's words without case and punctuation, as hashes, and their digest.
 
-    Texts of fewer words have one shingle of all of them; null and wordless texts are left out."""
-    w = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")))
-    rows = spread(df.select(key, text)).select(F.col(key).alias("node"), w.alias("w")).where(F.size("w") > 0).select("node", F.array_sort(F.array_distinct(grams)).alias("shingles"))
-    return rows.select("node", F.sha2(F.array_join(F.transform("shingles", lambda x: F.hex(x)), ""), 256).alias("set"), "shingles")
+    Texts of fewer words have one shingle of all of them; null and wordless texts are left out. Shingles are larger than
+    the texts' files, so they are made again for each use rather than kept."""
 
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(b.column(1)), 0).to_numpy())
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD_WORDS, "right")))
+                yield _shingled(b.slice(at, to - at), words)
+                at = to
+
+    w = F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda x: F.xxhash64(x))
+    rows = spread(df.select(key, text)).select(F.col(key).alias("node"), w.alias("w"))
+    return rows.mapInArrow(batches, f"node {rows.schema[0].dataType.simpleString()}, set long, shingles array<long>")
+
+
+def _shingled(b: pa.RecordBatch, words: int) -> pa.RecordBatch:
+    """node, set, shingles of a batch of nodes and their words' hashes."""
+    b = b.filter(pc.greater(pc.fill_null(pc.list_value_length(b.column(1)), 0), 0))
+    n = pc.list_value_length(b.column(1)).to_numpy().astype(np.int64)
+    h = b.column(1).flatten().to_numpy().view(np.uint64)
+    starts = np.cumsum(n) - n
+    count = np.maximum(n - (words - 1), 1)
+    ends = np.cumsum(count)
+    x = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+    for length in range(1, words + 1):  # the full shingles, and the texts that have fewer words
+        some = n >= words if length == words else n == length
+        many = count[some]
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        first, x_at = (np.repeat(v[some], many) + nth for v in (starts, ends - count))
+        mixed = np.full(len(first), length, np.uint64)
+        for i in range(length):
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[first + i]
+        for _ in range(2):
+            mixed = (mixed ^ (mixed >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x[x_at] = mixed ^ (mixed >> np.uint64(33))
+    for s, e in zip(ends - count, ends):
+        x[s:e].sort()
+    row = np.repeat(np.arange(len(n)), count)
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (row[1:] != row[:-1])
+    x, offsets = x[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(n)))]).astype(np.int32)
+    digests = b"".join(hashlib.sha256(x[s:e]).digest()[:8] for s, e in zip(offsets, offsets[1:]))
+    return pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(digests, np.int64)), pa.ListArray.from_arrays(offsets, x.view(np.int64))], ["node", "set", "shingles"])
+
+
+def _numbers(x: np.ndarray, skip: int = 0) -> np.ndarray:
+    """The COUNTED bits of each hash that follow its first `skip` ones."""
+    return ((x.view(np.uint64) << np.uint64(skip)) >> np.uint64(64 - COUNTED)).astype(np.uint32)
+
+
+def _table(steps: dict[int, bytes]) -> np.ndarray:
+    table = np.zeros(1 << COUNTED, np.uint8)
+    for r, packed in steps.items():
+        table[r << (COUNTED - RANGE) : (r + 1) << (COUNTED - RANGE)] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return table
+
+
+def frequencies(sets: DataFrame, skip: int = 0) -> dict[int, bytes]:
+    """How many texts have a shingle, for every number of COUNTED bits: by its first RANGE bits, a compressed byte for each
+    number: 0 for no text, 1 for one, then two steps for each doubling.
+
+    Shingles of one number count together, so a shingle of a number that counts one is in no other text. Each task sends
+    its numbers as sorted differences, about two bytes each; the result has 64 MB before compression, for any input."""
+    size = 1 << (COUNTED - RANGE)
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def parts() -> pa.RecordBatch:
+            numbers, often = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            bounds = np.searchsorted(numbers, np.arange((1 << RANGE) + 1, dtype=np.int64) * size)
+            rows = []
+            for r, (s, e) in enumerate(zip(bounds, bounds[1:])):
+                steps = np.diff(numbers[s:e].astype(np.uint32), prepend=np.uint32(r * size))
+                rows.append((r, zlib.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1), zlib.compress(np.minimum(often[s:e], 65535).astype(np.uint16).tobytes(), 1)))
+            ranges, steps, often = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(ranges, pa.int32()), pa.array(steps, pa.binary()), pa.array(often, pa.binary())], ["range", "steps", "often"])
 
-def similar_pairs(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """a, b, both, either: pairs of distinct sets (set, shingles) that are similar, a < b, with the sizes of their intersection and union.
+        for b in it:
+            held.append(_numbers(b.column(0).flatten().to_numpy(), skip))
+            if sum(map(len, held)) > HELD_SHINGLES:
+                yield parts()
+        if held:
+            yield parts()
+
+    def total(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for b in it:
+            for r, steps, often in zip(*(c.to_pylist() for c in b.columns)):
+                at = np.cumsum(np.frombuffer(zlib.decompress(steps), np.uint8).reshape(4, -1).T.copy().view(np.uint32)[:, 0], dtype=np.int64)
+                sums.setdefault(r, np.zeros(size, np.uint32))[at] += np.frombuffer(zlib.decompress(often), np.uint16)
+        for r, n in sums.items():
+            step = np.where(n < 2, n, 1 + np.ceil(2 * np.log2(np.maximum(n, 1)))).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([zlib.compress(step.tobytes(), 1)], pa.binary())], ["range", "steps"])
+
+    parts = sets.select("shingles").mapInArrow(count, "range int, steps binary, often binary")
+    return {r["range"]: bytes(r["steps"]) for r in parts.repartition("range").mapInArrow(total, "range int, steps binary").collect()}
+
+
+def prefixes(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """node, set, n, prefix, b0 to b3: of n shingles in order of frequency, the first ones that another text may have, and the
+    parities of all shingles by their last eight bits.
 
     Of a set of n shingles in any one order, the first n - ceil(n * similarity) + ALIKE hold ALIKE of any similar set's first
-    ones (all that both have, if those are fewer). The order is by hash, with shingles of more than HOT sets last, so that a
-    phrase of many texts is in no prefix that can do without. Sets are joined on the shingles of their prefixes, with sizes
-    that allow the similarity; pairs that have ALIKE of them are checked exactly.
-    Copies are one set, so a text that a third of all rows repeat is one row here.
+    ones (all that both have, if those are fewer). The order is by `frequencies`, then by hash: a phrase of many texts is in
+    no prefix that can do without, and most shingles of a prefix are in one text only, so they pair nothing and are left out."""
+    steps = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(steps.value)
+        for b in it:
+            n = pc.list_value_length(b.column(2)).to_numpy().astype(np.int64)
+            x = b.column(2).flatten().to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            often = table[_numbers(x)]
+            order = np.argsort(row * 256 + often, kind="stable")  # shingles of a row are sorted already
+            least = -(-n * similar // 10_000)
+            first = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n) < np.repeat(n - least + np.minimum(ALIKE, least), n)
+            kept = order[first & (often[order] > 1)]
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=len(n)))]).astype(np.int32)
+            odd = np.bincount(row * 256 + (x & 255), minlength=256 * len(n)).reshape(-1, 256) & 1
+            bits = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n.astype(np.int32)), pa.ListArray.from_arrays(offsets, x[kept]), *(pa.array(bits[:, i].copy()) for i in range(4))], ["node", "set", "n", "prefix", "b0", "b1", "b2", "b3"])
+
+    return sets.mapInArrow(batches, f"node {sets.schema['node'].dataType.simpleString()}, set long, n int, prefix array<long>, b0 long, b1 long, b2 long, b3 long")
+
+
+def _shared(known: DataFrame) -> DataFrame:
+    """set, n, prefix, b0 to b3 of the sets whose prefixes have shingles that other prefixes have too, without the others."""
+    own = known.where(F.size("prefix") > 0).select("set", "n", "prefix", "b0", "b1", "b2", "b3")
+    steps = own.sparkSession.sparkContext.broadcast(frequencies(own.select(F.col("prefix").alias("shingles")), COUNTED))
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(steps.value)
+        for b in it:
+            x = b.column(2).flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy())
+            kept = table[_numbers(x, COUNTED)] > 1
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row[kept], minlength=b.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, x[kept]), *b.columns[3:]], b.schema.names)
+
+    return own.mapInArrow(batches, own.schema).where(F.size("prefix") > 0)
+
+
+def _candidates(keyed: DataFrame, similar: int) -> DataFrame:
+    """a, b, n: pairs of sets, once for each x that both have, whose sizes (the greater is n) and parities allow the similarity.
+
+    keyed (x, set, n, b0 to b3) is moved once and sorted; a task takes each x with its sets by size, in bounded blocks."""
+
+    def block(x: np.ndarray, sets: np.ndarray, n: np.ndarray, bits: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        at = np.arange(len(x))
+        place = np.cumsum(np.diff(x, prepend=x[:1]) != 0) << 32
+        many = np.searchsorted(place + n, place + n * 10_000 // similar, "right") - at - 1  # partners of each, all after it
+        ends = np.cumsum(many)
+        s = 0
+        while s < len(x):
+            e = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + HELD_PAIRS, "right")))
+            i = np.repeat(at[s:e], many[s:e])
+            j = i + 1 + np.arange(len(i)) - np.repeat(ends[s:e] - many[s:e] - (ends[s] - many[s]), many[s:e])
+            differ = np.zeros(len(i), np.int64)
+            for v in bits:
+                differ += np.bitwise_count(v[i] ^ v[j])
+            near = (differ * (10_000 + similar) <= (n[i] + n[j]) * (10_000 - similar)) & (sets[i] != sets[j])
+            i, j = i[near], j[near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sets[i], sets[j])), pa.array(np.maximum(sets[i], sets[j])), pa.array(n[j])], ["a", "b", "n"])
+            s = e
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list = []  # rows of the last x so far, which may go on in the next batch
+        for b in it:
+            rest.append([c.to_numpy() for c in b.columns])
+            if not b.num_rows or rest[0][0][0] == rest[-1][0][-1]:
+                rest = rest if b.num_rows else rest[:-1]
+                continue
+            held = [np.concatenate(c) for c in zip(*rest)]
+            end = int(np.searchsorted(held[0], held[0][-1]))
+            yield from block(held[0][:end], held[1][:end], held[2][:end], [c[:end].view(np.uint64) for c in held[3:]])
+            rest = [[c[end:] for c in held]]
+        if rest:
+            held = [np.concatenate(c) for c in zip(*rest)]
+            yield from block(*held[:3], [c.view(np.uint64) for c in held[3:]])
+
+    rows = keyed.select("x", "set", F.col("n").cast("long").alias("n"), "b0", "b1", "b2", "b3")
+    return rows.repartition("x").sortWithinPartitions("x", "n").mapInArrow(batches, "a long, b long, n long")
+
+
+def similar_pairs(sets: DataFrame, similar: int = SIMILAR, known: DataFrame | None = None, again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """a, b, both, either: pairs of distinct sets (set, shingles) that are similar, a < b, with the sizes of their intersection and union.
+
+    Sets are paired on the shingles of their prefixes (`known`, if those are made already), where their sizes and parities
+    allow the similarity: no more parities differ than shingles do. Pairs that have ALIKE of them are checked exactly.
+    Copies are one set, so a text that a third of all rows repeat is one row here. Only sets of such pairs move their
+    shingles; `again` makes them for a table of nodes alone.
     """
-    own = cut(sets.select("set", "shingles").dropDuplicates(["set"]))
-    each = own.select("set", F.explode("shingles").alias("x"))
-    hot = cut(each.groupBy("x").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") > HOT).select("x"))
-    late = each.join(broadcast_if_small(hot), "x", "left_semi").groupBy("set").agg(F.array_sort(F.collect_list("x")).alias("late"))
+    known = cut(prefixes(sets, similar)) if known is None else known
     least = lambda n: F.ceil(n * similar / 10_000).cast("int")
-    late_too = F.coalesce("late", F.array().cast("array<long>"))
-    ordered = own.join(late, "set", "left").select("set", F.size("shingles").alias("n"), F.concat(F.array_except("shingles", late_too), late_too).alias("s"))
-    keyed = cut(ordered.select("set", "n", F.explode(F.slice("s", 1, F.col("n") - least(F.col("n")) + F.least(F.lit(ALIKE), least(F.col("n"))))).alias("x")))
-    other = keyed.toDF("b", "m", "x")
-    found = keyed.toDF("a", "n", "x").join(other, "x").where("a < b").where((F.col("n") * 10_000 >= F.col("m") * similar) & (F.col("m") * 10_000 >= F.col("n") * similar))
-    found = found.groupBy("a", "b", "n", "m").count().where(F.col("count") >= F.least(F.lit(ALIKE), least(F.greatest("n", "m"))))
-    found = found.select("a", "b").join(own.toDF("a", "sa"), "a").join(own.toDF("b", "sb"), "b")
+    own = _shared(known).dropDuplicates(["set"])
+    found = _candidates(own.select("set", "n", "b0", "b1", "b2", "b3", F.explode("prefix").alias("x")), similar)
+    found = found.groupBy("a", "b", "n").count().where(F.col("count") >= F.least(F.lit(ALIKE), least(F.col("n"))))
+    found = cut(found.select("a", "b"))
+    ends = broadcast_if_small(cut(found.select(F.explode(F.array("a", "b")).alias("set")).distinct()), LOOKED_UP)
+    if again is not None:
+        sets = again(broadcast_if_small(cut(known.join(ends, "set", "left_semi").groupBy("set").agg(F.min("node").alias("node")).select("node")), LOOKED_UP))
+    whole = cut(sets.select("set", "shingles").join(ends, "set", "left_semi").dropDuplicates(["set"]))
+    found = found.join(whole.toDF("a", "sa"), "a").join(whole.toDF("b", "sb"), "b")
     found = found.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("both"), (F.size("sa") + F.size("sb")).alias("total"))
     return found.where(F.col("both") * 10_000 >= (F.col("total") - F.col("both")) * similar).select("a", "b", "both", (F.col("total") - F.col("both")).alias("either"))
 
 
-def similar_classes(sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
+def similar_classes(sets: DataFrame, similar: int = SIMILAR, again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node, class, links: every text (node, set, shingles) with the smallest node of its component of similar texts and the
     number of other sets that are similar to its own; copies are in one class without links of their own."""
-    pairs = cut(similar_pairs(sets, similar).select("a", "b"))
+    known = cut(prefixes(sets, similar))
+    pairs = cut(similar_pairs(sets, similar, known, again).select("a", "b"))
     ends = pairs.select(F.col("a").alias("set"), "a", "b").union(pairs.select(F.col("b").alias("set"), "a", "b"))
     keyed = ends.select("set", F.concat_ws(":", "a", "b").alias("k"))
     groups = components(keyed, "set", {"near": F.col("k")})
     links = ends.groupBy("set").agg(F.count(F.lit(1)).alias("links"))
-    rows = sets.select("node", "set").join(groups.join(links, "set"), "set", "left").select("node", F.coalesce("group", "set").alias("g"), F.coalesce("links", F.lit(0)).alias("links"))
+    near = broadcast_if_small(cut(groups.join(links, "set")))
+    rows = known.select("node", "set").join(near, "set", "left").select("node", F.coalesce("group", "set").alias("g"), F.coalesce("links", F.lit(0)).alias("links"))
     low = rows.groupBy("g").agg(F.min("node").alias("class"))
     return rows.join(low, "g").select("node", "class", "links")
 
 
+def similar_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The same of a table of texts; of those that are checked exactly, only their own texts are taken apart again."""
+    return similar_classes(shingle_sets(df, key, text), again=lambda nodes: shingle_sets(df.select(key, text).join(nodes.withColumnRenamed("node", key), key, "left_semi"), key, text))
+
+
 # --- leakage groups and splits -----------------------------------------------------------------------------------
 
 

@@ -110,12 +110,12 @@ def near_dup_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by classes of texts that share four fifths of their five-word shingles, with their number of similar texts."""
-    return C.similar_classes(cut(C.shingle_sets(table(spark, sf_dir, "documents"), "doc_id", "text"))).withColumnRenamed("node", "doc_id")
+    return C.similar_texts(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("node", "doc_id")
 
 
 def similar_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of mail bodies."""
-    return C.similar_classes(cut(C.shingle_sets(_mail(spark, sf_dir), "row_id", "body"))).withColumnRenamed("node", "row_id")
+    return C.similar_texts(_mail(spark, sf_dir), "row_id", "body").withColumnRenamed("node", "row_id")
 
 
 def leakage_components(spark: SparkSession, sf_dir: str) -> DataFrame:

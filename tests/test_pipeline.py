@@ -381,6 +381,58 @@ def test_similar_texts_equal_brute_force(spark):
     assert C.similar_classes(C.shingle_sets(df.limit(0), "id", "text")).count() == 0
 
 
+def test_similar_documents_move_less_than_four_times_their_file(spark, tmp_path):
+    """Common phrases, near copies about the bound, copies: right classes, and shuffles and checkpoints within the disk they may take."""
+    import random
+    from collections import Counter
+    from itertools import combinations
+    from pathlib import Path
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from bankspark.plans.corpus_queries import similar_documents
+    from bankspark.runtime import checkpoint_path
+
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randint(3, 9))) for _ in range(5000)]
+    common = [rng.choices(words, k=12) for _ in range(40)]
+    texts = [sum((rng.choice(common) if rng.random() < 0.3 else rng.choices(words, k=12) for _ in range(rng.choice((1, 4, 12, 60)))), []) for _ in range(1500)]
+    for t in [rng.choice(texts) for _ in range(400)]:
+        t = list(t)
+        for _ in range(rng.randint(0, max(1, len(t) // 40))):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts.append(t)
+    sets = [frozenset(tuple(t[i : i + 5]) for i in range(len(t) - 4)) for t in texts]
+    first = {s: i for i, s in reversed(list(enumerate(sets)))}
+    of: dict = {}
+    for s in first:
+        for x in s:
+            of.setdefault(x, []).append(s)
+    both = Counter(p for same in of.values() for p in combinations(sorted(same, key=first.get), 2))
+    near = [(a, b) for (a, b), n in both.items() if n * 10 >= (len(a) + len(b) - n) * 8]
+    links, group = Counter(s for p in near for s in p), {s: s for s in first}
+
+    def root(s):
+        return s if group[s] is s else root(group[s])
+
+    for a, b in near:
+        a, b = sorted((root(a), root(b)), key=first.get)
+        group[b] = a
+    path = tmp_path / "documents.parquet"
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": [" ".join(t) for t in texts]}), path)
+    sc = spark.sparkContext._jsc.sc()
+
+    def written() -> int:
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorList(True).head().totalShuffleWrite() + sum(p.stat().st_size for p in Path(checkpoint_path(spark).removeprefix("file:")).rglob("part-*"))
+
+    before = written()
+    out = {r.doc_id: (r["class"], r.links) for r in similar_documents(spark, str(tmp_path)).collect()}
+    assert out == {i: (first[root(s)], links[s]) for i, s in enumerate(sets)} and len(near) > 100
+    assert 0 < written() - before < 4 * path.stat().st_size
+
+
 @pytest.mark.parametrize(
     "body,current,core",
     [
